@@ -19,23 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: tuple[str | None, ...], key: str, factor: int) -> Column:
+def pick(values: tuple[str | None, ...], number: str) -> Column:
     """Deterministic choice from a list."""
     items = ", ".join("NULL" if v is None else "'" + v.replace("'", "\\'") + "'" for v in values)
-    return F.expr(f"element_at(array({items}), cast(({key} * {factor}) % {len(values)} + 1 as int))")
+    return F.expr(f"element_at(array({items}), cast(({number}) % {len(values)} + 1 as int))")
 
 
-def birth_date(number: Column) -> Column:
-    days = ((number * 7919) % 29000).cast("int")
-    return F.when(number % 19 != 0, F.date_add(F.lit("1930-01-01").cast("date"), days))
+def birth_date(key: str) -> Column:
+    """Neighbours share a date; 400 dates, some after `AS_OF`."""
+    return F.expr(f"if({key} % 19 <> 0, date_add(date'1930-01-01', cast((({key} div 3) * 7919) % 400 * 72 as int)), null)")
 
 
 def person_fields(key: str) -> list[Column]:
     return [
-        pick(lists.FIRST_NAMES, key, 7).alias("first_name"),
-        pick(lists.LAST_NAMES, key, 11).alias("last_name"),
-        birth_date(F.col(key)).alias("dob"),
-        *[pick(values, key, factor).alias(name) for name, (values, factor) in lists.DEMOGRAPHICS.items()],
+        pick(lists.FIRST_NAMES, key).alias("first_name"),
+        pick(lists.LAST_NAMES, f"{key} div 5").alias("last_name"),
+        birth_date(key).alias("dob"),
+        *[pick(values, f"{key} * {factor}").alias(name) for name, (values, factor) in lists.DEMOGRAPHICS.items()],
     ]
 
 

@@ -11,7 +11,7 @@ LAST_NAMES = (
     "Smith", "Smyth", "Johnson", "Johnston", "Brown", "Browne", "Clark", "Clarke", "Gonzalez", "Gonzales",
     "Rodriguez", "Rodrigues", "Hernandez", "Fernandez", "Thompson", "Thomson", "Peterson", "Petersen", "Nguyen", "Martinez",
     "Martines", "O'Brien", "OBrien", "Williams", "Williamson", "Fitzgerald", "Montgomery", "Montgomerie", "Lee", "Leigh",
-    "Meyer", "Myers", "Schwarz", "Schwartz", "Núñez", "Nunez", "Washington", "McDonald", "MacDonald", "Van Buren", "Abernathy",
+    "Meyer", "Myers", "Schwarz", "Schwartz", "Núñez", "Nunez", "Washington", "McDonald", "MacDonald", "Van Buren",
 )
 
 # Field -> values and the factor of the draw.
