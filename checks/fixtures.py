@@ -91,3 +91,27 @@ def exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ).select(s.id_column, s.date_column)
         for s in SERVICES
     }
+
+
+def merge_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The exports with names, demographics and (pantry) a household, as the merges need them."""
+    orders = table(spark, sf_dir, "orders")
+    facts = [
+        pick(lists.FIRST_NAMES, "o_custkey").alias("first_name"),
+        pick(lists.LAST_NAMES, "o_custkey div 5").alias("last_name"),
+        F.when(F.col("o_orderkey") % 4 != 0, birth_date("o_custkey").cast("string")).otherwise(F.lit("")).alias("dob"),
+        *[
+            pick(values, f"o_custkey * {factor} + o_orderkey % 3 + o_orderkey % 5").alias(name)
+            for name, (values, factor) in lists.DEMOGRAPHICS.items()
+        ],
+    ]
+    household_text = F.when(
+        F.col("o_orderkey") % 13 != 0, F.concat(F.lit(" "), F.expr("o_custkey div 3").cast("string"))
+    ).otherwise(F.lit(""))
+    frames = {}
+    for s in SERVICES:
+        extra = [household_text.alias("Household ID")] if s.service == "pantry" else []
+        columns = [id_text(s.service).alias(s.id_column), date_text().alias(s.date_column), *facts, *extra]
+        rows = once(orders.filter(F.col("o_orderkey") % 3 == SERVICE_DIGIT[s.service]), *columns)
+        frames[s.service] = rows.drop(*orders.columns)
+    return frames
