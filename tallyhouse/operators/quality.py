@@ -129,11 +129,9 @@ def similar_name_pairs(
     def side(suffix: str, first_is_shorter: bool, last_is_shorter: bool) -> DataFrame:
         keyed = _with_piece(names, "first", min_first, first_is_shorter, "_kf")
         keyed = _with_piece(keyed, "last", min_last, last_is_shorter, "_kl")
-        return keyed.select(
-            F.xxhash64(*equal, "_kf", "_kl").alias("_key"),
-            *equal,
-            *[F.col(c).alias(c + suffix) for c in ("first", "last", "n", "low_id")],
-        )
+        named_apart = [F.col(c).alias(c + suffix) for c in ("first", "last", "n", "low_id")]
+        # Size estimates know nothing of the exploded keys and would take a side for small enough to broadcast.
+        return keyed.select(F.xxhash64(*equal, "_kf", "_kl").alias("_key"), *equal, *named_apart).hint("merge")
 
     # One name is keyed as the shorter first name; its last name may be the shorter or the longer one. Both sides of these
     # joins are plain shuffles, so AQE can split a key that many different names share.

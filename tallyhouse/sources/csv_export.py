@@ -12,7 +12,7 @@ BAD = "_bad"
 WIDTH = "_width"
 # A quoted field with its leading delimiter, and a record of empty fields only.
 QUOTED_FIELD = r'(^|,)"(?:[^"]|"")*"'
-EMPTY_RECORD = r'^(?:"")?(?:,(?:"")?)*$'
+EMPTY_RECORD = r'^(?:"")?(?:,(?:"")?)*\r?$'
 
 
 class WideRowError(ValueError):
@@ -33,6 +33,8 @@ def reader_options(has_header: bool, multi_line: bool) -> dict[str, str]:
         "quote": '"',
         "escape": '"',
         "emptyValue": "",
+        # Not detected from the first line: a file may mix line ends. The CR before a line break is taken off afterwards.
+        "lineSep": "\n",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": BAD,
     }
@@ -56,14 +58,18 @@ def with_width(parsed: DataFrame, columns: list[str]) -> DataFrame:
     end of a short record stays NULL. `_width` is the number of fields.
     """
     width = F.when(F.col(BAD).isNull(), F.lit(len(columns))).otherwise(field_count(F.col(BAD)))
-    values = [F.coalesce(F.col(f"`{c}`"), F.when(F.col(WIDTH) > at, F.lit(""))).alias(c) for at, c in enumerate(columns)]
-    nothing = F.lit(True)
-    for c in columns:
-        nothing = nothing & (F.coalesce(F.col(f"`{c}`"), F.lit("")) == "")
+
+    def value(at: int, name: str) -> Column:
+        c = F.col(f"`{name}`")
+        text = F.when(c.endswith("\r"), F.regexp_replace(c, r"\r\z", "")).otherwise(c)
+        return F.coalesce(text, F.when(F.col(WIDTH) > at, F.lit(""))).alias(name)
+
+    extra = [c for c in parsed.columns if c not in columns]
+    rows = parsed.withColumn(WIDTH, width).select(*[value(at, c) for at, c in enumerate(columns)], *extra, WIDTH)
+    filled = F.greatest(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns], F.lit("")) != ""
     # The columns of a record that is too wide do not show all of it.
-    empty = nothing & F.coalesce(F.col(BAD).rlike(EMPTY_RECORD) | (F.col(WIDTH) <= len(columns)), F.lit(True))
-    extra = [c for c in parsed.columns if c not in columns and c != BAD]
-    return parsed.withColumn(WIDTH, width).filter(~empty).select(*values, *extra, WIDTH)
+    hidden = (F.col(WIDTH) > len(columns)) & ~F.col(BAD).rlike(EMPTY_RECORD)
+    return rows.filter(filled | hidden).drop(BAD)
 
 
 def scan_export(
