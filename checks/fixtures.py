@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import lists
 from tallyhouse.functions import once
@@ -15,8 +16,15 @@ NULL_EVERY = {"pantry": 11, "clinic": 13, "pharmacy": 5}
 SERVICE_DIGIT = {"pantry": 0, "pharmacy": 1, "clinic": 2}
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def pick(values: tuple[str | None, ...], number: str) -> Column:
@@ -58,26 +66,24 @@ def household(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def date_text() -> Column:
     """The ten ways an export writes a date, by the last digit of the order key."""
-    day = F.col("o_orderdate").cast("date")
-    iso = day.cast("string")
-    digit = F.col("o_orderkey") % 10
-    return (
-        F.when(digit == 0, F.concat(iso, F.lit(" 10:15:00")))
-        .when(digit == 1, F.concat(iso, F.lit("T09:00:00Z")))
-        .when(digit == 2, F.date_format(day, "MM/dd/yyyy"))
-        .when(digit == 3, F.date_format(day, "M/d/yy"))
-        .when(digit == 4, F.concat(F.lit("  "), iso, F.lit(" ")))
-        .when(digit == 5, F.lit(""))
-        .when(digit == 6, F.concat(F.date_format(day, "MM/dd/yyyy"), F.lit(" 10:15")))
-        .when(digit == 7, F.lit("n/a"))
-        .otherwise(iso)
+    return F.expr(
+        """CASE o_orderkey % 10
+        WHEN 0 THEN concat(string(date(o_orderdate)), ' 10:15:00')
+        WHEN 1 THEN concat(string(date(o_orderdate)), 'T09:00:00Z')
+        WHEN 2 THEN date_format(date(o_orderdate), 'MM/dd/yyyy')
+        WHEN 3 THEN date_format(date(o_orderdate), 'M/d/yy')
+        WHEN 4 THEN concat('  ', string(date(o_orderdate)), ' ')
+        WHEN 5 THEN ''
+        WHEN 6 THEN concat(date_format(date(o_orderdate), 'MM/dd/yyyy'), ' 10:15')
+        WHEN 7 THEN 'n/a'
+        ELSE string(date(o_orderdate)) END"""
     )
 
 
 def id_text(service: str) -> Column:
-    return F.when(
-        F.col("o_orderkey") % 17 == 0, F.concat(F.lit("X"), F.col("o_custkey").cast("string"))
-    ).otherwise(F.concat(F.lit(" 00"), (F.col("o_custkey") + ID_BASE[service]).cast("string"), F.lit(" ")))
+    return F.expr(
+        f"if(o_orderkey % 17 = 0, concat('X', o_custkey), concat(' 00', o_custkey + {ID_BASE[service]}, ' '))"
+    )
 
 
 def exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

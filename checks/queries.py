@@ -91,7 +91,7 @@ def service_flags_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = service_months(_found(spark, sf_dir), fx.household(spark, sf_dir))
+    sets = service_months(_found(spark, sf_dir), fx.household(spark, sf_dir), MONTHS)
     return count_measures(period_flags(sets, MONTHS))
 
 

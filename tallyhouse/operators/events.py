@@ -82,7 +82,10 @@ def key_months(events: Mapping[str, DataFrame], start: Column, end: Column) -> D
 
 
 def person_keys(person: DataFrame) -> DataFrame:
-    """(service, key, person_id): the foreign ids of `person`, one row each, in one scan."""
+    """(service, key, person_id): the foreign ids of `person`, one row each, in one scan.
+
+    Filtering NULL persons here, and not where a later join would infer it, keeps all uses of this plan alike.
+    """
     ids = F.inline(
         F.array(
             *[
@@ -91,7 +94,7 @@ def person_keys(person: DataFrame) -> DataFrame:
             ]
         )
     )
-    return person.select("person_id", ids).filter(F.col("key").isNotNull())
+    return person.filter(F.col("person_id").isNotNull()).select("person_id", ids).filter(F.col("key").isNotNull())
 
 
 def person_months(events: Mapping[str, DataFrame], person: DataFrame, start: Column, end: Column) -> DataFrame:

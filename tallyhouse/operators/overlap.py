@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.operators.household import member_months
@@ -21,32 +21,33 @@ MEASURES = {
 FLAGS = ("pantry", "pantry_served", "pharmacy", "clinic")
 
 
-def service_months(found: DataFrame, household: DataFrame) -> DataFrame:
+def service_months(found: DataFrame, household: DataFrame, months: int) -> DataFrame:
     """One row a person with four month sets, from `found` (service, person_id, months).
 
-    `found` feeds two branches. Neither filters on the service below the shuffle, so that both plans are the same up to
-    there and Spark runs the raw scan and its shuffle once (ReusedExchange).
+    Until the end all four travel as lanes of one bigint, `uses`: a person is 16 bytes in every shuffle. With a single value
+    column the two readers of `own` also need the same plan below them, so that Spark runs the raw scans, the join to persons
+    and this aggregation once (ReusedExchange).
     """
-    own = found.groupBy("person_id").agg(
-        *[
-            F.bit_or(F.when(F.col("service") == s, F.col("months")).otherwise(F.lit(0).cast("bigint"))).alias(s)
-            for s in ("pantry", "pharmacy", "clinic")
-        ]
-    )
-    visits = own.select("person_id", F.col("pantry").alias("months")).filter(F.col("months") != 0)
-    nothing = F.lit(0).cast("bigint")
-    through_household = member_months(visits, household).select(
-        "person_id",
-        nothing.alias("pantry"),
-        nothing.alias("pharmacy"),
-        nothing.alias("clinic"),
-        F.col("months").alias("pantry_served"),
-    )
+    check_months(months)
+    lane_of = {flag: at * months for at, flag in enumerate(FLAGS)}
+    everything = F.lit((1 << months) - 1)
+
+    def lane(flag: str) -> Column:
+        return F.shiftright("uses", lane_of[flag]).bitwiseAND(everything)
+
+    uses = F.lit(0).cast("bigint")
+    for service in ("pantry", "pharmacy", "clinic"):
+        uses = F.when(F.col("service") == service, F.shiftleft("months", lane_of[service])).otherwise(uses)
+    own = found.select("person_id", uses.alias("uses")).groupBy("person_id").agg(F.bit_or("uses").alias("uses"))
+    visits = own.select("person_id", lane("pantry").alias("months")).filter(F.col("months") != 0)
+    members = member_months(visits, household)
+    served = lane_of["pantry_served"]
     return (
-        own.withColumn("pantry_served", F.col("pantry"))
-        .unionByName(through_household)
+        own.select("person_id", F.col("uses").bitwiseOR(F.shiftleft(lane("pantry"), served)).alias("uses"))
+        .unionByName(members.select("person_id", F.shiftleft("months", served).alias("uses")))
         .groupBy("person_id")
-        .agg(*[F.bit_or(f).alias(f) for f in FLAGS])
+        .agg(F.bit_or("uses").alias("uses"))
+        .select("person_id", *[lane(f).alias(f) for f in FLAGS])
     )
 
 
@@ -66,10 +67,19 @@ def period_flags(sets: DataFrame, months: int, whole_window: bool = True) -> Dat
 
 def service_flags(found: DataFrame, household: DataFrame, start: Column, months: int = 12) -> DataFrame:
     """(person_id, month, pantry, pantry_served, pharmacy, clinic): a row for every month with any use."""
-    flags = period_flags(service_months(found, household), check_months(months), whole_window=False)
+    flags = period_flags(service_months(found, household, months), months, whole_window=False)
     return flags.select("person_id", F.add_months(start, F.col("period")).alias("month"), *FLAGS)
 
 
+def spine_flags(spark: SparkSession, months: int) -> DataFrame:
+    """One row a period with no person and no use, so that a period without any events is counted as zero."""
+    return spark.range(0, months + 1, 1, 1).select(
+        F.lit(None).cast("bigint").alias("person_id"),
+        F.col("id").cast("int").alias("period"),
+        *[F.lit(False).alias(f) for f in FLAGS],
+    )
+
+
 def count_measures(flags: DataFrame) -> DataFrame:
     """Person counts by period. (person_id, period) is unique, so plain conditional counts are exact distinct counts."""
     counts = []

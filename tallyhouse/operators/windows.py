@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import as_of_date, month_start
 
-# A set of months travels as the bits of one bigint.
-MAX_MONTHS = 63
+# A set of months travels as bits, and four such sets share one bigint.
+MAX_MONTHS = 15
 
 AsOf = dt.date | str | Column | None
 

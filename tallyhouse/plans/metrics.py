@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import month_label, safe_pct
 from tallyhouse.operators.events import Exports, person_months, typed_events
-from tallyhouse.operators.overlap import MEASURES, count_measures, period_flags, service_months
+from tallyhouse.operators.overlap import MEASURES, count_measures, period_flags, service_months, spine_flags
 from tallyhouse.operators.windows import AsOf, check_months, report_window
 
 ANNUAL = "ANNUAL"
@@ -22,29 +22,23 @@ BASES = {
 }
 
 
-def periods(spark: SparkSession, start: Column, months: int) -> DataFrame:
-    """(period, label): the month spine and, last, the whole window."""
-    index = F.col("id").cast("int")
-    label = F.when(index < months, month_label(F.add_months(start, index))).otherwise(F.lit(ANNUAL))
-    return spark.range(0, months + 1, 1, 1).select(index.alias("period"), label.alias("label"))
-
-
 def monthly_from_events(
     events: Mapping[str, DataFrame], person: DataFrame, household: DataFrame, as_of: AsOf = None, months: int = 12
 ) -> DataFrame:
     """The report from parsed events, one (key, event_date) frame a service; see `load_typed_events`."""
     start, end = report_window(as_of, check_months(months))
-    sets = service_months(person_months(events, person, start, end), household)
-    counts = count_measures(period_flags(sets, months))
-    # `counts` has at most months + 1 rows.
-    rows = periods(person.sparkSession, start, months).join(F.broadcast(counts), "period", "left")
-    columns = [F.col("label").alias("period")]
+    sets = service_months(person_months(events, person, start, end), household, months)
+    # Zero rows for all periods take the place of a left join of the month spine to the counts.
+    flags = period_flags(sets, months).unionByName(spine_flags(person.sparkSession, months))
+    period = F.col("period")
+    label = F.when(period < months, month_label(F.add_months(start, period))).otherwise(F.lit(ANNUAL))
+    columns = [label.alias("period")]
     for name in MEASURES:
-        n = F.coalesce(F.col(name), F.lit(0).cast("bigint"))
-        columns.append(n.alias(name))
+        columns.append(F.col(name))
         if name in BASES:
-            columns.append(safe_pct(n, F.coalesce(F.col(BASES[name]), F.lit(0))).alias(f"{name}_pct"))
-    return rows.orderBy("period").select(*columns)
+            columns.append(safe_pct(F.col(name), F.col(BASES[name])).alias(f"{name}_pct"))
+    # At most 16 rows: one task sorts them, which saves the sampling and the shuffle of a global sort.
+    return count_measures(flags).coalesce(1).sortWithinPartitions(period).select(*columns)
 
 
 def cross_service_monthly(
