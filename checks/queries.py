@@ -17,7 +17,7 @@ from tallyhouse.operators.overlap import MEASURES, count_measures, period_flags,
 from tallyhouse.operators.windows import month_spine, report_window
 from tallyhouse.plans import demographics, ingest, metrics
 from tallyhouse.schemas import SERVICES
-from tallyhouse.session import scratch_path
+from tallyhouse.session import checkpointed, scratch_path
 from tallyhouse.sources import csv_export, sinks, tables
 from tallyhouse.streaming.ingest import BATCH, stream_exports
 
@@ -167,7 +167,7 @@ def similar_names(same_dob: bool, use_soundex: bool, ratio: float) -> Query:
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = merge.source_records(fx.merge_exports(spark, sf_dir))
+    records = checkpointed(merge.source_records(fx.merge_exports(spark, sf_dir)))
     return merge.merge_person(fx.person(spark, sf_dir), records)
 
 

@@ -104,6 +104,8 @@ def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, Data
     """New persons for export ids that `person` does not hold, and blank fields filled; with an audit of both.
 
     The audit has one row a new person (`insert`, the new value is its export id) and one a filled field (`update`).
+    `records` is read on several branches, which the optimizer pushes different filters into: pass it checkpointed, so that the
+    raw exports behind it are read once (`plans.ingest.run_merges` does).
     """
     known = person_keys(person).select("service", "key").distinct()
     fresh = records.join(known, ["service", "key"], "left_anti")
