@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import clamp_limit, is_blank
 from tallyhouse.operators.skew import spread_join
+from tallyhouse.session import checkpointed
 
 # Letters whose sound code is that of the letter below them.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -111,6 +112,8 @@ def similar_name_pairs(
     """
     if not (math.isfinite(min_first) and math.isfinite(min_last)):
         raise ValueError("minimum ratios must be finite numbers")
+    if max(min_first, min_last) <= 0 and not (same_dob or use_soundex):
+        raise ValueError("every name is alike: give a minimum ratio, or ask for equal dates or sound")
     exact = ["dob"] if same_dob else []
     named = person.filter(~is_blank(F.col("first_name")) & ~is_blank(F.col("last_name")))
     if same_dob:
@@ -187,6 +190,10 @@ def similar_name_pairs(
     return across.unionByName(same)
 
 
+# Below this ratio names have few or empty pieces in common, and too many names meet.
+TIGHT = 0.6
+
+
 def similar_full_names(
     person: DataFrame,
     min_first: float = 0.9,
@@ -195,8 +202,20 @@ def similar_full_names(
     use_soundex: bool = True,
     limit: object = 500,
 ) -> DataFrame:
-    """The `limit` (at most 2000) most similar pairs of `similar_name_pairs`."""
-    pairs = similar_name_pairs(person, float(min_first), float(min_last), same_dob, use_soundex)
-    order = [F.desc(F.col("ratio_first") + F.col("ratio_last")), "last_name_a", "first_name_a", "last_name_b"]
-    order += ["first_name_b", *(["dob"] if same_dob else [])]
-    return pairs.orderBy(*order).limit(clamp_limit(limit, 500))
+    """The `limit` (at most 2000) most similar pairs of `similar_name_pairs`, by the sum of both ratios.
+
+    With a low minimum the best pairs are looked for among those of at least `TIGHT` first: a sum of 1 + TIGHT or more takes
+    both ratios to be that high, so if there are enough such pairs they are the answer, and the rest need not be compared.
+    """
+    rows, low, lowest = clamp_limit(limit, 500), (float(min_first), float(min_last)), min(float(min_first), float(min_last))
+    score = F.col("ratio_first") + F.col("ratio_last")
+    order = [F.desc(score), "last_name_a", "first_name_a", "last_name_b", "first_name_b", *(["dob"] if same_dob else [])]
+
+    def best(first: float, last: float) -> DataFrame:
+        return similar_name_pairs(person, first, last, same_dob, use_soundex).orderBy(*order).limit(rows)
+
+    if math.isfinite(lowest) and lowest < TIGHT:
+        found = checkpointed(best(max(low[0], TIGHT), max(low[1], TIGHT)).filter(score >= 1 + TIGHT))
+        if found.count() == rows:
+            return found.orderBy(*order)
+    return best(*low)

@@ -47,9 +47,8 @@ def month_bit(index: Column) -> Column:
 
 def explode_months(df: DataFrame, bits: str, start: Column, months: int) -> DataFrame:
     """One row a month in the set `bits`, with `month` in the place of `bits`."""
-    indexes = F.filter(
-        F.sequence(F.lit(0), F.lit(months - 1)), lambda i: F.col(bits).bitwiseAND(month_bit(i)) != 0
-    )
-    return df.withColumn("_index", F.explode(indexes)).select(
-        *[c for c in df.columns if c != bits], F.add_months(start, F.col("_index")).alias("month")
+    return (
+        df.withColumn("_index", F.explode(F.sequence(F.lit(0), F.lit(months - 1))))
+        .filter(F.col(bits).bitwiseAND(month_bit(F.col("_index"))) != 0)
+        .select(*[c for c in df.columns if c != bits], F.add_months(start, F.col("_index")).alias("month"))
     )

@@ -106,9 +106,23 @@ def test_best_pairs_come_first_and_limits_hold(spark, crowd):
     assert len(rows) == 7 and scores == sorted(scores, reverse=True)
     with pytest.raises(ValueError, match="finite"):
         similar_full_names(person, float("nan"))
+    with pytest.raises(ValueError, match="every name is alike"):
+        similar_full_names(person, 0, 0, False, False)
     assert similar_name_pairs(person, 1.5, 0.5).count() == 0
 
 
+@pytest.mark.parametrize("limit", [5, 2000])
+def test_best_pairs_with_a_low_minimum(spark, crowd, limit):
+    """Enough good pairs (5), or not (2000): the answer is the top of all pairs either way."""
+    _, person = crowd
+    pairs = similar_name_pairs(person, 0.5, 0.4, True, False).collect()
+    expected = sorted(
+        ((-(r["ratio_first"] + r["ratio_last"]), r["last_name_a"], r["first_name_a"], r["last_name_b"], r["first_name_b"], r["dob"]) for r in pairs)
+    )[:limit]
+    got = similar_full_names(person, 0.5, 0.4, True, False, limit).collect()
+    assert [(r["last_name_a"], r["first_name_a"], r["last_name_b"], r["first_name_b"], r["dob"]) for r in got] == [e[1:] for e in expected]
+
+
 def test_names_with_several_dates(spark, hot_keys_from):
     person = people(
         spark,
