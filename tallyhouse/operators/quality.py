@@ -52,9 +52,11 @@ def multi_dob_names(person: DataFrame, limit: object = None) -> DataFrame:
     )
 
 
-def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: str) -> DataFrame:
+def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: str, strict: bool = False) -> DataFrame:
     """One row a `key` of the name; two names whose ratio reaches `ratio` share one, if one is keyed as the shorter.
 
+    Names of one length may take either role; with `strict` they meet only names of another length.
+
     If the longer of two names has g characters they may differ by k = floor((1 - ratio) * g) edits. Cut the shorter name into
     k + 1 pieces: k edits cannot touch them all, so one piece stands in the longer name as it is, and near its old place. A
     key is made of the two lengths, the number of the piece and its text. The shorter name writes one key a piece and possible
@@ -65,17 +67,18 @@ def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: s
         return names.withColumn(key, F.lit(0).cast("bigint"))
     n = F.char_length(F.col(name))
     if shorter:
-        partners = F.sequence(n, F.greatest(n, F.floor(n / F.lit(ratio) + 1e-9).cast("int")))
+        low, high = n, F.greatest(n, F.floor(n / F.lit(ratio) + 1e-9).cast("int"))
         s, g = n, F.col("_other")
     else:
-        partners = F.sequence(F.greatest(F.lit(1), F.ceil(n * F.lit(ratio) - 1e-9).cast("int")), n)
+        low, high = F.greatest(F.lit(1), F.ceil(n * F.lit(ratio) - 1e-9).cast("int")), n
         s, g = F.col("_other"), n
     k, i, size, start = F.col("_k"), F.col("_i"), F.col("_size"), F.col("_start")
     # The last (s mod (k + 1)) pieces are one character longer than the others.
     plain = k + 1 - s % (k + 1)
     base = F.floor(s / (k + 1)).cast("int")
     pieces = (
-        names.withColumn("_other", F.explode(partners))
+        names.withColumn("_other", F.explode(F.sequence(low, high)))
+        .filter(F.col("_other") != n if strict else F.lit(True))
         .withColumn("_k", F.greatest(F.lit(0), F.floor(F.lit(1 - ratio) * g + 1e-9).cast("int")))
         .withColumn("_i", F.explode(F.sequence(F.lit(0), k)))
         .withColumn("_start", i * base + F.greatest(F.lit(0), i - plain))
@@ -84,9 +87,9 @@ def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: s
     place = start
     if not shorter:
         shift = g - s
-        low = F.greatest(F.lit(0), start - i, start + shift - (k - i))
-        high = F.least(n - size, start + i, start + shift + (k - i))
-        pieces = pieces.withColumn("_place", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))))
+        left = F.greatest(F.lit(0), start - i, start + shift - (k - i))
+        right = F.least(n - size, start + i, start + shift + (k - i))
+        pieces = pieces.withColumn("_place", F.explode(F.when(left <= right, F.sequence(left, F.greatest(left, right)))))
         place = F.col("_place")
     text = F.substring(F.col(name), place + 1, size)
     # A hash will do as the key: names that meet by accident are told apart by the comparison that follows.
@@ -129,21 +132,21 @@ def similar_name_pairs(
         names = names.withColumn("_sf", sound_key(F.col("first"))).withColumn("_sl", sound_key(F.col("last")))
     equal = [*exact, *(["_sf", "_sl"] if use_soundex else [])]
 
-    def side(suffix: str, first_is_shorter: bool, last_is_shorter: bool) -> DataFrame:
-        keyed = _with_piece(names, "first", min_first, first_is_shorter, "_kf")
-        keyed = _with_piece(keyed, "last", min_last, last_is_shorter, "_kl")
+    def side(suffix: str, first_is_shorter: bool, last_is_shorter: bool, strict: bool = False) -> DataFrame:
+        keyed = _with_piece(names, "first", min_first, first_is_shorter, "_kf", strict)
+        keyed = _with_piece(keyed, "last", min_last, last_is_shorter, "_kl", strict)
         named_apart = [F.col(c).alias(c + suffix) for c in ("first", "last", "n", "low_id")]
         # Size estimates know nothing of the exploded keys and would take a side for small enough to broadcast.
         return keyed.select(F.xxhash64(*equal, "_kf", "_kl").alias("_key"), *equal, *named_apart).hint("merge")
 
-    # One name is keyed as the shorter first name; its last name may be the shorter or the longer one. Both sides of these
-    # joins are plain shuffles, so AQE can split a key that many different names share.
+    # Either one full name is no longer than the other in both parts, or it is shorter in the first and longer in the last.
+    # Where a minimum is 0, its part sets no roles, and the first join finds every pair. Both sides of the joins are plain
+    # shuffles, so AQE can split a key that many different names share.
     keys = ["_key", *equal]
-    met = (
-        side("_a", True, True)
-        .join(side("_b", False, False), keys)
-        .unionByName(side("_a", True, False).join(side("_b", False, True), keys))
-    )
+    met = side("_a", True, True).join(side("_b", False, False), keys)
+    if min_first > 0 and min_last > 0:
+        crossed = side("_a", True, False, strict=True).join(side("_b", False, True, strict=True), keys)
+        met = met.unionByName(crossed)
     alike = (
         met.filter((F.col("first_a") != F.col("first_b")) | (F.col("last_a") != F.col("last_b")))
         .withColumn("ratio_first", _ratio("first_a", "first_b"))
