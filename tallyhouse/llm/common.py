@@ -7,7 +7,10 @@ Rows may repeat, ids too: a row is known by its id and its text, so equal rows g
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,20 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to the Python workers, once a context, as `--py-files` would."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyhouse_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="tallyhouse-code-")) / "tallyhouse.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._tallyhouse_sent = True
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write `df` below the shared folder and read it back: the lineage ends, and consumers share one computation."""
     path = scratch_path(df.sparkSession, label)
@@ -40,6 +57,7 @@ def partitions(spark: SparkSession) -> int:
 
 def texts(docs: DataFrame, *more: Column | str) -> DataFrame:
     """`id` (null as the smallest) and `text` (null as empty) of a table with doc_id and text, whatever else it holds."""
+    ship(docs.sparkSession)
     return docs.select(
         F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"), *more
     )

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.llm.common import known_id
+from tallyhouse.llm.fingerprints import edited_fingerprints
+from tallyhouse.llm.language import predict_language
+from tallyhouse.llm.packing import pack_documents
+from tallyhouse.llm.toxicity import score_toxicity
 from tallyhouse.llm.url_filter import ALLOW, BLOCK, Rule, filter_urls
 
 
@@ -13,6 +19,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the tokenizer's vocabulary lies; the library takes any path.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = predict_language(_table(spark, sf_dir, "documents"))
+    return found.select(known_id(), "held_out", "lang_pred", "score")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return placed.select(known_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 # Fixed by the contract, in its order.
 URL_RULES = (
     Rule(ALLOW, "com", "/"),
@@ -28,8 +48,24 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select(
+        known_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select(known_id(), "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_minhash_fingerprints": op5_minhash_fingerprints,
+    "op6_toxicity": op6_toxicity,
 }
 
 SQL: dict[str, str] = {}
