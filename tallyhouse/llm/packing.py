@@ -28,6 +28,10 @@ from tallyhouse.llm.common import slices, stored, texts
 _NOT_SPLIT = r"[\s\x0B\x1C-\x1F\x85\p{Z}\p{C}]{2}|^ | $"
 
 
+#: Larger slices than elsewhere: more of their chunks are equal.
+SLICE_BYTES = 12 << 20
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -44,6 +48,37 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
+@lru_cache(maxsize=4)
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes of each token: its characters stand for one byte each."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, number in vocabulary.items():
+        out[number] = len(token)
+    return out
+
+
+def _encode_chunks(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct chunks one after another, and where each chunk's begin.
+
+    Blank-led chunks are tokenised as one text, since tokens never cross a blank, and parted again by the bytes of the tokens.
+    """
+    tokenizer, led = _tokenizer(path), np.asarray(pc.starts_with(chunks, " "), dtype=bool)
+    long = chunks.filter(pa.array(led))
+    sizes = np.asarray(pc.binary_length(long), dtype=np.int64)
+    one = np.array(tokenizer.encode("".join(long.to_pylist()), add_special_tokens=False).ids, np.uint32)
+    ends = np.searchsorted(np.cumsum(_token_bytes(path)[one]), np.cumsum(sizes)) + 1 if len(one) else sizes
+    other, other_at = _flat([e.ids for e in tokenizer.encode_batch_fast(chunks.filter(pa.array(~led)).to_pylist(), add_special_tokens=False)])
+    number = np.zeros(len(chunks), np.int64)
+    number[led] = np.diff(np.concatenate([[0], ends]))
+    number[~led] = np.diff(other_at)
+    at = np.concatenate([[0], np.cumsum(number)]).astype(np.int64)
+    ids = np.empty(at[-1], np.uint32)
+    mine = np.repeat(led, number)
+    ids[mine], ids[~mine] = one, other
+    return ids, at
+
+
 def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and where each text starts among them.
 
@@ -63,7 +98,7 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     lead[bounds[:-1][np.diff(bounds) > 0]] = False
     marked = pc.binary_join_element_wise(pc.if_else(pa.array(lead), " ", ""), values, "")
     chunks = marked.dictionary_encode()
-    ids, at = _flat([e.ids for e in tokenizer.encode_batch_fast(chunks.dictionary.to_pylist(), add_special_tokens=False)])
+    ids, at = _encode_chunks(chunks.dictionary, path)
     which = np.asarray(chunks.indices, dtype=np.int64)
     sizes = np.diff(at)[which]
     split_at = np.concatenate([[0], np.cumsum(sizes)])[bounds]
@@ -85,7 +120,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 10
     """id, piece, start, length, ids_crc32 and, if asked for, ids: each text's tokens and the end mark, cut to the capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             ids, at = encode(batch.column(1), path)
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for k in range(batch.num_rows):
