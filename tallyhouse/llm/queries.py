@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyhouse.llm.common import known_id
+from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.fingerprints import edited_fingerprints
 from tallyhouse.llm.language import predict_language
 from tallyhouse.llm.packing import pack_documents
+from tallyhouse.llm.pii import span_digest
 from tallyhouse.llm.toxicity import score_toxicity
 from tallyhouse.llm.url_filter import ALLOW, BLOCK, Rule, filter_urls
 
@@ -60,12 +62,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(known_id(), "held_out", "score", "predicted")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(known_id(), "item_id", "score", "question_overlap", "answer_overlap", "start_word")
+
+
+def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = span_digest(_table(spark, sf_dir, "documents"))
+    return found.select(known_id(), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_pii_sanitise": op8_pii_sanitise,
 }
 
 SQL: dict[str, str] = {}
