@@ -11,10 +11,12 @@ rows. Texts are whole, however long; only documents above the capacity are cut,
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,42 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# Fixed value: how byte-level vocabularies of this family split a text before the merges.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+@lru_cache(maxsize=4)
+def _ranked(path: str):
+    """The same vocabulary for merging by rank, which is several times as fast; None unless it gives the same ids by construction: plain
+    byte-level merges, numbered in their order."""
+    import tiktoken
+
+    given = json.loads(Path(path).read_text())
+    model, before = given["model"], given.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    )
+    if not plain or given.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
+        return None
+    byte, ranks = _byte_characters(), {}
+    special = {t["content"] for t in given.get("added_tokens", [])}
+    for token, number in model["vocab"].items():
+        if token not in special:
+            ranks[bytes(byte[c] for c in token)] = number
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    numbers = [model["vocab"][a + b] for a, b in merges]
+    if numbers != sorted(numbers) or len(numbers) + 256 != len(ranks) or numbers[0] != 256:
+        return None
+    return tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}), frozenset(special)
+
+
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     at = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=at[1:])
@@ -66,7 +104,11 @@ def _encode_chunks(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
     tokenizer, led = _tokenizer(path), np.asarray(pc.starts_with(chunks, " "), dtype=bool)
     long = chunks.filter(pa.array(led))
     sizes = np.asarray(pc.binary_length(long), dtype=np.int64)
-    one = np.array(tokenizer.encode("".join(long.to_pylist()), add_special_tokens=False).ids, np.uint32)
+    text, ranked = "".join(long.to_pylist()), _ranked(path)
+    if ranked is None or any(mark in text for mark in ranked[1]):
+        one = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    else:
+        one = ranked[0].encode_to_numpy(text)
     ends = np.searchsorted(np.cumsum(_token_bytes(path)[one]), np.cumsum(sizes)) + 1 if len(one) else sizes
     other, other_at = _flat([e.ids for e in tokenizer.encode_batch_fast(chunks.filter(pa.array(~led)).to_pylist(), add_special_tokens=False)])
     number = np.zeros(len(chunks), np.int64)
