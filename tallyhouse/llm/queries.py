@@ -11,6 +11,7 @@ from tallyhouse.llm.common import known_id
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.fingerprints import edited_fingerprints
 from tallyhouse.llm.language import predict_language
+from tallyhouse.llm.ngram_join import similar_components
 from tallyhouse.llm.packing import pack_documents
 from tallyhouse.llm.pii import span_digest
 from tallyhouse.llm.toxicity import score_toxicity
@@ -72,6 +73,11 @@ def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(known_id(), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select(known_id(), "n_shingles", known_id("component_id").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii_sanitise": op8_pii_sanitise,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
