@@ -56,7 +56,7 @@ def _valid(kind: Column, hit: Column) -> Column:
     return (
         F.when(kind == "email", F.lit(True))
         .when(kind == "ip", parts)
-        .when(kind == "card", F.when(number.between(16, 19), F.luhn_check(digits)).otherwise(False))
+        .when(kind == "card", F.when(number.between(16, 19), F.call_function("luhn_check", digits)).otherwise(False))
         .otherwise(number.between(8, 15))
     )
 
@@ -248,10 +248,13 @@ def span_digest(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame
     rows = rows_of(docs).drop("text").join(lists, ["id", "hash"], "left")
     every = F.coalesce("all", F.array().cast("array<struct<order:bigint,start:bigint,end:bigint,kind:string>>"))
     rows = rows.select("id", every.alias("all"))
-    count = {f"n_{k}": F.size(F.filter("all", lambda s, k=k: s["kind"] == k)).cast("bigint") for k in KINDS}
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     return rows.select(
         "id",
-        *[c.alias(n) for n, c in count.items()],
+        *[number(k) for k in KINDS],
         F.sha2(_joined(F.filter("all", lambda s: s["kind"] != TERM)), 256).alias("base_sha256"),
         _joined(F.col("all")).alias("spans"),
     )
