@@ -105,10 +105,10 @@ def _beside_next(docs: DataFrame) -> DataFrame:
     firsts = sorted((r[1], r[0]) for r in ids.groupBy("bucket").agg(F.min("id")).collect())
     tails = [(first, firsts[k - 1][1]) for k, (first, _) in enumerate(firsts)]
     table = spark.createDataFrame(tails, "id bigint, _tail_of int")
-    to = F.array(F.struct(F.col("bucket"), F.lit(False).alias("tail")))
-    both = F.array(F.struct(F.col("bucket"), F.lit(False).alias("tail")), F.struct(F.col("_tail_of"), F.lit(True)))
+    own = F.struct(F.col("bucket").cast("int").alias("bucket"), F.lit(False).alias("tail"))
+    tail = F.struct(F.col("_tail_of").alias("bucket"), F.lit(True).alias("tail"))
     dealt = rows.withColumn("bucket", bucket_of("id")).join(F.broadcast(table), "id", "left")
-    dealt = dealt.select("id", "text", F.explode(F.when(F.col("_tail_of").isNull(), to).otherwise(both)).alias("to"))
+    dealt = dealt.select("id", "text", F.explode(F.when(F.col("_tail_of").isNull(), F.array(own)).otherwise(F.array(own, tail))).alias("to"))
     return (
         dealt.select(F.col("to.bucket").alias("bucket"), F.col("to.tail").alias("tail"), "id", "text")
         .repartition(partitions(spark), "bucket")

@@ -32,7 +32,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = ".-_*~'/\\,:;"
-LOG = {name: float(np.log(p)) for name, p in {"same": 0.90, "leet": 0.80, "kept": 0.20, "joined": 0.60, "apart": 0.40, "once": 0.45, "twice": 0.45, "all": 0.10}.items()}
+LOG = {name: float(np.log(p)) for name, p in {"same": 0.90, "leet": 0.80, "kept": 0.02, "joined": 0.60, "apart": 0.40, "once": 0.45, "twice": 0.45, "all": 0.10}.items()}
 #: Symbols of the trigram model: 0 is everything that is no letter of it.
 SYMBOLS = 64
 SPACED = 4
