@@ -5,9 +5,10 @@ whole item and one threshold serves all. Items lie in blocks; a term knows its l
 `2 * stride` words, a new one begins every `stride` words, and no item is longer than the stride, so an item in a text lies within some
 passage whole.
 
-Passages are pruned as WAND does, by upper bounds: first by the impacts of the rarer terms alone (the commonest terms are those that
-together give no item more than half of the threshold), summed over all passages of a slice at once; then block by block with the
-block maxima; items of the blocks that are left are scored in full. Bounds never cut a score that reaches the threshold.
+Passages are pruned as WAND does, by upper bounds. Of each item the commonest terms, up to `UNREAD` of the threshold together, are not
+read at first: an item can reach the threshold only with some of its other terms. Those terms' block maxima are summed for every passage
+of a slice and block at once; a block is scored in full only where that sum and the most that its unread terms can add reach the
+threshold, and within it terms are read in order of their maxima until no item can get there. Bounds never cut a score that counts.
 
 An item found above the threshold is verified: of the question (all but the last line, or the last sentence) and of the answer (that
 line or sentence) each, `overlap` of the five-word shingles must be in the passage.
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import NO_ID, Rolling, raw, slices, strings, texts, word_hashes, word_ranges
 
-SHINGLE_WORDS, OVERLAP, THRESHOLD = 5, 0.8, 0.5
+SHINGLE_WORDS, OVERLAP, THRESHOLD, UNREAD = 5, 0.8, 0.6, 0.75
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 32
+BLOCK_ITEMS = 8
 _MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TOKENS = Rolling("decontamination tokens")
@@ -68,7 +69,7 @@ class Index:
     at: np.ndarray
     items: np.ndarray
     impacts: np.ndarray
-    common: np.ndarray
+    unread: np.ndarray
     longest: int
     parts: list[tuple[list[str], list[str]]]
 
@@ -91,41 +92,57 @@ class Index:
         items = np.array([k for x in lists for k, _ in x], np.int64)
         impacts = np.array([s for x in lists for _, s in x])
         impacts = impacts / np.maximum(np.bincount(items, impacts, minlength=len(own))[items], 1e-12) if len(items) else impacts
-        # The commonest terms that give no item more than half of the threshold together.
-        given, common = np.zeros(len(own)), np.zeros(len(terms), bool)
-        for t in range(len(terms)):
-            low, high = at[t], at[t + 1]
-            given[items[low:high]] += impacts[low:high]
-            if given.max() > threshold / 2:
-                break
-            common[t] = True
+        # Terms come commonest first, so within an item its postings do too.
+        order = np.lexsort((np.arange(len(items)), items))
+        sums = np.cumsum(impacts[order])
+        starts = np.searchsorted(items[order], np.arange(len(own)))
+        within = sums - np.concatenate([[0.0], sums])[starts][items[order]] if len(items) else sums
+        unread = np.zeros(len(items), bool)
+        unread[order] = within <= UNREAD * threshold
         return cls(
-            [i for i, _ in kept], terms, at, items, impacts, common, max(map(len, own), default=1), [question_and_answer(t) for _, t in kept]
+            [i for i, _ in kept], terms, at, items, impacts, unread, max(map(len, own), default=1), [question_and_answer(t) for _, t in kept]
         )
 
     def prepare(self) -> None:
         """Bounds and look-ups that follow from the postings; made once in each task."""
-        self.top = np.maximum.reduceat(self.impacts, self.at[:-1]) if len(self.terms) else np.zeros(0)
-        self.rare = np.where(self.common, 0.0, self.top)
         blocks = -(-len(self.ids) // BLOCK_ITEMS)
-        self.block_top = np.zeros((len(self.terms), blocks))
         owner = np.repeat(np.arange(len(self.terms)), np.diff(self.at))
+        self.block_top = np.zeros((len(self.terms), blocks))
         np.maximum.at(self.block_top, (owner, self.items // BLOCK_ITEMS), self.impacts)
+        # Postings of blocks that are read first: (term, block) with the largest impact; and what the unread terms add at most.
+        first = np.zeros_like(self.block_top)
+        read = ~self.unread
+        np.maximum.at(first, (owner[read], self.items[read] // BLOCK_ITEMS), self.impacts[read])
+        term, self.read_block = np.nonzero(first)
+        self.read_top = first[term, self.read_block]
+        self.read_at = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        rest = np.bincount(self.items[self.unread], self.impacts[self.unread], minlength=len(self.ids))
+        self.rest = np.maximum.reduceat(rest, np.arange(0, len(rest), BLOCK_ITEMS)) if len(rest) else rest
         self.value_set = pa.array(self.terms, pa.large_string())
         self.shingles = [(shingles(q), shingles(a)) for q, a in self.parts]
 
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items that reach the threshold for a query of distinct terms."""
-        bounds = self.block_top[terms].sum(0)
+    def candidates(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages and blocks (rows) that may reach the threshold, from distinct pairs of passage and term."""
+        number = np.diff(self.read_at)[term]
+        begin = np.repeat(self.read_at[term] - (np.cumsum(number) - number), number)
+        posting = begin + np.arange(len(begin))
+        key = np.repeat(passage, number) * len(self.rest) + self.read_block[posting]
+        key, which = np.unique(key, return_inverse=True)
+        bound = np.bincount(which, self.read_top[posting], minlength=len(key)) + self.rest[key % max(1, len(self.rest))]
+        key = key[bound >= threshold - 1e-9]
+        return np.stack([key // max(1, len(self.rest)), key % max(1, len(self.rest))], 1)
+
+    def search(self, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """(item, score) of all items of these blocks that reach the threshold for a query of distinct terms."""
+        bounds = self.block_top[np.ix_(terms, blocks)].sum(0)
         found = []
-        for block in np.flatnonzero(bounds >= threshold):
+        for block, left in zip(blocks[bounds >= threshold - 1e-9], bounds[bounds >= threshold - 1e-9], strict=True):
             low, high = block * BLOCK_ITEMS, min((block + 1) * BLOCK_ITEMS, len(self.ids))
             scores = np.zeros(high - low)
-            left = bounds[block]
             # Terms with the largest maxima first; what is left cannot lift an item above the threshold once the sum is too small.
             for t in terms[np.argsort(-self.block_top[terms, block], kind="stable")]:
                 best = self.block_top[t, block]
-                if best == 0 or scores.max() + left < threshold:
+                if best == 0 or scores.max() + left < threshold - 1e-9:
                     break
                 a, b = self.at[t] + np.searchsorted(self.items[self.at[t] : self.at[t + 1]], [low, high])
                 scores[self.items[a:b] - low] += self.impacts[a:b]
@@ -162,25 +179,34 @@ def find(index: Index, column: pa.Array, threshold: float, overlap: float) -> li
     place = np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages)
     low = bounds[text] + place * stride
     high = np.minimum(low + 2 * stride, bounds[text + 1])
-    rare = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, index.rare[term], 0.0) if len(index.terms) else np.zeros(len(term)))])
     best: dict[tuple[int, int], tuple[int, int, float, float, float, int]] = {}
-    for p in np.flatnonzero(rare[high] - rare[low] >= threshold / 2 - 1e-9):
+    # Each word lies in the passage that begins at its stride and in the one before.
+    known = np.flatnonzero(term >= 0)
+    of_text = np.searchsorted(bounds, known, "right") - 1
+    nth = (known - bounds[of_text]) // stride
+    first_passage = np.cumsum(passages) - passages
+    pairs = []
+    for back in (0, 1):
+        there = (nth - back >= 0) & (nth - back < passages[of_text])
+        pairs.append((first_passage[of_text[there]] + nth[there] - back) * max(1, len(index.terms)) + term[known[there]])
+    pair = np.unique(np.concatenate(pairs))
+    may = index.candidates(pair // max(1, len(index.terms)), pair % max(1, len(index.terms)), threshold)
+    heads = np.flatnonzero(np.diff(may[:, 0], prepend=-1))
+    for a, b in zip(heads, [*heads[1:], len(may)], strict=True):
+        p, blocks = int(may[a, 0]), may[a:b, 1]
         own = term[low[p] : high[p]]
-        terms = np.unique(own[own >= 0])
-        if index.top[terms].sum() < threshold - 1e-9:
-            continue
-        hits = index.search(terms, threshold)
+        hits = index.search(np.unique(own[own >= 0]), blocks, threshold)
         if not hits:
             continue
         words = normal.take(pa.array(number[low[p] : high[p]])).to_pylist()
-        there: dict[int, set] = {}
+        grams: dict[int, set] = {}
         for item, score in hits:
             shares = []
             for part, words_of_part in zip(index.shingles[item], index.parts[item], strict=True):
                 size = min(SHINGLE_WORDS, len(words_of_part))
-                if size not in there:
-                    there[size] = shingles(words, size)
-                shares.append(len(part & there[size]) / max(1, len(part)))
+                if size not in grams:
+                    grams[size] = shingles(words, size)
+                shares.append(len(part & grams[size]) / max(1, len(part)))
             if min(shares) >= overlap:
                 key = (int(text[p]), item)
                 new = (*key, score, *shares, int(low[p] - bounds[text[p]]))
