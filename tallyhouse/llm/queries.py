@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import known_id
 from tallyhouse.llm.decontaminate import contaminated
@@ -14,6 +15,7 @@ from tallyhouse.llm.language import predict_language
 from tallyhouse.llm.ngram_join import similar_components
 from tallyhouse.llm.packing import pack_documents
 from tallyhouse.llm.pii import span_digest
+from tallyhouse.llm.superkmers import remove_repeats
 from tallyhouse.llm.toxicity import score_toxicity
 from tallyhouse.llm.url_filter import ALLOW, BLOCK, Rule, filter_urls
 
@@ -31,6 +33,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(known_id(), "held_out", "lang_pred", "score")
 
 
+def op2_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select(known_id(), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
     return placed.select(known_id(), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -80,6 +87,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_superkmer_dedup": op2_superkmer_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filter": op4_url_filter,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
