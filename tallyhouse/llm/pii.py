@@ -195,13 +195,12 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, limits: Disclosure = Disc
         .agg(F.count("*").alias("all"))
     )
     entities = own.select("id", "hash", "kind", "entity", "context").groupBy("kind", "entity").agg(F.count("*").alias("of_entity"))
-    everything = entities.agg(F.sum("of_entity").alias("of_all"))
+    of_all = entities.agg(F.sum("of_entity")).first()[0] or 1
     judged = (
         candidates.join(occurrences, "term")
         .join(entities, ["kind", "entity"])
-        .crossJoin(F.broadcast(everything))
         .withColumn("share", F.col("both") / F.greatest("all", "both"))
-        .withColumn("bits", F.log2(F.col("share") / (F.col("of_entity") / F.col("of_all"))))
+        .withColumn("bits", F.log2(F.col("share") / (F.col("of_entity") / F.lit(of_all))))
     )
     return judged.where((F.col("share") >= limits.share) & (F.col("bits") >= limits.bits)).select("term", "kind", "entity", "bits", "share")
 

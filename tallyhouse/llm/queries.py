@@ -15,6 +15,7 @@ from tallyhouse.llm.language import predict_language
 from tallyhouse.llm.ngram_join import similar_components
 from tallyhouse.llm.packing import pack_documents
 from tallyhouse.llm.pii import span_digest
+from tallyhouse.llm.suffix_dedup import remove_strings
 from tallyhouse.llm.superkmers import remove_repeats
 from tallyhouse.llm.toxicity import score_toxicity
 from tallyhouse.llm.url_filter import ALLOW, BLOCK, Rule, filter_urls
@@ -80,6 +81,11 @@ def op8_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(known_id(), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_strings(_table(spark, sf_dir, "documents"))
+    return left.select(known_id(), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_components(_table(spark, sf_dir, "documents"), size=3, percent=90)
     return found.select(known_id(), "n_shingles", known_id("component_id").alias("component_id"))
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii_sanitise": op8_pii_sanitise,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 

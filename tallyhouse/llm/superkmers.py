@@ -18,7 +18,7 @@ equal results. A null id is smaller than all others.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +36,20 @@ _WORDS, _ONE, _TWO = Rolling("k-mer words"), Rolling("k-mer windows"), Rolling("
 _U = np.uint64
 
 
-def frequent_cells(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
+def word_grams(column: pa.Array, gram: int) -> np.ndarray:
+    data, offsets = raw(column)
+    starts, ends, bounds = word_ranges(data, offsets)
+    grams = _ONE.windows(_ONE.prefix(word_hashes(data, starts, ends, _WORDS)), gram)
+    return grams[inside_values(bounds, gram, len(starts))]
+
+
+def frequent_cells(docs: DataFrame, grams_of: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
     """For each cell of hashed grams 0, or how frequent it is (1 to 7, by powers of two), counted over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for batch in slices(batches):
-            data, offsets = raw(batch.column(1))
-            starts, ends, bounds = word_ranges(data, offsets)
-            grams = _ONE.windows(_ONE.prefix(word_hashes(data, starts, ends, _WORDS)), gram)
-            own = grams[inside_values(bounds, gram, len(starts))]
-            cells += np.bincount((own % _U(CELLS)).astype(np.int64), minlength=CELLS)
+            cells += np.bincount((grams_of(batch.column(1)) % _U(CELLS)).astype(np.int64), minlength=CELLS)
         total = int(cells.sum())
         # A cell above the share overall is above half of it in tasks that hold half of its grams or more.
         at = np.flatnonzero(cells > max(2, FREQUENT / 2 * total))
@@ -87,23 +90,24 @@ def super_kmers(hashes: np.ndarray, bounds: np.ndarray, level: np.ndarray, windo
 
 
 # Rows on their way: a packed bundle, or (packed is null) words of a document found to be repeats already.
-_TRAVEL = "bucket int, packed binary, id bigint, hash bigint, first bigint, last bigint"
-_FOUND = "id bigint, hash bigint, first bigint, last bigint"
+TRAVEL = "bucket int, packed binary, id bigint, hash bigint, first bigint, last bigint"
+FOUND = "id bigint, hash bigint, first bigint, last bigint"
 
 
-def _bundle(ids: np.ndarray, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> bytes:
-    head = struct.pack("<q", len(ids)) + b"".join(x.astype("<i8").tobytes() for x in (ids, hashes, first, sizes))
+def bundle(columns: list[np.ndarray], data: np.ndarray) -> bytes:
+    """Columns of whole numbers and bytes, packed."""
+    head = struct.pack("<q", len(columns[0])) + b"".join(x.astype("<i8").tobytes() for x in columns)
     return zstandard.ZstdCompressor(level=1).compress(head + data.tobytes())
 
 
-def _unbundle(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unbundle(packed: bytes, width: int) -> tuple[np.ndarray, ...]:
     plain = zstandard.ZstdDecompressor().decompress(packed)
     (count,) = struct.unpack_from("<q", plain)
-    columns = np.frombuffer(plain, "<i8", 4 * count, 8).reshape(4, count)
-    return (*columns, np.frombuffer(plain, np.uint8, offset=8 + 32 * count))
+    columns = np.frombuffer(plain, "<i8", width * count, 8).reshape(width, count)
+    return (*columns, np.frombuffer(plain, np.uint8, offset=8 * (1 + width * count)))
 
 
-def _found_rows(bucket, ids, hashes, first, last) -> pa.RecordBatch:
+def found_rows(bucket, ids, hashes, first, last) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket, pa.int32()), pa.nulls(len(ids), pa.binary()), *[pa.array(x, pa.int64()) for x in (ids, hashes, first, last)]],
         ["bucket", "packed", "id", "hash", "first", "last"],
@@ -115,7 +119,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets = 4 * parts
-    level = frequent_cells(docs, gram)
+    level = frequent_cells(docs, lambda column: word_grams(column, gram))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], int] = {}  # strings of frequent grams that this task has sent, with the smallest id
@@ -149,7 +153,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
                 sent.clear()
             if known.any():
                 spread = (mix(ids[known].astype(_U)) % _U(buckets)).astype(np.int32)
-                yield _found_rows(spread, ids[known], marks[known], first[known], last[known])
+                yield found_rows(spread, ids[known], marks[known], first[known], last[known])
             go = np.flatnonzero(~known)
             bucket = (mix(least[go]) % _U(buckets)).astype(np.int64)
             go = go[np.argsort(bucket, kind="stable")]
@@ -161,37 +165,50 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
                 own = slice(at[b], at[b + 1])
                 k = go[own]
                 sizes = np.diff(text_at[at[b] : at[b + 1] + 1])
-                packed.append(_bundle(ids[k], marks[k], first[k], sizes, text[text_at[at[b]] : text_at[at[b + 1]]]))
+                packed.append(bundle([ids[k], marks[k], first[k], sizes], text[text_at[at[b]] : text_at[at[b + 1]]]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int32()), pa.array(packed, pa.binary()), *[pa.nulls(len(used), pa.int64())] * 4],
                 ["bucket", "packed", "id", "hash", "first", "last"],
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            done = batch.filter(batch.column(1).is_null())
-            if done.num_rows:
-                yield done.select(["id", "hash", "first", "last"])
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if packed is None:
-                    continue
-                if bucket != now:
-                    if held:
-                        yield _count_bucket(held, window)
-                    now, held = bucket, []
-                held.append(packed)
-        if held:
-            yield _count_bucket(held, window)
+        yield from by_bucket(batches, lambda held: _count_bucket(held, window))
 
     rows = texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
-    dealt = rows.mapInArrow(deal, _TRAVEL).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, _FOUND)
+    dealt = rows.mapInArrow(deal, TRAVEL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, FOUND)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], work: Callable[[list[bytes]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of finds as they are, and `work` on all bundles of each bucket; rows come sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        done = batch.filter(batch.column(1).is_null())
+        if done.num_rows:
+            yield done.select(["id", "hash", "first", "last"])
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if packed is None:
+                continue
+            if bucket != now:
+                if held:
+                    yield work(held)
+                now, held = bucket, []
+            held.append(packed)
+    if held:
+        yield work(held)
+
+
+def runs_of(found: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of consecutive finds of one owner."""
+    head = np.ones(len(found), bool)
+    head[1:] = (np.diff(found) > 1) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(head)
+    return heads, np.append(heads[1:] - 1, len(found) - 1)[: len(heads)]
 
 
 def _count_bucket(held: list[bytes], window: int) -> pa.RecordBatch:
     """Sort a bucket's windows; the runs of those that a smaller id has too."""
-    ids, marks, first, sizes, data = (np.concatenate(x) for x in zip(*map(_unbundle, held), strict=True))
+    ids, marks, first, sizes, data = (np.concatenate(x) for x in zip(*(unbundle(x, 4) for x in held), strict=True))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     starts, ends, bounds = word_ranges(data, offsets)
     hashes = word_hashes(data, starts, ends, _WORDS)
@@ -210,10 +227,7 @@ def _count_bucket(held: list[bytes], window: int) -> pa.RecordBatch:
     repeat = np.zeros(len(at), bool)
     repeat[order] = own > smallest
     found, owner = at[repeat], owner[repeat]
-    head = np.ones(len(found), bool)
-    head[1:] = (np.diff(found) > 1) | (owner[1:] != owner[:-1])
-    heads = np.flatnonzero(head)
-    tails = np.append(heads[1:] - 1, len(found) - 1)[: len(heads)]
+    heads, tails = runs_of(found, owner)
     which = owner[heads]
     base = first[which] - bounds[which]
     return pa.RecordBatch.from_arrays(
@@ -233,8 +247,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
             data, offsets = raw(batch.column(1))
             starts, ends, bounds = word_ranges(data, offsets)
             marks = np.zeros(len(starts) + 1, np.int64)
-            first, number = _lists(batch.column(2))
-            last, _ = _lists(batch.column(3))
+            first, number = lists_of(batch.column(2))
+            last, _ = lists_of(batch.column(3))
             base = np.repeat(bounds[:-1], number)
             np.add.at(marks, base + first, 1)
             np.add.at(marks, base + last + window, -1)
@@ -260,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     return both.mapInArrow(keep, "id bigint, text string, n_words bigint, n_removed bigint")
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The flat values of a column of lists (null: none), and how many each row has."""
     number = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
     return np.asarray(column.flatten(), dtype=np.int64), number
