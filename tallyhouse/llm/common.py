@@ -149,11 +149,15 @@ class Rolling:
     """Hashes modulo 2^64 of any range of a sequence, from one pass: sums of codes times powers of an odd base."""
 
     def __init__(self, label: str):
+        self.label = label
         self.codes = _random_words(label, 256)
         self.base = (int(_random_words(label + "/base", 1)[0]) & ~7) | 3
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return Rolling, (self.label,)
+
     def _powers(self, count: int) -> None:
         if len(self.up) < count:
             for name, base in (("up", self.base), ("down", self.inverse)):
@@ -170,10 +174,12 @@ class Rolling:
         return sums
 
     def ranges(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._powers(len(sums))
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
     def windows(self, sums: np.ndarray, size: int) -> np.ndarray:
         """One hash for each start of a window of `size` items."""
+        self._powers(len(sums))
         count = max(0, len(sums) - size)
         return mix((sums[size : size + count] - sums[:count]) * self.down[:count])
 
@@ -185,8 +191,17 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, roll: Rolling) -> np.ndarray:
-    return roll.ranges(roll.prefix(data), starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, roll: Rolling, piece: int = 1 << 19) -> np.ndarray:
+    """A hash of each word, worked out for some bytes at a time: sums over bytes take sixteen times their room."""
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + piece, "right")))
+        base = starts[low]
+        sums = roll.prefix(data[base : ends[high - 1]])
+        out[low:high] = roll.ranges(sums, starts[low:high] - base, ends[low:high] - base)
+        low = high
+    return out
 
 
 def inside_values(bounds: np.ndarray, size: int, total: int) -> np.ndarray:

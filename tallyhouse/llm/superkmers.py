@@ -118,7 +118,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
     """id, hash (of the text), first and last: runs of windows (by the word they start at) that start in a smaller id too."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    buckets = 4 * parts
+    buckets = 8 * parts
     level = frequent_cells(docs, lambda column: word_grams(column, gram))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
