@@ -192,7 +192,7 @@ def find(index: Index, column: pa.Array, threshold: float, overlap: float) -> li
     pair = np.unique(np.concatenate(pairs))
     may = index.candidates(pair // max(1, len(index.terms)), pair % max(1, len(index.terms)), threshold)
     heads = np.flatnonzero(np.diff(may[:, 0], prepend=-1))
-    for a, b in zip(heads, [*heads[1:], len(may)], strict=True):
+    for a, b in zip(heads, np.append(heads, len(may))[1:], strict=True):
         p, blocks = int(may[a, 0]), may[a:b, 1]
         own = term[low[p] : high[p]]
         hits = index.search(np.unique(own[own >= 0]), blocks, threshold)

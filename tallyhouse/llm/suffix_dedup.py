@@ -79,19 +79,22 @@ def _earlier(one: np.ndarray, two: np.ndarray, ids: np.ndarray, marks: np.ndarra
     order = np.lexsort((first, marks, ids, two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
-    return _not_first(order, new, ids, marks)
+    return _not_first(order, new, ids, marks, first)
 
 
-def _not_first(order: np.ndarray, new: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Of items sorted by (group, id, mark, start): those of a larger id than the group's, or not the first of their document."""
+def _not_first(order: np.ndarray, new: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of items sorted by (group, id, mark, start): those of a larger id than the group's, or later than the first of their document.
+
+    Repeated rows give items that are equal in all of these; none of them is later than another.
+    """
     out = np.zeros(len(order), bool)
     if not len(order):
         return out
-    own, mark = ids[order], marks[order]
+    own, mark, at = ids[order], marks[order], start[order]
     smallest = own[new][np.cumsum(new) - 1]
-    again = np.zeros(len(order), bool)
-    again[1:] = ~new[1:] & (own[1:] == own[:-1]) & (mark[1:] == mark[:-1])
-    out[order] = (own > smallest) | again
+    document = new.copy()
+    document[1:] |= (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])
+    out[order] = (own > smallest) | (at > at[document][np.cumsum(document) - 1])
     return out
 
 
@@ -198,7 +201,7 @@ def _sort_shard(held: list[bytes], length: int) -> pa.RecordBatch:
         order = np.lexsort((start, marks[mine], ids[mine], group))
         head = np.ones(len(order), bool)
         head[1:] = group[order[1:]] != group[order[:-1]]
-        repeat = _not_first(order, head, ids[mine], marks[mine])
+        repeat = _not_first(order, head, ids[mine], marks[mine], start)
         found = np.sort(at[repeat])
         owner = np.searchsorted(starts, found, "right") - 1
         heads, tails = runs_of(found, owner)
