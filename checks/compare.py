@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -57,6 +59,12 @@ def run(spark: SparkSession, sf_dir: str, names: list[str]) -> int:
 
 
 if __name__ == "__main__":
-    session = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false")
+    scratch = tempfile.mkdtemp(prefix="compare-")
+    session = build_session(
+        "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__checkpoint__dir=scratch
+    )
     session.sparkContext.setLogLevel("ERROR")
-    sys.exit(1 if run(session, sys.argv[1], sys.argv[2:]) else 0)
+    failures = run(session, sys.argv[1], sys.argv[2:])
+    session.stop()
+    shutil.rmtree(scratch, ignore_errors=True)
+    sys.exit(1 if failures else 0)

@@ -81,8 +81,13 @@ def date_text() -> Column:
 
 
 def id_text(service: str) -> Column:
+    """Most ids are those of persons. Of every 17th row in turn: no number, too long, blank, and beyond a signed 64-bit number."""
     return F.expr(
-        f"if(o_orderkey % 17 = 0, concat('X', o_custkey), concat(' 00', o_custkey + {ID_BASE[service]}, ' '))"
+        f"""CASE WHEN o_orderkey % 17 <> 0 THEN concat(' 00', o_custkey + {ID_BASE[service]}, ' ')
+        WHEN o_orderkey div 17 % 4 = 0 THEN concat('X', o_custkey)
+        WHEN o_orderkey div 17 % 4 = 1 THEN '123456789012345678901234'
+        WHEN o_orderkey div 17 % 4 = 2 THEN '  '
+        ELSE string(18446744073709551615BD - o_custkey) END"""
     )
 
 

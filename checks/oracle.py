@@ -41,7 +41,7 @@ def parsed(c: str) -> str:
 
 
 def number(c: str) -> str:
-    return f"CASE WHEN regexp_matches(trim({c}), '^[0-9]+$') THEN TRY_CAST(trim({c}) AS BIGINT) END"
+    return f"CASE WHEN regexp_matches(trim({c}), '^[0-9]+$') THEN CAST(TRY_CAST(trim({c}) AS UBIGINT) AS DECIMAL(20, 0)) END"
 
 
 def blank(c: str) -> str:
@@ -93,8 +93,9 @@ def exports_cte(merge: bool = False) -> str:
         facts.append("CASE WHEN o_orderkey % 13 <> 0 THEN ' ' || (o_custkey // 3) ELSE '' END AS household_text")
         extra = ", " + ", ".join(facts)
     return (
-        f"raw AS (SELECT {service} AS service, CASE WHEN o_orderkey % 17 = 0 THEN 'X' || o_custkey "
-        f"ELSE ' 00' || (o_custkey + {base}) || ' ' END AS id_text, {DATE_TEXT} AS date_text{extra} FROM orders)"
+        f"raw AS (SELECT {service} AS service, CASE WHEN o_orderkey % 17 <> 0 THEN ' 00' || (o_custkey + {base}) || ' ' "
+        "WHEN (o_orderkey // 17) % 4 = 0 THEN 'X' || o_custkey WHEN (o_orderkey // 17) % 4 = 1 THEN '123456789012345678901234' "
+        "WHEN (o_orderkey // 17) % 4 = 2 THEN '  ' ELSE CAST(18446744073709551615 - o_custkey AS VARCHAR) END AS id_text, " + f"{DATE_TEXT} AS date_text{extra} FROM orders)"
     )
 
 
@@ -315,7 +316,7 @@ def merge_ctes() -> list[str]:
     return [person_cte(), HOUSEHOLD, KEYS, *records_ctes(), f"fresh AS ({FRESH})"]
 
 
-NEW_ID = "-(key * 4 + CASE service WHEN 'pantry' THEN 0 WHEN 'pharmacy' THEN 1 ELSE 2 END + 1)"
+NEW_ID = "CAST(-(CAST(key AS DECIMAL(30, 0)) * 4 + CASE service WHEN 'pantry' THEN 0 WHEN 'pharmacy' THEN 1 ELSE 2 END + 1) AS DECIMAL(20, 0))"
 FRESH = (
     "SELECT r.* FROM records r WHERE NOT EXISTS (SELECT 1 FROM person_keys k WHERE k.service = r.service AND k.key = r.key)"
 )
@@ -331,9 +332,9 @@ def unset(f: str) -> str:
 
 
 def merged_person() -> str:
-    ids = ", ".join(f"p.{i}" for i in IDS)
+    ids = ", ".join(f"CAST(p.{i} AS DECIMAL(20, 0)) AS {i}" for i in ("person_id", *IDS))
     facts = ", ".join(f"CASE WHEN {unset(f)} AND b.{f} IS NOT NULL THEN b.{f}.v ELSE p.{f} END AS {f}" for f in PERSON_FIELDS)
-    return f"SELECT p.person_id, {ids}, {facts} FROM person p LEFT JOIN best b USING (person_id) UNION ALL {inserted('fresh')}"
+    return f"SELECT {ids}, {facts} FROM person p LEFT JOIN best b USING (person_id) UNION ALL {inserted('fresh')}"
 
 
 def merged_audit() -> str:
@@ -342,7 +343,7 @@ def merged_audit() -> str:
         "NULL::VARCHAR AS old_value, CAST(key AS VARCHAR) AS new_value FROM fresh"
     ]
     parts += [
-        f"SELECT p.person_id, b.{f}.w, 'update', '{f}', CAST(p.{f} AS VARCHAR), CAST(b.{f}.v AS VARCHAR) "
+        f"SELECT CAST(p.person_id AS DECIMAL(20, 0)), b.{f}.w, 'update', '{f}', CAST(p.{f} AS VARCHAR), CAST(b.{f}.v AS VARCHAR) "
         f"FROM person p JOIN best b USING (person_id) WHERE {unset(f)} AND b.{f} IS NOT NULL"
         for f in PERSON_FIELDS
     ]
@@ -350,9 +351,9 @@ def merged_audit() -> str:
 
 
 def swept() -> str:
-    ids = ", ".join(f"p.{i}" for i in IDS)
+    ids = ", ".join(f"CAST(p.{i} AS DECIMAL(20, 0)) AS {i}" for i in ("person_id", *IDS))
     facts = ", ".join(f"coalesce(b.{f}.v, p.{f}) AS {f}" for f in PERSON_FIELDS)
-    return f"SELECT p.person_id, {ids}, {facts} FROM person p LEFT JOIN best b USING (person_id)"
+    return f"SELECT {ids}, {facts} FROM person p LEFT JOIN best b USING (person_id)"
 
 
 def pantry_links(keyed: str) -> str:
@@ -378,6 +379,7 @@ def all_sql() -> dict[str, str]:
     )
     reasons = (
         f"CASE WHEN {blank('id_text')} THEN 'blank id' WHEN NOT regexp_matches(trim(id_text), '^[0-9]+$') THEN 'id is not numeric' "
+        f"WHEN ({number('id_text')}) IS NULL THEN 'id out of range' "
         f"WHEN {blank('date_text')} THEN 'blank date' WHEN ({parsed('date_text')}) IS NULL THEN 'date not understood' END"
     )
     sources = "CASE service " + " ".join(f"WHEN '{s.service}' THEN '{s.table}'" for s in SERVICES) + " END"
@@ -447,7 +449,8 @@ def all_sql() -> dict[str, str]:
         "person_merge": merges + merged_person(),
         "person_merge_audit": merges + merged_audit(),
         "household_merge": merges
-        + "SELECT household_id, person_id FROM household UNION SELECT l.household_id, p.person_id FROM "
+        + "SELECT CAST(household_id AS DECIMAL(20, 0)) AS household_id, CAST(person_id AS DECIMAL(20, 0)) AS person_id FROM household "
+        + "UNION SELECT l.household_id, CAST(p.person_id AS DECIMAL(20, 0)) FROM "
         + f"({pantry_links('t.key')}) l JOIN person p ON p.pantry_client_id = l.person_id",
         "latest_fields": merges + swept(),
         "rebuild_all": merges + inserted("records"),

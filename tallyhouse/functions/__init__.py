@@ -11,6 +11,8 @@ from tallyhouse.functions.columns import (
     month_start,
     numeric_id,
     once,
+    id_key,
+    id_of_key,
     or_unknown,
     parse_mixed_date,
     pct2,
@@ -35,6 +37,8 @@ __all__ = [
     "month_start",
     "numeric_id",
     "once",
+    "id_key",
+    "id_of_key",
     "or_unknown",
     "parse_mixed_date",
     "pct2",

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import in_range, is_blank, is_numeric_id, month_start, once, parse_mixed_date
+from tallyhouse.functions import id_key, in_range, is_blank, is_numeric_id, month_start, once, parse_mixed_date
 from tallyhouse.operators.skew import spread_join
 from tallyhouse.operators.windows import check_months, explode_months, month_bit, month_index
 from tallyhouse.schemas import SERVICES, ServiceExport
@@ -33,7 +33,7 @@ def parse_export(spec: ServiceExport, export: DataFrame) -> DataFrame:
     id_text, date_text = F.col(f"`{spec.id_column}`"), F.col(f"`{spec.date_column}`")
     parsed = once(
         export.filter(is_numeric_id(id_text)),
-        F.trim(id_text).try_cast("bigint").alias("key"),
+        id_key(id_text).alias("key"),
         parse_mixed_date(date_text).alias("event_date"),
     )
     return parsed.select("key", "event_date").filter(F.col("key").isNotNull() & F.col("event_date").isNotNull())
@@ -89,7 +89,7 @@ def person_keys(person: DataFrame) -> DataFrame:
     ids = F.inline(
         F.array(
             *[
-                F.struct(F.lit(s.service).alias("service"), F.col(s.person_key).cast("bigint").alias("key"))
+                F.struct(F.lit(s.service).alias("service"), id_key(F.col(s.person_key)).alias("key"))
                 for s in SERVICES
             ]
         )
@@ -117,13 +117,17 @@ def person_month_events(
 
 
 def rejected_events(exports: Exports) -> DataFrame:
-    """(source, reason, count) of export rows that no report can use; the id is looked at first."""
+    """(source, reason, count) of export rows that no report can use; the id is looked at first.
+
+    With the rows that `parse_export` keeps these are all rows of an export.
+    """
     parts = []
     for spec, df in known_exports(exports):
         id_text, date_text = F.col(f"`{spec.id_column}`"), F.col(f"`{spec.date_column}`")
         reason = (
             F.when(is_blank(id_text), F.lit("blank id"))
             .when(~is_numeric_id(id_text), F.lit("id is not numeric"))
+            .when(id_key(id_text).isNull(), F.lit("id out of range"))
             .when(is_blank(date_text), F.lit("blank date"))
             .when(parse_mixed_date(date_text).isNull(), F.lit("date not understood"))
         )

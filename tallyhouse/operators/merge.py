@@ -12,27 +12,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.functions import is_blank, is_numeric_id, once, parse_mixed_date
+from tallyhouse.functions import id_key, id_of_key, is_blank, is_numeric_id, numeric_id, once, parse_mixed_date
 from tallyhouse.operators.events import Exports, known_exports, person_keys
 from tallyhouse.operators.skew import spread_join
-from tallyhouse.schemas import HOUSEHOLD, PERSON, PERSON_AUDIT, PERSON_FIELDS, SERVICES
+from tallyhouse.schemas import HOUSEHOLD, ID, PERSON, PERSON_AUDIT, PERSON_FIELDS, SERVICES
 
 HOUSEHOLD_COLUMN = "Household ID"
-# Keys below this bound are numbered without a hash; see `new_person_id`.
-PLAIN_KEYS = 1 << 60
 
 
 def new_person_id(service: Column, key: Column) -> Column:
     """A person id from the service and its key: the same on every run, and found without a global count.
 
-    Ids made here are negative, so they meet none that a database handed out. (service, key) maps to its id one to one; only
-    keys of 2^60 and more, which no export is known to hold, share a range by hash.
+    Ids made here are negative, so they meet none that a database handed out. (service, key) maps to its id one to one.
     """
     code = F.lit(0)
     for at, spec in enumerate(SERVICES):
         code = F.when(service == spec.service, at).otherwise(code)
-    hashed = F.xxhash64(service, key).bitwiseAND(F.lit(PLAIN_KEYS - 1))
-    return F.when(key < PLAIN_KEYS, -(key * 4 + code + 1)).otherwise(-(hashed * 4 + 4))
+    return (-(id_of_key(key) * 4 + code + 1)).cast(ID)
 
 
 def source_records(exports: Exports) -> DataFrame:
@@ -56,7 +52,7 @@ def source_records(exports: Exports) -> DataFrame:
             fields.append(value.alias(f"_{name}"))
         parsed = once(
             df.filter(is_numeric_id(id_text)),
-            F.trim(id_text).try_cast("bigint").alias("_key"),
+            id_key(id_text).alias("_key"),
             parse_mixed_date(date_text).alias("_seen"),
             *fields,
         )
@@ -100,6 +96,11 @@ def _unset(name: str) -> Column:
     return F.col(name).isNull() if name == "dob" else is_blank(F.col(name))
 
 
+def _ids() -> list[Column]:
+    """The id columns of `person`, whatever integral type they come in."""
+    return [F.col(f.name).cast(ID).alias(f.name) for f in PERSON if f.name not in PERSON_FIELDS]
+
+
 def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New persons for export ids that `person` does not hold, and blank fields filled; with an audit of both.
 
@@ -109,7 +110,7 @@ def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, Data
     """
     known = person_keys(person).select("service", "key").distinct()
     fresh = records.join(known, ["service", "key"], "left_anti")
-    keys = [F.when(F.col("service") == s.service, F.col("key")).alias(s.person_key) for s in SERVICES]
+    keys = [F.when(F.col("service") == s.service, id_of_key(F.col("key"))).alias(s.person_key) for s in SERVICES]
     inserts = fresh.select(
         new_person_id(F.col("service"), F.col("key")).alias("person_id"),
         *keys,
@@ -118,7 +119,7 @@ def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, Data
     joined = person.join(latest_by_person(person, records), "person_id", "left")
     filled = {name: _unset(name) & F.col(f"_{name}.value").isNotNull() for name in PERSON_FIELDS}
     existing = joined.select(
-        *[F.col(f.name) for f in PERSON if f.name not in PERSON_FIELDS],
+        *_ids(),
         *[F.when(filled[n], F.col(f"_{n}.value")).otherwise(F.col(n)).alias(n) for n in PERSON_FIELDS],
     )
     changes = F.array(
@@ -136,14 +137,14 @@ def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, Data
             for n in PERSON_FIELDS
         ]
     )
-    updates = joined.select("person_id", F.inline(F.filter(changes, lambda c: c.isNotNull())))
+    updates = joined.select(F.col("person_id").cast(ID).alias("person_id"), F.inline(F.filter(changes, lambda c: c.isNotNull())))
     added = fresh.select(
         new_person_id(F.col("service"), F.col("key")).alias("person_id"),
         F.col("service").alias("source"),
         F.lit("insert").alias("action"),
         F.lit(None).cast("string").alias("field"),
         F.lit(None).cast("string").alias("old_value"),
-        F.col("key").cast("string").alias("new_value"),
+        id_of_key(F.col("key")).cast("string").alias("new_value"),
     )
     return existing.unionByName(inserts), added.unionByName(updates)
 
@@ -157,24 +158,38 @@ def merge_households(
     named = (
         once(
             pantry.filter(is_numeric_id(id_text) & is_numeric_id(household_text)),
-            F.trim(household_text).try_cast("bigint").alias("household_id"),
-            F.trim(id_text).try_cast("bigint").alias("key"),
+            numeric_id(household_text).alias("household_id"),
+            id_key(id_text).alias("key"),
         )
         .select("household_id", "key")
         .filter(F.col("household_id").isNotNull() & F.col("key").isNotNull())
         .distinct()
     )
-    clients = person.select("person_id", F.col(spec.person_key).alias("key")).filter(F.col("key").isNotNull())
+    clients = person.select(F.col("person_id").cast(ID).alias("person_id"), id_key(F.col(spec.person_key)).alias("key"))
+    clients = clients.filter(F.col("key").isNotNull())
     links = spread_join(clients, named, ["key"]).select("household_id", "person_id").distinct()
-    new = links.join(household, ["household_id", "person_id"], "left_anti")
-    return household.select("household_id", "person_id").unionByName(new)
+    old = household.select(F.col("household_id").cast(ID).alias("household_id"), F.col("person_id").cast(ID).alias("person_id"))
+    return old.unionByName(links.join(old, ["household_id", "person_id"], "left_anti"))
+
+
+def rejected_households(pantry: DataFrame, household_column: str = HOUSEHOLD_COLUMN) -> DataFrame:
+    """(reason, count) of pantry rows that add no household link although they name a household, or name none."""
+    spec = next(s for s in SERVICES if s.service == "pantry")
+    id_text, household_text = F.col(f"`{spec.id_column}`"), F.col(f"`{household_column}`")
+    reason = (
+        F.when(is_blank(household_text), F.lit("blank household"))
+        .when(~is_numeric_id(household_text), F.lit("household is not numeric"))
+        .when(numeric_id(household_text).isNull(), F.lit("household out of range"))
+        .when(id_key(id_text).isNull(), F.lit("unusable id"))
+    )
+    return pantry.select(reason.alias("reason")).filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
 
 
 def sweep_latest(person: DataFrame, records: DataFrame) -> DataFrame:
     """Every field set to its latest non-blank export value; what no export names stays."""
     joined = person.join(latest_by_person(person, records), "person_id", "left")
     return joined.select(
-        *[F.col(f.name) for f in PERSON if f.name not in PERSON_FIELDS],
+        *_ids(),
         *[F.coalesce(F.col(f"_{n}.value"), F.col(n)).alias(n) for n in PERSON_FIELDS],
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.operators.household import member_months
 from tallyhouse.operators.windows import check_months, month_bit
 
-# Report column -> the use flags that must hold at once.
+# Report column -> the use flags that must hold at once.
 MEASURES = {
     "pantry_served_total": ("pantry_served",),
     "clinic_served_total": ("clinic",),

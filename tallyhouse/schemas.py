@@ -30,6 +30,9 @@ NAME_FIELDS = ("first_name", "last_name")
 # What an export can tell about a person; `dob` is a date, the others are text.
 PERSON_FIELDS = (*NAME_FIELDS, "dob", *DEMOGRAPHIC_FIELDS)
 
+# Export ids take all of unsigned 64 bits, and ids made from them a little more. Tables may hold ids in any integral type or as
+# decimals; the merges write this one.
+ID = T.DecimalType(20, 0)
 PERSON = T.StructType(
     [
         T.StructField("person_id", T.LongType()),
@@ -44,7 +47,7 @@ HOUSEHOLD = T.StructType([T.StructField("household_id", T.LongType()), T.StructF
 
 PERSON_AUDIT = T.StructType(
     [
-        T.StructField("person_id", T.LongType()),
+        T.StructField("person_id", ID),
         T.StructField("source", T.StringType()),
         T.StructField("action", T.StringType()),
         T.StructField("field", T.StringType()),

@@ -10,15 +10,20 @@ from pyspark.sql import types as T
 
 BAD = "_bad"
 WIDTH = "_width"
-# A quoted field with its leading delimiter, and a record of empty fields only.
-QUOTED_FIELD = r'(^|,)"(?:[^"]|"")*"'
-EMPTY_RECORD = r'^(?:"")?(?:,(?:"")?)*\r?$'
+# A quoted field with its leading delimiter, and a record of empty fields only. Possessive throughout: the matcher neither
+# goes back nor recurses, however long a field or a record is.
+QUOTED_FIELD = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
+EMPTY_RECORD = r'^(?:"")?+(?:,(?:"")?+)*+\r?$'
 
 
 class WideRowError(ValueError):
     """A row has more fields than the table has columns; nothing was written."""
 
 
+class OpenQuoteError(ValueError):
+    """A line ends inside a quoted field, and records were read line by line; nothing was written."""
+
+
 @dataclass(frozen=True)
 class AppendResult:
     rows_parsed: int
@@ -109,6 +114,13 @@ def width_report(rows: DataFrame, columns: int) -> tuple[int, int, int]:
     return found["rows"], found["wide"], found["widest"]
 
 
+def open_lines(spark: SparkSession, path: str | list[str]) -> int:
+    """Lines with an odd number of quotes: where one is found, a quoted field goes on in the next line."""
+    lines = spark.read.text(path, lineSep="\n")
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return lines.filter(quotes % 2 == 1).count()
+
+
 def insertable_columns(spark: SparkSession, table: str, generated: tuple[str, ...] = ()) -> list[str]:
     """Columns of a table in their order, without those that are generated."""
     return [c for c in spark.table(table).columns if c not in generated]
@@ -124,11 +136,14 @@ def append_export(
 ) -> AppendResult:
     """Append a CSV export to a table by position: all of it, or nothing if one row is too wide.
 
-    Two passes over the text: one counts and checks, one writes.
+    Two passes over the text: one counts and checks, one writes. Without `multi_line` a third one looks for quoted line breaks, which
+    that way of reading would cut into two records, and refuses the load if there are any.
     """
     columns = insertable_columns(spark, table, generated)
     if not columns:
         raise ValueError(f"no columns to fill in table {table}")
+    if not multi_line and (cut := open_lines(spark, path)):
+        raise OpenQuoteError(f"{cut} lines end or begin inside a quoted field: load them with multi_line=True")
     rows = scan_export(spark, path, columns, has_header, multi_line)
     parsed, wide, widest = width_report(rows, len(columns))
     if wide:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Names and defaults of the existing settings.
 @dataclass(frozen=True)
 class DatabaseSettings:
     host: str = "localhost"
@@ -25,7 +26,7 @@ def jdbc_options(settings: DatabaseSettings) -> dict[str, str]:
     tls = "REQUIRED" if settings.ssl else "DISABLED"
     return {
         "url": f"jdbc:mysql://{settings.host}:{settings.port}/{settings.database}"
-        f"?connectTimeout={CONNECT_TIMEOUT_MS}&allowLoadLocalInfile=true&sslMode={tls}",
+        f"?connectTimeout={CONNECT_TIMEOUT_MS}&sslMode={tls}",
         "user": settings.user,
         "password": settings.password,
         "driver": "com.mysql.cj.jdbc.Driver",

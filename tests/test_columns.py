@@ -33,15 +33,21 @@ def test_mixed_dates(spark, day, texts):
 
 def test_ids(spark):
     texts = [" 007 ", "7", "X1", "", None, "1.5", "-3", "9" * 24, str(2**63 - 1), str(2**63)]
-    assert values(spark, texts, fn.numeric_id(F.col("x"))) == [7, 7, *[None] * 6, 2**63 - 1, None]
-    assert values(spark, [str(2**63)], fn.numeric_id(F.col("x"), "decimal(20,0)")) == [2**63]
+    assert values(spark, texts, fn.numeric_id(F.col("x"))) == [7, 7, *[None] * 6, 2**63 - 1, 2**63]
+    wide = ["0", str(2**63), str(2**64 - 1), "00" + str(2**64 - 1), str(2**64), "9" * 24, " 0000000000000000000000012 ", "-1", None]
+    numbers = [0, 2**63, 2**64 - 1, 2**64 - 1, None, None, 12, None, None]
+    assert values(spark, wide, fn.numeric_id(F.col("x"))) == numbers
+    keys = fn.id_key(F.col("x"))
+    assert values(spark, wide, keys) == [n if n is None or n < 2**63 else n - 2**64 for n in numbers]
+    assert values(spark, wide, fn.id_of_key(keys)) == numbers
     assert values(spark, texts[:5], fn.is_numeric_id(F.col("x"))) == [True, True, False, False, False]
 
 
 def test_blanks(spark):
     texts = ["a", " a ", "", "  ", None, "\t"]
     assert values(spark, texts, fn.is_blank(F.col("x"))) == [False, False, True, True, True, False]
-    assert values(spark, texts[:5], fn.or_unknown(F.col("x"))) == ["a", "a", *["Unknown/Blank"] * 3]
+    assert values(spark, texts, fn.or_unknown(F.col("x"))) == ["a", "a", *["Unknown/Blank"] * 4]
+    assert values(spark, ["\t a\u00a0b \n", "\u3000", "\ufeffx"], fn.or_unknown(F.col("x"))) == ["a\u00a0b", "Unknown/Blank", "x"]
 
 
 def test_age(spark):
@@ -70,10 +76,14 @@ def test_percents(spark):
 
 
 def test_plain_numbers(spark):
-    numbers = [100.0, 0.0, 12.5, 100 / 3, 0.0001234, 1e-7, 12345678.0]
+    numbers = [100.0, 0.0, 12.5, 100 / 3, 0.0001234, 1e-7, 12345678.0, 1e18, 123456789e13, 1e21, 1.5e-25, -2.5e300, 1e-6, 4.5e-10]
+    numbers += [float("nan"), float("inf"), float("-inf"), -0.0, -3.0, 1234567890123456.8, None]
     df = spark.createDataFrame([(n,) for n in numbers], "x double")
     got = [r[0] for r in df.select(fn.plain_number(F.col("x"))).collect()]
-    assert got == ["100", "0", "12.5", "33.333333333333336", "0.0001234", "0.0000001", "12345678"]
+    assert got == ["100", "0", "12.5", "33.333333333333336", "0.0001234", "1e-7", "12345678"] + [
+        *["1000000000000000000", "1.23456789e+21", "1e+21", "1.5e-25", "-2.5e+300", "0.000001", "4.5e-10"],
+        *["NaN", "Infinity", "-Infinity", "0", "-3", "1234567890123456.8", None],
+    ]
 
 
 def test_months(spark):

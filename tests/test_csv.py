@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import types as T
 
-from tallyhouse.sources import sinks
+from tallyhouse.sources import csv_export, sinks
 from tallyhouse.sources.csv_export import WideRowError, append_export, read_export_csv, scan_export
 
 COLUMNS = ["Client ID", "Visit Date", "note"]
@@ -113,3 +113,25 @@ def test_reports(spark, tmp_path):
     assert written(tmp_path / "d", ".txt") == (
         'total_persons,2\n\ncategory,value,count,percent_of_total_persons\nage_group,"x""",1,50\nrace_raw,"b,c",1,50\n'
     )
+
+
+def test_long_fields_and_many_fields(spark, tmp_path):
+    long = "x" * 1_000_000
+    file = tmp_path / "long.csv"
+    file.write_text(f'1,"{long}"\n2,"{long} ""q"" {long}",c,surplus\n' + '""' + ',""' * 10_000 + "\n3," + "," * 10_000 + "\nok,b,c\n")
+    rows = {r["a"]: (len(r["b"] or ""), r["_width"]) for r in csv_export.scan_export(spark, str(file), ["a", "b", "c"]).collect()}
+    assert rows["1"] == (1_000_000, 2) and rows["ok"] == (1, 3)
+    assert rows["2"] == (2_000_005, 4) and rows["3"] == (0, 10_002) and len(rows) == 4
+
+
+def test_quoted_line_breaks_are_refused_line_by_line(spark, tmp_path):
+    file = tmp_path / "breaks.csv"
+    file.write_text('1,"one\nfield",c\n2,"a ""quoted"" b",c\n')
+    spark.sql("CREATE TABLE breaks (a string, b string, c string)")
+    try:
+        with pytest.raises(csv_export.OpenQuoteError):
+            csv_export.append_export(spark, str(file), "breaks", multi_line=False)
+        assert spark.table("breaks").count() == 0
+        assert csv_export.append_export(spark, str(file), "breaks").rows_inserted == 2
+    finally:
+        spark.sql("DROP TABLE breaks")

@@ -38,7 +38,7 @@ def test_columns(spark, tables):
 def test_connection_options():
     options = jdbc_options(DatabaseSettings("db.example", 3307, "me", "secret", "services", ssl=True))
     assert options["url"] == (
-        "jdbc:mysql://db.example:3307/services?connectTimeout=5000&allowLoadLocalInfile=true&sslMode=REQUIRED"
+        "jdbc:mysql://db.example:3307/services?connectTimeout=5000&sslMode=REQUIRED"
     )
     assert (options["user"], options["password"]) == ("me", "secret")
     assert "sslMode=DISABLED" in jdbc_options(DatabaseSettings())["url"]
