@@ -2,15 +2,15 @@
 
 A window of `length` bytes has a minimiser, the least of its byte grams (frequent ones last, see `superkmers`). Consecutive windows of a
 text that share one form a string; equal windows lie in strings of one minimiser, so shards dealt by minimisers find all repeats.
-A string equal to one before it (smaller id, or the same document and an earlier start) is a repeat as a whole, and is not sorted. Neither
-is a string whose minimiser occurs in no other string and once in its own. The suffixes of the others are sorted by external induction
-(`induced`); neighbours with a common prefix of `length` bytes or more, known by 128-bit hashes, are the places of one window. All but
+First only the minimisers travel: a string whose minimiser occurs in no other string, and once in its own, holds no repeat. The other
+strings go to their shards. One that equals a string before it (smaller id, or the same document and an earlier start) is a repeat as a
+whole, and is not sorted. The suffixes of the rest are sorted by external induction (`induced`); neighbours with a common prefix of `length` bytes or more, known by 128-bit hashes, are the places of one window. All but
 the first (smallest id, then within that document the first start) are removed.
 
 Bytes are judged on the input; matches never cross documents. What is left may break a character of several bytes, so it is binary.
 
 Defined cases. A null text is an empty one. Rows may repeat: rows of one id are no earlier than each other, so repeated rows get equal
-results. A null id is smaller than all others. Texts shorter than `length` lose nothing. Shards are as many as four shuffle partitions.
+results. A null id is smaller than all others. Texts shorter than `length` lose nothing.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from tallyhouse.llm.superkmers import (
     unbundle,
 )
 
-GRAM = 20
+GRAM = 32
 SLICE_BYTES = 2 << 20
 
 _ONE, _TWO = Rolling("suffix bytes"), Rolling("suffix bytes, second")
@@ -98,10 +98,79 @@ def _not_first(order: np.ndarray, new: np.ndarray, ids: np.ndarray, marks: np.nd
     return out
 
 
+def _shared_minimisers(docs: DataFrame, level: np.ndarray, length: int, gram: int) -> DataFrame:
+    """id, key: minimisers of an id's strings that occur in another string too, or more than once in one.
+
+    A slice of texts settles what it holds twice itself and sends every minimiser once, so a frequent one does not grow its bucket.
+    """
+    parts = partitions(docs.sparkSession)
+    buckets = 4 * parts
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=SLICE_BYTES):
+            data, bounds = raw(batch.column(1))
+            low, _, least, several = _strings(_ONE.prefix(data), bounds, level, length, gram)
+            if not len(low):
+                continue
+            ids = np.asarray(batch.column(0))[np.searchsorted(bounds, low, "right") - 1]
+            known = _shared(least) | several
+            pairs = np.unique(np.stack([ids[known], least[known].view(np.int64)], 1), axis=0)
+            yield _keys((mix(pairs[:, 0].astype(_U)) % _U(buckets)).astype(np.int32), None, pairs[:, 0], pairs[:, 1])
+            _, first = np.unique(least, return_index=True)
+            bucket = (mix(least[first]) % _U(buckets)).astype(np.int64)
+            order = np.lexsort((ids[first], bucket))
+            first, at = first[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(at))
+            empty = np.zeros(0, np.uint8)
+            packed = []
+            for b in used:
+                own = first[at[b] : at[b + 1]]
+                packed.append(bundle([np.diff(ids[own], prepend=0), least[own].view(np.int64)], empty))
+            yield _keys(used, packed, None, None)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                ids, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+                both = _shared(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[both]), pa.array(keys[both])], ["id", "key"])
+
+        for batch in batches:
+            done = batch.filter(batch.column(1).is_null())
+            if done.num_rows:
+                yield done.select(["id", "key"])
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if packed is None:
+                    continue
+                if bucket != now:
+                    yield from close()
+                    now, held = bucket, []
+                ids, keys, _ = unbundle(packed, 2)
+                held.append((np.cumsum(ids), keys))
+        yield from close()
+
+    dealt = texts(docs).mapInArrow(send, "bucket int, packed binary, id bigint, key bigint").repartition(parts, "bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(count, "id bigint, key bigint")
+
+
+def _keys(bucket, packed, ids, keys) -> pa.RecordBatch:
+    count = len(bucket)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket, pa.int32()),
+            pa.nulls(count, pa.binary()) if packed is None else pa.array(packed, pa.binary()),
+            *[pa.nulls(count, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (ids, keys)],
+        ],
+        ["bucket", "packed", "id", "key"],
+    )
+
+
 def repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """id, hash (of the text), first and last: runs of byte positions where a repeated string starts."""
     parts = partitions(docs.sparkSession)
-    buckets = 4 * parts
+    buckets = 2 * parts
     level = frequent_cells(docs, lambda column: byte_grams(column, gram))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +179,15 @@ def repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Da
             data, bounds = raw(batch.column(1))
             sums = _ONE.prefix(data)
             low, high, least, several = _strings(sums, bounds, level, length, gram)
+            doc = np.searchsorted(bounds, low, "right") - 1
+            keys, number = lists_of(batch.column(3))
+            shared = keys.view(_U) ^ mix(np.repeat(np.arange(batch.num_rows, dtype=_U), number))
+            wanted = np.isin(least ^ mix(doc.astype(_U)), shared)
+            low, high, least, several, doc = low[wanted], high[wanted], least[wanted], several[wanted], doc[wanted]
             if not len(low):
                 continue
             stop = high + length
             one, two = _ONE.ranges(sums, low, stop), _TWO.ranges(_TWO.prefix(data), low, stop)
-            doc = np.searchsorted(bounds, low, "right") - 1
             ids, marks = np.asarray(batch.column(0))[doc], np.asarray(batch.column(2))[doc]
             first, last = low - bounds[doc], high - bounds[doc]
             known = _earlier(one, two, ids, marks, first)
@@ -150,7 +223,9 @@ def repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Da
         yield from by_bucket(batches, lambda held: _sort_shard(held, length))
 
     rows = texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
-    dealt = rows.mapInArrow(deal, TRAVEL).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    shared = _shared_minimisers(docs, level, length, gram).groupBy("id").agg(F.collect_set("key").alias("keys"))
+    some = rows.join(shared, "id").select("id", "text", "hash", "keys")
+    dealt = some.mapInArrow(deal, TRAVEL).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(work, FOUND)
 
 
