@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,21 +50,9 @@ def rebuild_all(spark: SparkSession, exports: Exports, household_column: str = H
     return run_merges(person, household, exports, household_column)
 
 
-def _versions(spark: SparkSession, name: str) -> list[int]:
-    pattern = re.compile(re.escape(name.lower()) + r"__v(\d+)$")
-    return sorted(int(m.group(1)) for t in spark.catalog.listTables() if (m := pattern.match(t.name.lower())))
-
-
-def publish(df: DataFrame, name: str) -> str:
-    """Write `df` as the next version of a table and point the view `name` at it.
-
-    The version being read is never overwritten, and readers of the view see either the old or the new state.
-    """
-    spark = df.sparkSession
-    table = f"{name}__v{max(_versions(spark, name), default=0) + 1}"
-    df.write.saveAsTable(table)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {table}")
-    return table
+STATE = ("person", "household")
+CURRENT = "_current"
+VERSION = "tallyhouse.version"
 
 
 def load_exports(spark: SparkSession) -> dict[str, DataFrame]:
@@ -73,18 +60,57 @@ def load_exports(spark: SparkSession) -> dict[str, DataFrame]:
     return {s.service: spark.table(s.table) for s in SERVICES if spark.catalog.tableExists(s.table)}
 
 
+def published_version(spark: SparkSession) -> int:
+    """The version that is in force; 0 before the first one."""
+    if not spark.catalog.tableExists(f"person{CURRENT}"):
+        return 0
+    properties = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES person{CURRENT}").collect()}
+    return int(properties[VERSION])
+
+
+def current_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """`person` and `household` of the version in force; before the first one the catalog's own tables or views of these names."""
+    version = published_version(spark)
+    empty = dict(zip(STATE, empty_state(spark)[:2], strict=True))
+    names = {name: f"{name}__v{version}" if version else name for name in STATE}
+    return tuple(spark.table(t) if spark.catalog.tableExists(t) else empty[name] for name, t in names.items())
+
+
+def publish(merged: Merged) -> int:
+    """Write a merge's result as the next version and put it in force; gives the version.
+
+    The three tables of a version are written first, the views `person_current`, `household_current` and `person_audit_current` are
+    pointed at them last, `person_current` as the very last: it alone says which version is in force. So a publish that fails anywhere
+    leaves the old state in force, and doing it again writes the same version over what is left of the first try. Audit rows belong to
+    their version, which keeps them from being doubled. Tables that were there before (`person`, `household`) are never touched.
+    """
+    spark = merged.person.sparkSession
+    version = published_version(spark) + 1
+    for name, df in (("person", merged.person), ("household", merged.household), ("person_audit", merged.audit)):
+        df.write.mode("overwrite").saveAsTable(f"{name}__v{version}")
+    audits = [f"SELECT {v} AS version, * FROM person_audit__v{v}" for v in range(1, version + 1)]
+    spark.sql(f"CREATE OR REPLACE VIEW person_audit{CURRENT} AS {' UNION ALL '.join(audits)}")
+    spark.sql(f"CREATE OR REPLACE VIEW household{CURRENT} AS SELECT * FROM household__v{version}")
+    spark.sql(f"CREATE OR REPLACE VIEW person{CURRENT} TBLPROPERTIES ('{VERSION}' = '{version}') AS SELECT * FROM person__v{version}")
+    return version
+
+
+def remove_old_versions(spark: SparkSession, keep: int = 1) -> int:
+    """Drop `person` and `household` of all but the last `keep` versions; audits stay. Gives the number of tables dropped."""
+    last, dropped = published_version(spark) - max(1, keep), 0
+    for version in range(1, last + 1):
+        for name in STATE:
+            if spark.catalog.tableExists(f"{name}__v{version}"):
+                spark.sql(f"DROP TABLE {name}__v{version}")
+                dropped += 1
+    return dropped
+
+
 def merge_tables(spark: SparkSession, rebuild: bool = False) -> Merged:
-    """Run the merges on the catalog's `person` and `household` and publish the result; new audit rows are appended."""
-    empty_person, empty_household, _ = empty_state(spark)
-    exists = spark.catalog.tableExists
-    person = spark.table("person") if exists("person") and not rebuild else empty_person
-    household = spark.table("household") if exists("household") and not rebuild else empty_household
-    merged = run_merges(person, household, load_exports(spark))
-    # The audit is derived from the old state, so it is written first.
-    merged.audit.write.mode("append").saveAsTable("person_audit")
-    publish(merged.person, "person")
-    publish(merged.household, "household")
-    return Merged(spark.table("person"), spark.table("household"), spark.table("person_audit"))
+    """Run the merges on the catalog's state, whichever form it has, and publish the result."""
+    person, household = empty_state(spark)[:2] if rebuild else current_state(spark)
+    publish(run_merges(person, household, load_exports(spark)))
+    return Merged(*(spark.table(f"{name}{CURRENT}") for name in (*STATE, "person_audit")))
 
 
 def append_and_merge(

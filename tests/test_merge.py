@@ -116,15 +116,50 @@ def test_append_and_merge_through_the_catalog(spark, tmp_path):
         file.write_text("1,2024-01-05,Ann,Lee,5/17/1980,White,77\n2,2024-01-06,Bob,Lee,,,77\n")
         result = ingest.append_and_merge(spark, str(file), "pantry_export")
         assert result.rows_inserted == 2
-        assert {r["first_name"] for r in spark.table("person").collect()} == {"Ann", "Bob"}
-        assert spark.table("household").count() == 2 and spark.table("person_audit").count() == 2
+        person, household, audit = (lambda n=n: spark.table(f"{n}_current") for n in ("person", "household", "person_audit"))
+        assert {r["first_name"] for r in person().collect()} == {"Ann", "Bob"}
+        assert household().count() == 2 and audit().count() == 2
         file.write_text("2,2024-02-06,Robert,Lee,,,78\n")
         ingest.append_and_merge(spark, str(file), "pantry_export")
-        assert {r["first_name"] for r in spark.table("person").collect()} == {"Ann", "Robert"}
-        assert spark.table("household").count() == 3 and spark.table("person_audit").count() == 2
-        assert set(spark.table("person").columns) == {"person_id", "pantry_client_id", "pharmacy_pat_key", "clinic_patientid", *PERSON_FIELDS}
+        assert {r["first_name"] for r in person().collect()} == {"Ann", "Robert"}
+        assert household().count() == 3 and audit().count() == 2
+        assert set(person().columns) == {"person_id", "pantry_client_id", "pharmacy_pat_key", "clinic_patientid", *PERSON_FIELDS}
         ingest.merge_tables(spark, rebuild=True)
-        assert spark.table("person").count() == 2
+        assert person().count() == 2 and ingest.published_version(spark) == 3
+        assert ingest.remove_old_versions(spark) == 4 and person().count() == 2
     finally:
         spark.catalog.setCurrentDatabase("default")
         spark.sql("DROP DATABASE flow CASCADE")
+
+
+@pytest.mark.parametrize("kind", ["table", "view"])
+def test_publishing_over_what_is_there_survives_failures(spark, exports, person, monkeypatch, kind):
+    spark.sql("CREATE DATABASE IF NOT EXISTS there")
+    spark.catalog.setCurrentDatabase("there")
+    try:
+        exports["pantry"].write.saveAsTable("pantry_export")
+        person.write.saveAsTable("person" if kind == "table" else "base_person")
+        if kind == "view":
+            spark.sql("CREATE VIEW person AS SELECT * FROM base_person")
+        before = sorted(map(str, spark.table("person").collect()))
+        real = type(spark).sql
+        for step in ("person_audit_current", "household_current", "person_current"):
+
+            def fail(self, text, *a, step=step, **k):
+                if text.startswith(f"CREATE OR REPLACE VIEW {step}"):
+                    raise RuntimeError(step)
+                return real(self, text, *a, **k)
+
+            monkeypatch.setattr(type(spark), "sql", fail)
+            with pytest.raises(RuntimeError):
+                ingest.merge_tables(spark)
+            monkeypatch.setattr(type(spark), "sql", real)
+            assert ingest.published_version(spark) == 0
+        merged = ingest.merge_tables(spark)
+        first = merged.audit.count()
+        assert first > 0 and ingest.published_version(spark) == 1
+        assert ingest.merge_tables(spark).audit.count() == first
+        assert sorted(map(str, spark.table("person").collect())) == before
+    finally:
+        spark.catalog.setCurrentDatabase("default")
+        spark.sql("DROP DATABASE there CASCADE")
