@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import NO_ID, known_id, stored
+from tallyhouse.llm.common import NO_ID, broadcast_if_small, known_id, stored
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.ngram_join import similar_components
 from tallyhouse.llm.packing import pack_documents
@@ -32,7 +32,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose (id, hash) is not among those of `gone`."""
-    return _keyed(docs).join(gone.toDF(*KEYS).distinct(), KEYS, "left_anti").select(*docs.columns)
+    rows = stored(gone.toDF(*KEYS).distinct(), "pipeline-gone")
+    return _keyed(docs).join(broadcast_if_small(rows), KEYS, "left_anti").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +44,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the smallest id stays."""
-    found = similar_components(docs, size=5, percent=80)
-    kept = found.where("n_shingles > 0 AND id = component_id").select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = _keyed(docs.where(has_words)).join(kept, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
-    return one.unionByName(docs.where(~has_words))
+    found = stored(similar_components(docs, size=5, percent=80).where("n_shingles > 0"), "pipeline-components")
+    left = _without(docs, found.where("id <> component_id").select("id", "hash"))
+    # Rows of one id and text are copies too: of those that repeat, one stays.
+    again = found.where("id = component_id").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "hash")
+    again = broadcast_if_small(stored(again.toDF(*KEYS), "pipeline-repeated"))
+    one = _keyed(left).join(again, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
+    return _keyed(left).join(again, KEYS, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

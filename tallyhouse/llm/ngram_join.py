@@ -5,12 +5,14 @@ the smaller of their counts. An R-tree over the points (leaves of similar sizes,
 that bound leaf by leaf and point by point; what survives is verified on the shingles themselves.
 
 To keep the tree's work local, sets that may be linked are brought together first, exactly: sets of similar sizes differ in at most T
-shingles, so of more than T blocks of shingles (dealt by a hash) at least one that is not empty is equal in both. Equal blocks give
-edges, each to the smallest set that has the block; the components of these edges are families. Each family is joined by its own tree.
+shingles, so of the blocks of shingles (dealt by a hash) all but T are equal in both. Two sets with as many equal blocks as that argument
+asks of them (blocks without shingles aside) give an edge; where more than `FEW` sets share a block, each gives one to the smallest of
+them. The components of these edges are families, and each family is joined by its own tree.
 Families of more than `FAMILY_BLOCK` sets are cut into blocks, and every two blocks whose bounds allow a link are joined by a task.
 Links found between sets that are in one component already are not looked for, so copies are never expanded into pairs.
 
-Hot groups: equal sets are one node; within a slice of texts a block's sets are joined to their smallest and only that one travels.
+Hot groups: equal sets are one node; where more than `FEW` sets of a slice of texts share a block, they are joined to their smallest and
+only that one travels, so a block that a third of all documents share does not grow its bucket, and no group gives a square of edges.
 
 Defined cases. A null text and one without words have an empty set: n_shingles 0, linked with nothing, component its own id. With fewer
 words than a shingle has, the whole sequence is the one shingle. Rows may repeat: equal texts are one set. A null id is the smallest.
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import Rolling, mix, partitions, raw, slices, stored, texts, word_hashes, word_ranges
+from tallyhouse.llm.common import Rolling, broadcast_if_small, mix, partitions, raw, slices, stored, texts, word_hashes, word_ranges
 from tallyhouse.llm.graph import components
 
 GROUPS = 32
 LEAF = 32
+FEW = 16
 FAMILY_BLOCK = 4096
 CLASS_RATIO = 1.4
 
@@ -88,9 +91,9 @@ class Sizes:
         return [k, *(c for c in (k + 1,) if most >= self.low[c])]
 
 
-def block_keys(own: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Keys of which two linked, different sets share at least one."""
-    found = []
+def block_keys(own: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of blocks, and for each how many of its kind a linked, different set shares at least."""
+    found, needed = [], []
     for c in sizes.of(len(own)):
         differ, blocks = sizes.differ[c], sizes.blocks[c]
         if not differ:
@@ -101,13 +104,18 @@ def block_keys(own: np.ndarray, sizes: Sizes) -> np.ndarray:
         salt = mix(np.arange(blocks, dtype=_U) + _U(c << 32))
         found.append(mix(sums + salt)[filled])
         empty = np.flatnonzero(~filled)
-        if blocks - len(empty) <= differ:
+        sure = blocks - len(empty) - differ
+        needed.append(np.full(len(found[-1]), max(1, sure)))
+        if sure < 1:
             # Too few blocks with shingles for the argument: an equal pair of blocks may be an empty one. Then some block of a second
             # dealing is equal too; keys of both together.
             other = mix(spread ^ _U(0xA0761D6478BD642F))
             sums, _ = _block_sums(((other >> _U(33)) % _U(blocks)).astype(np.int64), other, blocks)
             found += [mix(mix(sums + salt) + mix(salt[e : e + 1] + _U(1))) for e in empty]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
+            needed.append(np.ones(blocks * len(empty), np.int64))
+    if not found:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(needed)
 
 
 def _block_sums(block: np.ndarray, values: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,19 +125,43 @@ def _block_sums(block: np.ndarray, values: np.ndarray, blocks: int) -> tuple[np.
     return sums[at[1:]] - sums[at[:-1]], at[1:] > at[:-1]
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the smallest node of each, and the edges (node, smallest) as rows."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    first = nodes[new]
-    mine = first[np.cumsum(new) - 1]
-    edges = np.stack([nodes, mine], 1)[nodes != mine]
-    return keys[new], first, np.unique(edges, axis=0) if len(edges) else edges
+#: A key on its way: how many such keys a linked set shares (0: joined to its node already, and to be joined to one node).
+_KEY = np.dtype([("key", "<u8"), ("node", "<i8"), ("need", "<u2")])
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key and node, without repeats; where each key's begin; which keys have many nodes or are marked so."""
+    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    if len(rows):
+        rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1]))]
+    heads = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1])) if len(rows) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(rows)))
+    many = (size > FEW) | (np.minimum.reduceat(rows["need"], heads) == 0) if len(rows) else np.zeros(0, bool)
+    return rows, heads, many
+
+
+def _stars(rows: np.ndarray, heads: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Edges (node, smallest node) of the keys with many nodes."""
+    size = np.diff(np.append(heads, len(rows)))
+    least, inside = np.repeat(rows["node"][heads], size), np.repeat(many, size)
+    edges = np.stack([rows["node"], least], 1)[inside & (rows["node"] != least)]
+    return np.unique(edges, axis=0)
 
 
-# Rows of the first pass: a set (kind 0), an edge (kind 1), or keys on their way to a bucket (kind 2).
+def _pairs(rows: np.ndarray, heads: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """(node, smaller node, keys needed) for every two nodes of a key with few of them, key by key."""
+    size = np.diff(np.append(heads, len(rows)))
+    found = []
+    for n in range(2, FEW + 1):
+        first = heads[~many & (size == n)]
+        for i in range(1, n):
+            for j in range(i):
+                need = np.maximum(rows["need"][first + i], rows["need"][first + j])
+                found.append(np.stack([rows["node"][first + i], rows["node"][first + j], need.astype(np.int64)], 1))
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+
+# Rows of the first pass: a set (kind 0), an edge (kind 1), keys on their way to a bucket (kind 2), counted pairs (kind 3).
 _FIRST = "bucket int, kind tinyint, id bigint, hash bigint, n bigint, a bigint, b bigint, keys binary"
 _NAMES = ["bucket", "kind", "id", "hash", "n", "a", "b", "keys"]
 
@@ -152,7 +184,8 @@ def _rows(kind: int, bucket: np.ndarray, **columns) -> pa.RecordBatch:
 
 
 def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Sets (kind 0: id, hash, n, a and b their marks) and edges between sets that may be linked (kind 1: first marks a and b)."""
+    """Sets (kind 0: id, hash, n, a and b their marks), edges between sets that may be linked (kind 1: first marks a and b), and pairs of
+    sets (kind 3) with the number of equal blocks found in one bucket (id) and needed overall (n)."""
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets = 4 * parts
@@ -168,18 +201,26 @@ def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 0, spread, id=ids, hash=np.asarray(batch.column(2)), n=np.array([len(s) for s in sets]), a=_signed(marks[:, 0]), b=_signed(marks[:, 1])
             )
             _, distinct = np.unique(marks[:, 0], return_index=True)
-            own = [block_keys(sets[k], sizes) for k in distinct if len(sets[k])]
-            nodes = np.repeat(_signed(marks[[k for k in distinct if len(sets[k])], 0]), [len(k) for k in own])
-            if not len(nodes):
+            distinct = [k for k in distinct if len(sets[k])]
+            own = [block_keys(sets[k], sizes) for k in distinct]
+            packed = np.empty(sum(len(k) for k, _ in own), _KEY)
+            if not len(packed):
                 continue
-            keys, least, edges = _stars(np.concatenate(own), nodes)
+            packed["key"] = np.concatenate([k for k, _ in own])
+            packed["node"] = np.repeat(_signed(marks[distinct, 0]), [len(k) for k, _ in own])
+            packed["need"] = np.minimum(np.concatenate([n for _, n in own]), 60_000)
+            packed, heads, many = _groups(packed)
+            edges = _stars(packed, heads, many)
             if len(edges):
                 yield _rows(1, (mix(edges[:, 0].astype(_U)) % _U(buckets)).astype(np.int32), a=edges[:, 0], b=edges[:, 1])
-            bucket = (keys % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.empty(len(keys), np.dtype([("key", "<u8"), ("node", "<i8")]))
-            packed["key"], packed["node"] = keys[order], least[order]
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(packed))))
+            packed["need"][many[group]] = 0
+            stays = many[group]
+            stays[heads] = False
+            packed = packed[~stays]
+            bucket = (packed["key"] % _U(buckets)).astype(np.int64)
+            packed = packed[np.argsort(bucket, kind="stable")]
+            at = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(at))
             yield _rows(2, used, keys=[packed[at[b] : at[b + 1]].tobytes() for b in used])
 
@@ -188,10 +229,15 @@ def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                packed = np.frombuffer(b"".join(held), np.dtype([("key", "<u8"), ("node", "<i8")]))
-                _, _, edges = _stars(packed["key"], packed["node"])
+                packed, heads, many = _groups(np.frombuffer(b"".join(held), _KEY))
+                edges = _stars(packed, heads, many)
                 if len(edges):
                     yield _rows(1, np.full(len(edges), now), a=edges[:, 0], b=edges[:, 1]).drop_columns(["keys"])
+                pairs = _pairs(packed, heads, many)
+                if len(pairs):
+                    some, number = np.unique(pairs, axis=0, return_counts=True)
+                    columns = {"id": number, "n": some[:, 2], "a": some[:, 0], "b": some[:, 1]}
+                    yield _rows(3, np.full(len(some), now), **columns).drop_columns(["keys"])
 
         for batch in batches:
             kinds = np.asarray(batch.column(1))
@@ -267,7 +313,7 @@ def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFra
     """Links (a1, a2, b1, b2: marks of two sets) within families, from one row a set: id, hash, a, b, family, blocks, block."""
     spark = docs.sparkSession
     rows = texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
-    own = reps.join(rows, ["id", "hash"]).select("family", "task", "block", "a", "b", "text")
+    own = rows.join(broadcast_if_small(reps), ["id", "hash"]).select("family", "task", "block", "a", "b", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -313,7 +359,9 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, family
     """id, hash (of the text), n_shingles, component_id of every row: the smallest id that links lead to, its own included."""
     both = _sets_and_edges(docs, size, percent)
     sets = both.where("kind = 0").select("id", "hash", "n", "a", "b")
-    families = components(both.where("kind = 1").select("a", "b"), "join-families")
+    counted = both.where("kind = 3").groupBy("a", "b", "n").agg(F.sum("id").alias("found"))
+    edges = both.where("kind = 1").select("a", "b").unionByName(counted.where("found >= n").select("a", "b"))
+    families = components(edges, "join-families")
     member = families.select(F.col("node").alias("a"), F.col("root").alias("family"))
     member = member.unionByName(families.select(F.col("root").alias("a"), F.col("root").alias("family")).distinct())
     first = sets.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("id", "hash")).alias("row"))
@@ -323,7 +371,9 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, family
     # One task for a family of one block, else one for every two blocks.
     low, high = F.least(F.col("block"), F.col("other")), F.greatest(F.col("block"), F.col("other"))
     tasks = reps.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("task", low * F.col("blocks") + high)
-    spread = tasks.select("family", "task", "block", "a", "b", F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
+    spread = stored(
+        tasks.select("family", "task", "block", "a", "b", F.col("row.id").alias("id"), F.col("row.hash").alias("hash")), "join-reps"
+    )
     links = stored(_links(spread, docs, size, percent), "join-links")
     key = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     roots = components(links.select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")), "join-components")
