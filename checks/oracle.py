@@ -442,6 +442,7 @@ def all_sql() -> dict[str, str]:
         "multi_dob_names": f"SELECT * FROM ({multi_dob()}) m ORDER BY lower(trim(last_name)), lower(trim(first_name)), "
         + "dob NULLS FIRST, person_id LIMIT 200",
         "similar_names": similar(True, False, 0.75),
+        "similar_names_loose": similar(True, False, 0.4),
         "similar_names_by_sound": similar(False, True, 0.7),
         "similar_names_any_block": similar(False, False, 0.8),
         "similar_names_top": f"SELECT * FROM ({similar(True, False, 0.75)}) s ORDER BY ratio_first + ratio_last DESC, "

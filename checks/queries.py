@@ -262,6 +262,7 @@ def all_queries() -> dict[str, Query]:
         "multi_dob_people": on_person(quality.multi_dob_people),
         "multi_dob_names": on_person(quality.multi_dob_names),
         "similar_names": similar_names(same_dob=True, use_soundex=False, ratio=0.75),
+        "similar_names_loose": similar_names(same_dob=True, use_soundex=False, ratio=0.4),
         "similar_names_by_sound": similar_names(same_dob=False, use_soundex=True, ratio=0.7),
         "similar_names_any_block": similar_names(same_dob=False, use_soundex=False, ratio=0.8),
         "similar_names_top": on_person(lambda p: quality.similar_full_names(p, 0.75, 0.75, True, False)),

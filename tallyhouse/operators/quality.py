@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import clamp_limit, is_blank
 from tallyhouse.operators.skew import spread_join
-from tallyhouse.session import checkpointed
 
 # Letters whose sound code is that of the letter below them.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -52,16 +51,15 @@ def multi_dob_names(person: DataFrame, limit: object = None) -> DataFrame:
     )
 
 
-def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: str, strict: bool = False) -> DataFrame:
+def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: str) -> DataFrame:
     """One row a `key` of the name; two names whose ratio reaches `ratio` share one, if one is keyed as the shorter.
 
-    Names of one length may take either role; with `strict` they meet only names of another length.
-
-    If the longer of two names has g characters they may differ by k = floor((1 - ratio) * g) edits. Cut the shorter name into
-    k + 1 pieces: k edits cannot touch them all, so one piece stands in the longer name as it is, and near its old place. A
-    key is made of the two lengths, the number of the piece and its text. The shorter name writes one key a piece and possible
-    partner length; the longer one a key for every place where the piece may stand. (Pass-Join, Li et al., VLDB 2011, with its
-    position bounds.) Complete for every ratio above 0; at 0 all names are alike and share one key.
+    Names of one length take either role. If the longer of two names has g characters they may differ by k = floor((1 - ratio) * g)
+    edits. Cut the shorter name into k + 1 pieces: k edits cannot touch them all, so one piece stands in the longer name as it is, and
+    near its old place. A key is made of the two lengths, the number of the piece and its text. The shorter name writes one key a
+    piece and possible partner length; the longer one a key for every place where the piece may stand. (Pass-Join, Li et al., VLDB
+    2011, with its position bounds.) A name of no more than k characters would have empty pieces, which stand everywhere: there the two
+    lengths alone are the key. Complete for every ratio above 0; at 0 all names are alike and share one key.
     """
     if ratio <= 0:
         return names.withColumn(key, F.lit(0).cast("bigint"))
@@ -76,20 +74,21 @@ def _with_piece(names: DataFrame, name: str, ratio: float, shorter: bool, key: s
     # The last (s mod (k + 1)) pieces are one character longer than the others.
     plain = k + 1 - s % (k + 1)
     base = F.floor(s / (k + 1)).cast("int")
+    by_length = F.array(F.lit(-1))
     pieces = (
         names.withColumn("_other", F.explode(F.sequence(low, high)))
-        .filter(F.col("_other") != n if strict else F.lit(True))
         .withColumn("_k", F.greatest(F.lit(0), F.floor(F.lit(1 - ratio) * g + 1e-9).cast("int")))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), k)))
-        .withColumn("_start", i * base + F.greatest(F.lit(0), i - plain))
-        .withColumn("_size", base + F.when(i >= plain, 1).otherwise(0))
+        .withColumn("_i", F.explode(F.when(k + 1 > s, by_length).otherwise(F.sequence(F.lit(0), k))))
+        .withColumn("_start", F.greatest(F.lit(0), i * base + F.greatest(F.lit(0), i - plain)))
+        .withColumn("_size", F.when(i < 0, 0).otherwise(base + F.when(i >= plain, 1).otherwise(0)))
     )
     place = start
     if not shorter:
         shift = g - s
         left = F.greatest(F.lit(0), start - i, start + shift - (k - i))
         right = F.least(n - size, start + i, start + shift + (k - i))
-        pieces = pieces.withColumn("_place", F.explode(F.when(left <= right, F.sequence(left, F.greatest(left, right)))))
+        places = F.when(i < 0, F.array(F.lit(0))).when(left <= right, F.sequence(left, F.greatest(left, right)))
+        pieces = pieces.withColumn("_place", F.explode(places))
         place = F.col("_place")
     text = F.substring(F.col(name), place + 1, size)
     # A hash will do as the key: names that meet by accident are told apart by the comparison that follows.
@@ -132,38 +131,36 @@ def similar_name_pairs(
         names = names.withColumn("_sf", sound_key(F.col("first"))).withColumn("_sl", sound_key(F.col("last")))
     equal = [*exact, *(["_sf", "_sl"] if use_soundex else [])]
 
-    def side(suffix: str, first_is_shorter: bool, last_is_shorter: bool, strict: bool = False) -> DataFrame:
-        keyed = _with_piece(names, "first", min_first, first_is_shorter, "_kf", strict)
-        keyed = _with_piece(keyed, "last", min_last, last_is_shorter, "_kl", strict)
+    # Keys on both names would multiply; the other name is held to the band of lengths that its minimum leaves.
+    keyed, other, ratio, band = ("last", "first", min_last, min_first) if min_last >= min_first else ("first", "last", min_first, min_last)
+
+    def side(suffix: str, shorter: bool) -> DataFrame:
+        found = _with_piece(names, keyed, ratio, shorter, "_piece")
         named_apart = [F.col(c).alias(c + suffix) for c in ("first", "last", "n", "low_id")]
         # Size estimates know nothing of the exploded keys and would take a side for small enough to broadcast.
-        return keyed.select(F.xxhash64(*equal, "_kf", "_kl").alias("_key"), *equal, *named_apart).hint("merge")
-
-    # Either one full name is no longer than the other in both parts, or it is shorter in the first and longer in the last.
-    # Where a minimum is 0, its part sets no roles, and the first join finds every pair. Both sides of the joins are plain
-    # shuffles, so AQE can split a key that many different names share.
-    keys = ["_key", *equal]
-    met = side("_a", True, True).join(side("_b", False, False), keys)
-    if min_first > 0 and min_last > 0:
-        crossed = side("_a", True, False, strict=True).join(side("_b", False, True, strict=True), keys)
-        met = met.unionByName(crossed)
-    alike = (
-        met.filter((F.col("first_a") != F.col("first_b")) | (F.col("last_a") != F.col("last_b")))
-        .withColumn("ratio_first", _ratio("first_a", "first_b"))
-        .withColumn("ratio_last", _ratio("last_a", "last_b"))
-        .filter((F.col("ratio_first") >= min_first) & (F.col("ratio_last") >= min_last))
+        return found.select(F.xxhash64(*equal, "_piece").alias("_key"), *equal, *named_apart).hint("merge")
+
+    # Both sides are plain shuffles, so AQE can split a key that many different names share.
+    lengths = [F.char_length(F.col(other + x)) for x in ("_a", "_b")]
+    met = side("_a", True).join(side("_b", False), ["_key", *equal]).filter(
+        ((F.col("first_a") != F.col("first_b")) | (F.col("last_a") != F.col("last_b")))
+        & (F.least(*lengths) >= F.greatest(*lengths) * F.lit(float(band)) - 1e-9)
     )
     in_order = F.struct("last_a", "first_a") < F.struct("last_b", "first_b")
 
     def ordered(a: str, b: str, name: str) -> Column:
         return F.when(in_order, F.col(a)).otherwise(F.col(b)).alias(name)
 
-    pairs = alike.select(
-        *exact,
-        *[ordered(f"{c}_{x}", f"{c}_{y}", f"{c}_{x}") for c in ("first", "last", "n", "low_id") for x, y in ("ab", "ba")],
-        "ratio_first",
-        "ratio_last",
-    ).dropDuplicates([*exact, "first_a", "last_a", "first_b", "last_b"])
+    pairs = (
+        met.select(
+            *exact,
+            *[ordered(f"{c}_{x}", f"{c}_{y}", f"{c}_{x}") for c in ("first", "last", "n", "low_id") for x, y in ("ab", "ba")],
+        )
+        .dropDuplicates([*exact, "first_a", "last_a", "first_b", "last_b"])
+        .withColumn("ratio_first", _ratio("first_a", "first_b"))
+        .withColumn("ratio_last", _ratio("last_a", "last_b"))
+        .filter((F.col("ratio_first") >= min_first) & (F.col("ratio_last") >= min_last))
+    )
     across = pairs.select(
         *exact,
         F.col("first_a").alias("first_name_a"),
@@ -193,10 +190,6 @@ def similar_name_pairs(
     return across.unionByName(same)
 
 
-# Below this ratio names have few or empty pieces in common, and too many names meet.
-TIGHT = 0.6
-
-
 def similar_full_names(
     person: DataFrame,
     min_first: float = 0.9,
@@ -205,20 +198,8 @@ def similar_full_names(
     use_soundex: bool = True,
     limit: object = 500,
 ) -> DataFrame:
-    """The `limit` (at most 2000) most similar pairs of `similar_name_pairs`, by the sum of both ratios.
-
-    With a low minimum the best pairs are looked for among those of at least `TIGHT` first: a sum of 1 + TIGHT or more takes
-    both ratios to be that high, so if there are enough such pairs they are the answer, and the rest need not be compared.
-    """
-    rows, low, lowest = clamp_limit(limit, 500), (float(min_first), float(min_last)), min(float(min_first), float(min_last))
+    """The `limit` (at most 2000) most similar pairs of `similar_name_pairs`, by the sum of both ratios."""
     score = F.col("ratio_first") + F.col("ratio_last")
     order = [F.desc(score), "last_name_a", "first_name_a", "last_name_b", "first_name_b", *(["dob"] if same_dob else [])]
-
-    def best(first: float, last: float) -> DataFrame:
-        return similar_name_pairs(person, first, last, same_dob, use_soundex).orderBy(*order).limit(rows)
-
-    if math.isfinite(lowest) and lowest < TIGHT:
-        found = checkpointed(best(max(low[0], TIGHT), max(low[1], TIGHT)).filter(score >= 1 + TIGHT))
-        if found.count() == rows:
-            return found.orderBy(*order)
-    return best(*low)
+    pairs = similar_name_pairs(person, float(min_first), float(min_last), same_dob, use_soundex)
+    return pairs.orderBy(*order).limit(clamp_limit(limit, 500))
