@@ -4,7 +4,8 @@ A window of `length` bytes has a minimiser, the least of its byte grams (frequen
 text that share one form a string; equal windows lie in strings of one minimiser, so shards dealt by minimisers find all repeats.
 First only the minimisers travel: a string whose minimiser occurs in no other string, and once in its own, holds no repeat. The other
 strings go to their shards. One that equals a string before it (smaller id, or the same document and an earlier start) is a repeat as a
-whole, and is not sorted. The suffixes of the rest are sorted by external induction (`induced`); neighbours with a common prefix of `length` bytes or more, known by 128-bit hashes, are the places of one window. All but
+whole, and is not sorted. Of the rest, the stretches whose windows have a hash that occurs again are put together, and their suffixes
+sorted by external induction (`induced`); neighbours with a common prefix of `length` bytes or more, known by 128-bit hashes, are the places of one window. All but
 the first (smallest id, then within that document the first start) are removed.
 
 Bytes are judged on the input; matches never cross documents. What is left may break a character of several bytes, so it is binary.
@@ -170,7 +171,7 @@ def _keys(bucket, packed, ids, keys) -> pa.RecordBatch:
 def repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """id, hash (of the text), first and last: runs of byte positions where a repeated string starts."""
     parts = partitions(docs.sparkSession)
-    buckets = 2 * parts
+    buckets = 8 * parts
     level = frequent_cells(docs, lambda column: byte_grams(column, gram))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +258,17 @@ def _sort_shard(held: list[bytes], length: int) -> pa.RecordBatch:
     # Different strings of one minimiser, and those that may repeat within themselves.
     left = np.flatnonzero(~whole)
     left = left[_shared(keys[left]) | (several[left] > 0)]
-    if len(left):
-        data, starts = gather(data, offsets[left], offsets[left + 1])
+    # Of those only the stretches of windows whose hash occurs again.
+    data, starts = gather(data, offsets[left], offsets[left + 1])
+    at = np.flatnonzero(inside_values(starts, length, len(data)))
+    at = at[_shared(_ONE.windows(_ONE.prefix(data), length)[at])]
+    owner = np.searchsorted(starts, at, "right") - 1
+    heads, tails = runs_of(at, owner)
+    begin, end, owner = at[heads], at[tails] + length, owner[heads]
+    first = first[left[owner]] + begin - starts[owner]
+    ids, marks = ids[left[owner]], marks[left[owner]]
+    if len(begin):
+        data, starts = gather(data, begin, end)
         text, place = _with_ends(data, starts)
         order = sort_suffixes(text, 257)
         order = order[text[order] > 0]
@@ -271,18 +281,17 @@ def _sort_shard(held: list[bytes], length: int) -> pa.RecordBatch:
         new = np.ones(len(at), bool)
         new[1:] = (one[at[1:]] != one[at[:-1]]) | (two[at[1:]] != two[at[:-1]])
         group = np.cumsum(new)
-        mine = left[owner]
-        start = first[mine] + at - starts[owner]
-        order = np.lexsort((start, marks[mine], ids[mine], group))
+        start = first[owner] + at - starts[owner]
+        order = np.lexsort((start, marks[owner], ids[owner], group))
         head = np.ones(len(order), bool)
         head[1:] = group[order[1:]] != group[order[:-1]]
-        repeat = _not_first(order, head, ids[mine], marks[mine], start)
+        repeat = _not_first(order, head, ids[owner], marks[owner], start)
         found = np.sort(at[repeat])
         owner = np.searchsorted(starts, found, "right") - 1
         heads, tails = runs_of(found, owner)
         which = owner[heads]
-        base = first[left[which]] - starts[which]
-        rows.append((ids[left[which]], marks[left[which]], base + found[heads], base + found[tails]))
+        base = first[which] - starts[which]
+        rows.append((ids[which], marks[which], base + found[heads], base + found[tails]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows, strict=True)], ["id", "hash", "first", "last"])
 
 
