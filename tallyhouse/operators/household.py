@@ -15,16 +15,17 @@ def member_months(visits: DataFrame, household: DataFrame) -> DataFrame:
     One household (a shelter under one id) may hold a large share of all persons: its months are one row by the time they go
     back to the members, and `spread_join` cuts the members into pieces.
     """
-    links = household.select("household_id", "person_id").filter(
-        F.col("household_id").isNotNull() & F.col("person_id").isNotNull()
+    links = (
+        household.select("household_id", "person_id")
+        .filter(F.col("household_id").isNotNull() & F.col("person_id").isNotNull())
+        .distinct()
     )
-    rows = links.count()
     by_household = (
-        spread_join(links, visits, ["person_id"], rows=rows)
+        spread_join(links, visits, ["person_id"])
         .groupBy("household_id")
         .agg(F.bit_or("months").alias("months"))
     )
-    return spread_join(links, by_household, ["household_id"], rows=rows).select("person_id", "months")
+    return spread_join(links, by_household, ["household_id"]).select("person_id", "months")
 
 
 def pantry_served_months(visits: DataFrame, household: DataFrame) -> DataFrame:

@@ -15,36 +15,28 @@ def hot_key_rows(spark: SparkSession) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys with at least `hot_key_rows` rows, and into how many pieces of about that size each should be cut."""
-    rows = hot_key_rows(df.sparkSession)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") >= rows)
-        .select(*keys, F.ceil(F.col("_rows") / rows).cast("int").alias("_pieces"))
-    )
+    """Keys with an outsize share of the rows, and into how many pieces each should be cut.
+
+    Hot is a key with at least `hot_key_rows` rows and at least the rows of an average shuffle partition. By the latter there are no more
+    hot keys than shuffle partitions, whatever the size of the data. Counted lazily, combining map-side.
+    """
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    average = counted.agg((F.coalesce(F.sum("_rows"), F.lit(0)) / partitions).alias("rows")).scalar()
+    least = F.greatest(F.lit(float(hot_key_rows(spark))), average)
+    return counted.filter(F.col("_rows") >= least).select(*keys, F.ceil(F.col("_rows") / least).cast("int").alias("_pieces"))
 
 
-def spread_join(
-    many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None
-) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join of `many` (any number of rows on a key) with `one` (few rows on a key); `how` is inner, left or left_semi.
 
-    `many` is measured first (`rows`, if given, saves the count): below `hot_key_rows` rows it cannot hold a hot key. Else its
-    keys are counted, combining map-side; there can be no more hot keys than rows / hot_key_rows, so their list is small
-    whatever the size of the data. Without hot keys this is a plain join, and Spark may use a partitioning that is already
-    there. Otherwise rows of `many` on a hot key are dealt to several pieces by a hash of the row, and only the rows of `one`
-    on a hot key are repeated, once a piece. Every row of `many` still meets every partner exactly once. The dealing is a pure
-    function of the row, so a task that runs again deals the same.
+    Rows of `many` on a hot key are dealt to several pieces by a hash of the row, and only the rows of `one` on a hot key are repeated,
+    once a piece. Every row of `many` still meets every partner exactly once. The dealing is a pure function of the row, so a task that
+    runs again deals the same; equal rows stay together, so make `many` distinct first where repeats mean nothing. The list of hot keys
+    is broadcast, which its bound allows, and nothing is run while the plan is built.
     """
-    spark = many.sparkSession
-    if (many.count() if rows is None else rows) < hot_key_rows(spark):
-        return many.join(one, keys, how)
-    counted = hot_keys(many, keys)
-    found = counted.collect()
-    if not found:
-        return many.join(one, keys, how)
-    hot = F.broadcast(spark.createDataFrame(found, counted.schema))
+    hot = F.broadcast(hot_keys(many, keys))
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     dealt = (
         many.join(hot, keys, "left")

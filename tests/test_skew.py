@@ -34,13 +34,33 @@ def test_same_as_a_plain_join(sides, hot_keys_from, how, bound):
 
 def test_pieces_have_about_the_size_of_the_bound(sides, hot_keys_from):
     hot_keys_from(25)
-    assert rows(hot_keys(sides[0], ["k"])) == [(7, 5)]
+    # 300 rows in 4 partitions: an average of 75, above the bound.
+    assert rows(hot_keys(sides[0], ["k"])) == [(7, 2)]
 
 
-def test_hot_rows_meet_in_several_pieces(sides, hot_keys_from):
-    hot_keys_from(25)
-    many, one = sides
-    plan = spread_join(many, one, ["k"])._jdf.queryExecution().analyzed().toString()
-    assert "_piece" in plan
-    hot_keys_from(10_000)
-    assert "_piece" not in spread_join(many, one, ["k"])._jdf.queryExecution().analyzed().toString()
+def test_no_more_hot_keys_than_partitions(spark, hot_keys_from):
+    hot_keys_from(1)
+    many = spark.range(10_000).select((F.col("id") % 1000).alias("k"), "id")
+    assert hot_keys(many, ["k"]).count() == 0
+    assert rows(hot_keys(many.where("id < 4"), ["k"])) == [(k, 1) for k in range(4)]
+
+
+def test_building_a_join_runs_no_job(spark, sides, hot_keys_from):
+    hot_keys_from(1)
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        joined = spread_join(*sides, ["k"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+        joined.count()
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_repeated_links_do_not_pile_up(spark, hot_keys_from):
+    from tallyhouse.operators.household import member_months
+
+    hot_keys_from(10)
+    links = spark.createDataFrame([(1, 5)] * 2000 + [(1, 6)], "household_id bigint, person_id bigint")
+    visits = spark.createDataFrame([(5, 3)], "person_id bigint, months bigint")
+    assert rows(member_months(visits, links)) == [(5, 3), (6, 3)]
