@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from checks import fixtures as fx
 from checks import lists
-from tallyhouse.functions import rules
-from tallyhouse.operators.overlap import MEASURES
-from tallyhouse.plans.demographics import CATEGORIES, COMPLETENESS
-from tallyhouse.plans.metrics import BASES
+from checks.expected import BASES, CATEGORIES, CLASSES, COMPLETENESS, MEASURES
 from tallyhouse.schemas import PERSON, PERSON_FIELDS, SERVICES
 
 AS_OF = f"DATE '{fx.AS_OF}'"
@@ -179,17 +176,6 @@ def quoted(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '[\",\\n\\r]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
 
 
-def classified(c: str, ruleset: rules.RuleSet) -> str:
-    low = f"lower({c})" if ruleset.fold_case else c
-    chain = f"CASE WHEN {blank(c)} THEN {text(ruleset.blank)}"
-    for r in ruleset.rules:
-        tests = [f"{low} LIKE '%{p}%'" for p in r.contains]
-        tests += [f"regexp_matches({low}, '(^|[^a-z]){w}([^a-z]|$)')" for w in r.words]
-        tests += [f"{low} = '{v}'" for v in r.equals]
-        chain += f" WHEN {' OR '.join(tests)} THEN {text(r.label)}"
-    return chain + f" ELSE {text(ruleset.otherwise)} END"
-
-
 def age(c: str) -> str:
     years = (
         f"(year({AS_OF}) - year({c}) - CASE WHEN month({AS_OF}) * 100 + day({AS_OF}) < month({c}) * 100 + day({c}) "
@@ -205,8 +191,8 @@ def category(name: str) -> str:
     kind, c = CATEGORIES[name]
     if kind == "age":
         value = age(c)
-    elif kind == "rules":
-        value = classified(c, rules.DEFAULT_RULES[c])
+    elif kind == "classes":
+        value = CLASSES[c].format(c=c)
     else:
         value = f"coalesce(nullif(trim({c}), ''), 'Unknown/Blank')"
     return f'SELECT \'{name}\' AS category, {value} AS value, count(*) AS "count" FROM person GROUP BY ALL'
