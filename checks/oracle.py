@@ -313,6 +313,29 @@ def inserted(source: str) -> str:
     return f"SELECT {NEW_ID} AS person_id, {ids}, {', '.join(f'{f}.v AS {f}' for f in PERSON_FIELDS)} FROM {source} r"
 
 
+def rebuilt_ctes() -> list[str]:
+    """`person` from the records alone: ids of one name and birth date together, where no service has two of them."""
+    counts = ", ".join(f"count(*) FILTER (WHERE service = '{s.service}') AS n_{s.service}" for s in SERVICES)
+    keys = ", ".join(f"CAST(max(key) FILTER (WHERE service = '{s.service}') AS DECIMAL(20, 0)) AS {s.person_key}" for s in SERVICES)
+    facts = ", ".join(
+        f"(max({{'s': {f}.s, 'w': service, 'v': {f}.v}}) FILTER (WHERE {f} IS NOT NULL)).v AS {f}" for f in PERSON_FIELDS
+    )
+    least = "CASE WHEN pantry_client_id IS NOT NULL THEN pantry_client_id * 4 + 1 " + (
+        "WHEN pharmacy_pat_key IS NOT NULL THEN pharmacy_pat_key * 4 + 2 ELSE clinic_patientid * 4 + 3 END"
+    )
+    for i in IDS:
+        least = least.replace(f"THEN {i}", f"THEN CAST({i} AS DECIMAL(30, 0))").replace(f"ELSE {i}", f"ELSE CAST({i} AS DECIMAL(30, 0))")
+    return [
+        "named AS (SELECT *, lower(trim(first_name.v)) AS nf, lower(trim(last_name.v)) AS nl, dob.v AS nd FROM records)",
+        f"groups AS (SELECT nf, nl, nd, {counts} FROM named WHERE nf <> '' AND nl <> '' AND nd IS NOT NULL GROUP BY nf, nl, nd)",
+        "together AS (SELECT nf, nl, nd, true AS one FROM groups WHERE n_pantry <= 1 AND n_pharmacy <= 1 AND n_clinic <= 1)",
+        "owned AS (SELECT n.*, CASE WHEN one THEN nf || '|' || nl || '|' || CAST(nd AS VARCHAR) ELSE service || ':' || CAST(key AS VARCHAR) END "
+        "AS who FROM named n LEFT JOIN together USING (nf, nl, nd))",
+        f"people AS (SELECT {keys}, {facts} FROM owned GROUP BY who)",
+        f"person AS (SELECT CAST(-({least}) AS DECIMAL(20, 0)) AS person_id, * FROM people)",
+    ]
+
+
 def unset(f: str) -> str:
     return f"p.{f} IS NULL" if f == "dob" else blank(f"p.{f}")
 
@@ -440,7 +463,16 @@ def all_sql() -> dict[str, str]:
         + "UNION SELECT l.household_id, CAST(p.person_id AS DECIMAL(20, 0)) FROM "
         + f"({pantry_links('t.key')}) l JOIN person p ON p.pantry_client_id = l.person_id",
         "latest_fields": merges + swept(),
-        "rebuild_all": merges + inserted("records"),
+        "rebuild_all": with_ctes(*records_ctes()[:3], *rebuilt_ctes()) + "SELECT * FROM person",
+        "cross_service_after_rebuild": with_ctes(
+            *records_ctes()[:3],
+            *rebuilt_ctes(),
+            f"household AS ({pantry_links(NEW_ID)})",
+            KEYS,
+            EVENTS,
+            SERVED,
+        )
+        + f"SELECT {', '.join(header)} FROM ({usage_report()}) r",
         "rebuild_households": merges + pantry_links(NEW_ID),
         "csv_round_trip": with_ctes(exports_cte(merge=True)) + f"SELECT {pantry_columns} FROM raw WHERE service = 'pantry'",
         "csv_width_reject": "SELECT CASE o_orderkey % 17 WHEN 0 THEN 'reject' ELSE 'accept' END AS verdict, "

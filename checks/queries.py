@@ -181,6 +181,12 @@ def latest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.sweep_latest(fx.person(spark, sf_dir), records)
 
 
+def cross_service_after_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage report on persons and households that were rebuilt from the exports."""
+    built = ingest.rebuild_all(spark, fx.merge_exports(spark, sf_dir))
+    return metrics.cross_service_monthly(fx.exports(spark, sf_dir), checkpointed(built.person), built.household, fx.AS_OF)
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pantry rows written as CSV and read back."""
     pantry = fx.merge_exports(spark, sf_dir)["pantry"]
@@ -272,6 +278,7 @@ def all_queries() -> dict[str, Query]:
         "latest_fields": latest_fields,
         "rebuild_all": lambda spark, sf_dir: ingest.rebuild_all(spark, fx.merge_exports(spark, sf_dir)).person,
         "rebuild_households": lambda spark, sf_dir: ingest.rebuild_all(spark, fx.merge_exports(spark, sf_dir)).household,
+        "cross_service_after_rebuild": cross_service_after_rebuild,
         "csv_round_trip": csv_round_trip,
         "csv_width_reject": csv_width_reject,
         "stream_ingest": stream_ingest,

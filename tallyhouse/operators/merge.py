@@ -101,21 +101,69 @@ def _ids() -> list[Column]:
     return [F.col(f.name).cast(ID).alias(f.name) for f in PERSON if f.name not in PERSON_FIELDS]
 
 
-def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _persons_by_id(fresh: DataFrame) -> DataFrame:
+    """One person an export id."""
+    return fresh.select(
+        new_person_id(F.col("service"), F.col("key")).alias("person_id"),
+        *[F.when(F.col("service") == s.service, F.col("key")).alias(s.person_key) for s in SERVICES],
+        *[F.col(f"{name}.value").alias(name) for name in PERSON_FIELDS],
+    )
+
+
+def _persons_by_name(fresh: DataFrame) -> DataFrame:
+    """One person for the ids of several services that name the same one.
+
+    Our reading of how a person comes to hold ids of several services: first name, last name (trimmed, lower case) and birth date are
+    equal and none is blank, and no service has more than one id under them; else every id stays a person of its own. A field is its
+    latest value over the services, as in `latest_by_person`. Names that many ids share (placeholders) are only counted, map-side.
+    """
+    named = fresh.select(
+        "*",
+        F.lower(F.trim("first_name.value")).alias("_first"),
+        F.lower(F.trim("last_name.value")).alias("_last"),
+        F.col("dob.value").alias("_born"),
+    )
+    names = ["_first", "_last", "_born"]
+    whole = F.coalesce((F.col("_first") != "") & (F.col("_last") != "") & F.col("_born").isNotNull(), F.lit(False))
+    groups = named.filter(whole).groupBy(*names)
+    one_each = F.lit(True)
+    for s in SERVICES:
+        one_each = one_each & (F.count_if(F.col("service") == s.service) <= 1)
+    latest = [
+        F.max(
+            F.when(
+                F.col(name).isNotNull(),
+                F.struct(F.col(f"{name}.seen").alias("seen"), F.col("service").alias("service"), F.col(f"{name}.value").alias("value")),
+            )
+        ).alias(name)
+        for name in PERSON_FIELDS
+    ]
+    keys = [F.max(F.when(F.col("service") == s.service, F.col("key"))).alias(s.person_key) for s in SERVICES]
+    joined = groups.agg(one_each.alias("_one"), *keys, *latest)
+    ids = F.coalesce(
+        *[F.when(F.col(s.person_key).isNotNull(), new_person_id(F.lit(s.service), F.col(s.person_key))) for s in SERVICES]
+    )
+    together = joined.filter("_one").select(
+        ids.alias("person_id"), *[s.person_key for s in SERVICES], *[F.col(f"{name}.value").alias(name) for name in PERSON_FIELDS]
+    )
+    apart = spread_join(named.filter(whole), joined.filter("not _one").select(*names), names, "left_semi").select(*fresh.columns)
+    rest = named.filter(~whole).select(*fresh.columns)
+    return together.unionByName(_persons_by_id(apart.unionByName(rest)))
+
+
+def merge_person(person: DataFrame, records: DataFrame, link_by_name: bool = False) -> tuple[DataFrame, DataFrame]:
     """New persons for export ids that `person` does not hold, and blank fields filled; with an audit of both.
 
+    With `link_by_name` ids of several services under one name and birth date become one new person (see `_persons_by_name`).
+
     The audit has one row a new person (`insert`, the new value is its export id) and one a filled field (`update`).
     `records` is read on several branches, which the optimizer pushes different filters into: pass it checkpointed, so that the
     raw exports behind it are read once (`plans.ingest.run_merges` does).
     """
     known = person_keys(person).select("service", "key").distinct()
     fresh = records.join(known, ["service", "key"], "left_anti")
-    keys = [F.when(F.col("service") == s.service, id_of_key(F.col("key"))).alias(s.person_key) for s in SERVICES]
-    inserts = fresh.select(
-        new_person_id(F.col("service"), F.col("key")).alias("person_id"),
-        *keys,
-        *[F.col(f"{name}.value").alias(name) for name in PERSON_FIELDS],
-    )
+    new = _persons_by_name(fresh) if link_by_name else _persons_by_id(fresh)
+    inserts = new.select("person_id", *[id_of_key(F.col(s.person_key)).alias(s.person_key) for s in SERVICES], *PERSON_FIELDS)
     joined = person.join(latest_by_person(person, records), "person_id", "left")
     filled = {name: _unset(name) & F.col(f"_{name}.value").isNotNull() for name in PERSON_FIELDS}
     existing = joined.select(
@@ -138,8 +186,9 @@ def merge_person(person: DataFrame, records: DataFrame) -> tuple[DataFrame, Data
         ]
     )
     updates = joined.select(F.col("person_id").cast(ID).alias("person_id"), F.inline(F.filter(changes, lambda c: c.isNotNull())))
-    added = fresh.select(
-        new_person_id(F.col("service"), F.col("key")).alias("person_id"),
+    ids = F.array(*[F.struct(F.lit(s.service).alias("service"), F.col(s.person_key).alias("key")) for s in SERVICES])
+    added = new.select("person_id", F.inline(ids)).filter(F.col("key").isNotNull()).select(
+        "person_id",
         F.col("service").alias("source"),
         F.lit("insert").alias("action"),
         F.lit(None).cast("string").alias("field"),

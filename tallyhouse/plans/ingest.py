@@ -28,7 +28,7 @@ class Merged:
 
 
 def run_merges(
-    person: DataFrame, household: DataFrame, exports: Exports, household_column: str = HOUSEHOLD_COLUMN
+    person: DataFrame, household: DataFrame, exports: Exports, household_column: str = HOUSEHOLD_COLUMN, link_by_name: bool = False
 ) -> Merged:
     """People, then households, then latest fields. Nothing is dropped.
 
@@ -36,7 +36,7 @@ def run_merges(
     exports are parsed for them only once.
     """
     records = checkpointed(source_records(exports))
-    merged, audit = merge_person(person, records)
+    merged, audit = merge_person(person, records, link_by_name)
     merged = checkpointed(merged)
     pantry = exports.get("pantry")
     if pantry is not None and household_column in pantry.columns:
@@ -45,9 +45,9 @@ def run_merges(
 
 
 def rebuild_all(spark: SparkSession, exports: Exports, household_column: str = HOUSEHOLD_COLUMN) -> Merged:
-    """The same from an empty state."""
+    """The same from an empty state. No table says any more which ids belong to one human, so names and birth dates do."""
     person, household, _ = empty_state(spark)
-    return run_merges(person, household, exports, household_column)
+    return run_merges(person, household, exports, household_column, link_by_name=True)
 
 
 STATE = ("person", "household")
@@ -109,7 +109,7 @@ def remove_old_versions(spark: SparkSession, keep: int = 1) -> int:
 def merge_tables(spark: SparkSession, rebuild: bool = False) -> Merged:
     """Run the merges on the catalog's state, whichever form it has, and publish the result."""
     person, household = empty_state(spark)[:2] if rebuild else current_state(spark)
-    publish(run_merges(person, household, load_exports(spark)))
+    publish(run_merges(person, household, load_exports(spark), link_by_name=rebuild))
     return Merged(*(spark.table(f"{name}{CURRENT}") for name in (*STATE, "person_audit")))
 
 
