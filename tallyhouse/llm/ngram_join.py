@@ -126,7 +126,24 @@ def _block_sums(block: np.ndarray, values: np.ndarray, blocks: int) -> tuple[np.
 
 
 #: A key on its way: how many such keys a linked set shares (0: joined to its node already, and to be joined to one node).
-_KEY = np.dtype([("key", "<u8"), ("node", "<i8"), ("need", "<u2")])
+_KEY = np.dtype([("key", "<u8"), ("node", "<i8"), ("need", "u1")])
+#: The same while it travels: 48 bits tell the keys of one bucket apart (two that meet by accident only widen a family).
+_SENT = np.dtype([("low", "<u4"), ("mid", "<u2"), ("node", "<i8"), ("need", "u1")])
+
+
+def _send(rows: np.ndarray) -> bytes:
+    out = np.empty(len(rows), _SENT)
+    out["low"], out["mid"] = rows["key"] & _U(0xFFFFFFFF), (rows["key"] >> _U(32)) & _U(0xFFFF)
+    out["node"], out["need"] = rows["node"], rows["need"]
+    return out.tobytes()
+
+
+def _receive(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, _SENT)
+    out = np.empty(len(rows), _KEY)
+    out["key"] = rows["low"].astype(_U) | (rows["mid"].astype(_U) << _U(32))
+    out["node"], out["need"] = rows["node"], rows["need"]
+    return out
 
 
 def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +225,7 @@ def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 continue
             packed["key"] = np.concatenate([k for k, _ in own])
             packed["node"] = np.repeat(_signed(marks[distinct, 0]), [len(k) for k, _ in own])
-            packed["need"] = np.minimum(np.concatenate([n for _, n in own]), 60_000)
+            packed["need"] = np.minimum(np.concatenate([n for _, n in own]), 250)
             packed, heads, many = _groups(packed)
             edges = _stars(packed, heads, many)
             if len(edges):
@@ -222,14 +239,14 @@ def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
             packed = packed[np.argsort(bucket, kind="stable")]
             at = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
             used = np.flatnonzero(np.diff(at))
-            yield _rows(2, used, keys=[packed[at[b] : at[b + 1]].tobytes() for b in used])
+            yield _rows(2, used, keys=[_send(packed[at[b] : at[b + 1]]) for b in used])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
             if held:
-                packed, heads, many = _groups(np.frombuffer(b"".join(held), _KEY))
+                packed, heads, many = _groups(_receive(b"".join(held)))
                 edges = _stars(packed, heads, many)
                 if len(edges):
                     yield _rows(1, np.full(len(edges), now), a=edges[:, 0], b=edges[:, 1]).drop_columns(["keys"])
