@@ -396,15 +396,8 @@ def all_sql() -> dict[str, str]:
         f"SELECT '{f}' AS f, * FROM ({USES[f].format(c='DISTINCT person_id, month')}) t" for f in USES
     )
     in_window = f"d >= {START} AND d < {END}"
-    pantry_columns = ", ".join(
-        f"coalesce({c}, '') AS \"{alias}\""
-        for c, alias in [
-            ("id_text", "Client ID"),
-            ("date_text", "Visit Date"),
-            *[(f, f) for f in PERSON_FIELDS],
-            ("household_text", "Household ID"),
-        ]
-    )
+    csv_columns = ", ".join(f"coalesce({c}, '') AS {c}" for c in ("id_text", "date_text", *PERSON_FIELDS))
+    csv_columns += ", CASE WHEN service = 'pantry' THEN coalesce(household_text, '') END AS household_text"
     sql = {
         "parse_dates": texts
         + f'SELECT service, date_text, {parsed("date_text")} AS event_date, count(*) AS "rows" FROM raw GROUP BY ALL',
@@ -474,12 +467,12 @@ def all_sql() -> dict[str, str]:
         )
         + f"SELECT {', '.join(header)} FROM ({usage_report()}) r",
         "rebuild_households": merges + pantry_links(NEW_ID),
-        "csv_round_trip": with_ctes(exports_cte(merge=True)) + f"SELECT {pantry_columns} FROM raw WHERE service = 'pantry'",
+        "csv_round_trip": with_ctes(exports_cte(merge=True)) + f"SELECT service, {csv_columns} FROM raw",
         "csv_width_reject": "SELECT CASE o_orderkey % 17 WHEN 0 THEN 'reject' ELSE 'accept' END AS verdict, "
         + "CASE o_orderkey % 17 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS width, "
         + "CASE WHEN o_orderkey % 17 IN (1, 3) THEN NULL WHEN o_orderkey % 17 = 0 THEN 'quoted, once' ELSE 'a \"b\", c' END AS note, "
         + 'count(*) AS "rows" FROM orders WHERE o_orderkey % 17 <> 2 GROUP BY ALL',
-        "stream_ingest": texts + "SELECT id_text AS patientid, date_text AS apptcheckindate FROM raw WHERE service = 'clinic'",
+        "stream_ingest": texts + "SELECT service, id_text, date_text FROM raw",
         "table_preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 200",
     }
     sql["cross_service_from_store"] = sql["cross_service_monthly"]

@@ -188,11 +188,16 @@ def cross_service_after_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pantry rows written as CSV and read back."""
-    pantry = fx.merge_exports(spark, sf_dir)["pantry"]
-    path = scratch_path(spark, "csv")
-    sinks.write_csv(pantry, path)
-    return csv_export.read_export_csv(spark, path, pantry.schema, has_header=True)
+    """All rows of the three exports written as CSV and read back."""
+    parts = []
+    for spec in SERVICES:
+        export = fx.merge_exports(spark, sf_dir)[spec.service]
+        path = scratch_path(spark, "csv")
+        sinks.write_csv(export, path)
+        back = csv_export.read_export_csv(spark, path, export.schema, has_header=True)
+        named = back.withColumnsRenamed({spec.id_column: "id_text", spec.date_column: "date_text", "Household ID": "household_text"})
+        parts.append(named.select(F.lit(spec.service).alias("service"), *named.columns))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def csv_width_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,17 +223,21 @@ def csv_width_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All clinic rows arrive as files beside one with a row that is too wide; the stream takes the good files once."""
-    clinic = fx.exports(spark, sf_dir)["clinic"]
-    base = scratch_path(spark, "stream")
-    incoming = f"{base}/in"
-    clinic.write.options(**{**sinks.WRITER_OPTIONS, "header": "false"}).csv(incoming)
-    spark.range(1).select(F.lit("1,2001-01-01,too wide").alias("value")).write.mode("append").text(incoming)
-    for _ in range(2):
-        stream_exports(
-            spark, incoming, clinic.columns, f"{base}/out", f"{base}/rejects", f"{base}/checkpoint"
-        ).awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop(BATCH)
+    """All rows of each export arrive as files beside one with a row that is too wide; the stream takes the good files once."""
+    parts = []
+    for spec in SERVICES:
+        export = fx.exports(spark, sf_dir)[spec.service]
+        base = scratch_path(spark, "stream")
+        incoming = f"{base}/in"
+        export.write.options(**{**sinks.WRITER_OPTIONS, "header": "false"}).csv(incoming)
+        spark.range(1).select(F.lit("1,2001-01-01,too wide").alias("value")).write.mode("append").text(incoming)
+        for _ in range(2):
+            stream_exports(
+                spark, incoming, export.columns, f"{base}/out", f"{base}/rejects", f"{base}/checkpoint"
+            ).awaitTermination()
+        back = spark.read.parquet(f"{base}/out").drop(BATCH)
+        parts.append(back.toDF("id_text", "date_text").withColumn("service", F.lit(spec.service)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
