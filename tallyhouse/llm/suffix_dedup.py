@@ -267,6 +267,11 @@ def _sort_shard(held: list[bytes], length: int) -> pa.RecordBatch:
     begin, end, owner = at[heads], at[tails] + length, owner[heads]
     first = first[left[owner]] + begin - starts[owner]
     ids, marks = ids[left[owner]], marks[left[owner]]
+    # Copies that differ elsewhere have equal stretches: one of those is enough, as for whole strings.
+    one, two = (roll.ranges(roll.prefix(data), begin, end) for roll in (_ONE, _TWO))
+    whole = _earlier(one, two, ids, marks, first)
+    rows.append((ids[whole], marks[whole], first[whole], first[whole] + (end - begin)[whole] - length))
+    begin, end, first, ids, marks = begin[~whole], end[~whole], first[~whole], ids[~whole], marks[~whole]
     if len(begin):
         data, starts = gather(data, begin, end)
         text, place = _with_ends(data, starts)
