@@ -39,7 +39,7 @@ from tallyhouse.llm.superkmers import (
     unbundle,
 )
 
-GRAM = 32
+GRAM = 20
 SLICE_BYTES = 2 << 20
 
 _ONE, _TWO = Rolling("suffix bytes"), Rolling("suffix bytes, second")
