@@ -3,6 +3,8 @@
 A noisy channel: a written token is a word that went through leetspeak, spacing and repetition. Every token that may have gone through
 it becomes a lattice of candidate characters; Viterbi picks the path with the best sum of the channel's and a character trigram model's
 log probabilities. The trigrams are counted over all texts. Tokens whose lattice has one path only (plain letters) are their own result.
+Symbols at the edge of a word stand for a letter or for nothing; letters written twice may be one. Neighbouring words of at most `SHORT`
+characters share a lattice with a blank or nothing between them; what it joins is scored beside the words themselves.
 
 The restored words and their beginnings are scored: features that labelled toxic documents hold significantly more often form a lexicon
 with log odds, and a logistic model turns a document's hits into a score. The lexicon and the model are fitted on at most
@@ -32,14 +34,24 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 SEPARATORS = ".-_*~'/\\,:;"
-LOG = {name: float(np.log(p)) for name, p in {"same": 0.90, "leet": 0.80, "kept": 0.02, "joined": 0.60, "apart": 0.40, "once": 0.45, "twice": 0.45, "all": 0.10}.items()}
+LOG = {name: float(np.log(p)) for name, p in {"same": 0.90, "single": 0.10, "leet": 0.80, "kept": 0.02, "joined": 0.60, "apart": 0.40, "once": 0.45, "twice": 0.45, "all": 0.10}.items()}
 #: Symbols of the trigram model: 0 is everything that is no letter of it.
 SYMBOLS = 64
-SPACED = 4
+#: Words of so many characters may be pieces of one word.
+SHORT = 3
+#: How likely a symbol before (after) a word is punctuation; others are so with the probability of `kept`.
+OPENS = {"(": 0.8, "¡": 0.8, "|": 0.5, "+": 0.3}
+CLOSES = {"!": 0.8, "|": 0.5, "+": 0.3}
 
 _TOKENS = Rolling("tokens")
 _EDGES = re.compile(r"^\W+|[\W_]+$")
-_MAY_HIDE = re.compile(r"[^\W\d_].*[\d@$!|+(€£¡]|[\d@$!|+(€£¡].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*~'/\\,:;][^\W\d_]")
+_MAY_HIDE = re.compile(r"[^\W\d_].*[\d@$!|+(€£¡]|[\d@$!|+(€£¡].*[^\W\d_]|([^\W\d_])\1|[^\W\d_][.\-_*~'/\\,:;][^\W\d_]|^[@$!|+(€£¡]{3,}$")
+_SYMBOLS_AT_EDGES = re.compile(r"(?:^|(?<=\s))[@$!|+(€£¡]+|[@$!|+(€£¡]+(?=\s|$)")
+
+
+def core(token: str) -> str:
+    """The token in lower case; of what stands before and after its letters and digits only symbols that may be letters stay."""
+    return _EDGES.sub(lambda m: "".join(c for c in m.group() if c in LEET), token.lower())
 
 
 def alphabet_of(counts: dict[int, int]) -> str:
@@ -122,12 +134,25 @@ class Channel:
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """Candidates of each place: what may have been written there, and the channel's log probability."""
+        nothing: dict[int, float] = {}
+        for m in _SYMBOLS_AT_EDGES.finditer(token):
+            before = m.start() == 0 or token[m.start() - 1].isspace()
+            after = m.end() == len(token) or token[m.end()].isspace()
+            for at in range(*m.span()):
+                odds = [side.get(token[at], 0.02) for side, on in ((OPENS, before), (CLOSES, after)) if on]
+                nothing[at] = max(odds)
         places, k = [], 0
         while k < len(token):
             c, n = token[k], 1
             while k + n < len(token) and token[k + n] == c:
                 n += 1
-            if c.isalpha() and n >= 3:
+            if k in nothing:
+                no, yes = float(np.log(nothing[k])), float(np.log(1 - nothing[k]))
+                given = [(x, yes + LOG["leet"] - float(np.log(len(LEET[c])))) for x in LEET[c]]
+                places.extend([*given, (c, yes + LOG["kept"]), ("", no)] for _ in range(min(n, 2)))
+            elif c.isalpha() and n == 2:
+                places.append([(c, LOG["single"]), (c * 2, LOG["same"])])
+            elif c.isalpha() and n >= 3:
                 places.append([(c, LOG["once"]), (c * 2, LOG["twice"]), (c * n, LOG["all"])])
             elif c in LEET:
                 given = [(x, LOG["leet"] - float(np.log(len(LEET[c])))) for x in LEET[c]]
@@ -165,17 +190,32 @@ class Channel:
             parts.append(path[1])
             path = path[0]
         out = "".join(reversed(parts)).strip()
-        if len(self.known) >= 200_000:
-            self.known.clear()
-        self.known[token] = out
+        if len(token) <= 200:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            self.known[token] = out
         return out
 
     def words(self, token: str) -> list[str]:
         """The restored words of one written token: lower case, no punctuation around it."""
-        word = _EDGES.sub("", token.lower())
-        if not word:
+        word = core(token)
+        if _MAY_HIDE.search(word):
+            word = self.restore(word)
+        return [w for x in word.split() if (w := _EDGES.sub("", x))]
+
+    def joined(self, pieces: tuple[str, ...], wanted) -> list[str]:
+        """The words that the common lattice of neighbouring pieces makes of two pieces or more; none if no wanted feature can come of it."""
+        if not any(c.isalpha() or c in LEET and not c.isdigit() for p in pieces for c in p):
             return []
-        return self.restore(word).split() if _MAY_HIDE.search(word) else [word]
+        plain = len(pieces) <= 8 and not any(c in LEET or c in SEPARATORS for p in pieces for c in p)
+        if plain and not any(_MAY_HIDE.search(p) for p in pieces):
+            # Its paths are the pieces, joined or not.
+            made = ("".join(pieces[i:j]) for i in range(len(pieces)) for j in range(i + 2, len(pieces) + 1))
+            if not any(wanted(x) is not None for w in made for x in features_of(w)):
+                return []
+        alone = {w for p in pieces for w in self.words(p)}
+        found = (_EDGES.sub("", x) for x in self.restore(" ".join(pieces)).split())
+        return [w for w in found if len(w) > 1 and w not in alone]
 
 
 def features_of(word: str) -> list[str]:
@@ -192,8 +232,7 @@ def bucket(feature: str) -> int:
 
 
 def _tokens(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct tokens of a slice, the token number of each word, and the words before each text; runs of single characters follow as
-    further tokens of their text, joined by blanks."""
+    """Distinct tokens of a slice, the token number of each word, and the words before each text."""
     data, offsets = raw(column)
     starts, ends, bounds = word_ranges(data, offsets)
     if not len(starts):
@@ -206,27 +245,16 @@ def _tokens(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return tokens, index, bounds
 
 
-def _spaced(tokens: list[str], index: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str]]:
-    """(text, characters joined by blanks) for every run of single-character words long enough to hide a word."""
-    single = np.fromiter((len(t) == 1 for t in tokens), bool, len(tokens))[index]
-    if single.sum() < SPACED:
-        return []
-    inside = np.ones(len(index) + 1, bool)
-    inside[bounds] = False  # a run may not go on from the text before
-    joined = single.copy()
-    joined[1:] &= single[:-1] & inside[1:-1]
-    joined[0] = False
-    heads = np.flatnonzero(single & ~joined)
-    stops = np.append(heads[1:], len(index))
-    found = []
-    for low, high in zip(heads, stops, strict=True):
-        n = 1
-        while low + n < high and joined[low + n]:
-            n += 1
-        if n >= SPACED:
-            text = int(np.searchsorted(bounds, low, "right")) - 1
-            found.append((text, " ".join(tokens[index[low + k]] for k in range(n)).lower()))
-    return found
+def _neighbours(short: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, word after the last) of every run of two or more short words of a text."""
+    inside = short[index]
+    fresh = np.zeros(len(index) + 1, bool)
+    fresh[bounds] = True  # a run may not go on from the text before
+    heads = np.flatnonzero(inside & (fresh[:-1] | ~np.append(False, inside[:-1])))
+    stops = np.flatnonzero(inside & (fresh[1:] | ~np.append(inside[1:], False))) + 1
+    several = stops - heads >= 2
+    heads, stops = heads[several], stops[several]
+    return np.searchsorted(bounds, heads, "right") - 1, heads, stops
 
 
 def _hits(channel: Channel, column: pa.Array, wanted, memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,14 +280,16 @@ def _hits(channel: Channel, column: pa.Array, wanted, memo: dict) -> tuple[np.nd
     rows = np.repeat(np.repeat(np.arange(len(column)), np.diff(bounds)), per_word)
     begin = np.repeat(at[index] - np.concatenate([[0], np.cumsum(per_word)[:-1]]) if len(index) else at[:0], per_word)
     found = flat[begin + np.arange(len(begin))]
-    more = [
-        (text, f)
-        for text, run in _spaced(tokens, index, bounds)
-        for w in channel.restore(run).split()
-        if len(w) > 1
-        for x in features_of(w)
-        if (f := wanted(x)) is not None
-    ]
+    cores = [core(t) for t in tokens]
+    short = np.fromiter((len(c) <= SHORT for c in cores), bool, len(cores))
+    more = []
+    for text, low, high in zip(*(x.tolist() for x in _neighbours(short, index, bounds)), strict=True):
+        run = tuple(cores[k] for k in index[low:high].tolist() if cores[k])
+        if len(run) < 2:
+            continue
+        if (own := memo.get(run)) is None:
+            own = memo[run] = tuple(f for w in channel.joined(run, wanted) for x in features_of(w) if (f := wanted(x)) is not None)
+        more.extend((text, f) for f in own)
     if more:
         rows = np.concatenate([rows, [m[0] for m in more]])
         found = np.concatenate([found, [m[1] for m in more]])

@@ -145,6 +145,26 @@ def test_toxic_words_are_found_when_hidden(spark, docs, toxic):
     assert [by_id[k]["predicted"] for k in (950, 951, 952, 900, 901, NO_ID)] == [1, 1, 0, 0, 0, 0]
 
 
+def test_symbols_at_edges_doubled_letters_and_parted_words_are_restored(docs):
+    words = "stupid idiot trash gucci also grass letter all wow to the dog is at".split()
+    channel = toxicity.Channel(*toxicity.character_model(docs([(k, " ".join(words)) for k in range(50)])))
+    restored = {
+        "$tupid": "stupid", "!diot": "idiot", "@lso": "also", "tra$h": "trash", "gucc!": "gucci", "idiot!": "idiot", "(idiot)": "idiot",
+        "stuupid": "stupid", "iidiot": "idiot", "letter": "letter", "wow!?!": "wow", "trash": "trash", '"$tupid",': "stupid",
+    }
+    assert {t: channel.words(t) for t in restored} == {t: [w] for t, w in restored.items()}
+    assert channel.words("gra$$") == ["grass"] and channel.words("!!!") == [] and channel.words("...") == []
+    import pyarrow as pa
+
+    texts = ["i d i o t! to", "the stu pid dog", "st,up,id", "s t u pid", "is at", "i d i", "o t", None]
+    seen: dict[str, int] = {}
+    rows, found, _ = toxicity._hits(channel, pa.array(texts), lambda x: seen.setdefault(x, len(seen)), {})
+    names = {n: x for x, n in seen.items()}
+    by_text = [{names[f] for f in found[rows == k]} for k in range(len(texts))]
+    assert "idiot" in by_text[0] and all("stupid" in by_text[k] for k in (1, 2, 3))
+    assert "idiot" not in by_text[5] | by_text[6] and by_text[4] == {"is", "at"} and not by_text[7]
+
+
 def test_scores_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r["score"] for r in toxicity.score_toxicity(docs([(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]
