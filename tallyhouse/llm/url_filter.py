@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import stored
+from tallyhouse.llm.common import broadcast_if_small, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALLOW, BLOCK = "allow", "block"
@@ -92,8 +92,9 @@ SUFFIXES = (1, 2, 3)
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], max_train_rows: int = 20_000, trees: int = 20, depth: int = 4) -> DataFrame:
     """page_id, url, host, path, rule (text of the rule that decided, or null), verdict, block_score (null where a rule decided).
 
-    The trees are fitted on at most `max_train_rows` urls that a rule decides, those with the smallest hashes. The suffix table is made
-    from the same rows and so has at most three times as many; it is broadcast.
+    The trees are fitted on at most `max_train_rows` different urls that a rule decides: of each verdict those with the smallest hashes, as
+    many as its share of the different urls, but a tenth of the sample at least where there are so many. The suffix table counts all rows
+    that a rule decides; it is broadcast only after a count finds it small.
     """
     rows = pages.select("page_id", F.col("url").alias("url"), F.coalesce("url", F.lit("")).alias("_url"))
     host, path = host_and_path(F.col("_url"))
@@ -102,32 +103,34 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], max_train_rows: int = 2
     rows = rows.withColumns(
         {"rule": longest_rule(rules, host, path, lambda r: r.text), "_said": longest_rule(rules, host, path, lambda r: r.verdict)}
     )
-    labelled = (
-        rows.where(F.col("_said").isNotNull())
-        .select("_url", "host", "path", (F.col("_said") == BLOCK).cast("double").alias("label"))
-        .orderBy(F.xxhash64("_url"), "_url")
-        .limit(max_train_rows)
-    )
-    sample = stored(labelled, "url-sample")
-    classes = [r[0] for r in sample.select("label").distinct().collect()]
+    labelled = rows.where(F.col("_said").isNotNull()).select("_url", "host", "path", (F.col("_said") == BLOCK).cast("double").alias("label"))
+    different = stored(labelled.distinct(), "url-labelled")
+    classes = {r[0]: r[1] for r in different.groupBy("label").count().collect()}
     columns = ["page_id", "url", "host", "path", "rule"]
     if len(classes) < 2:
-        only = BLOCK if classes == [1.0] else ALLOW
+        only = BLOCK if list(classes) == [1.0] else ALLOW
         return rows.select(*columns, F.coalesce("_said", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
 
-    base = sample.agg(F.avg("label")).first()[0]
+    few, many = sorted(classes, key=lambda c: (classes[c], c))
+    least = min(classes[few], max(1, max_train_rows // 10, max_train_rows * classes[few] // sum(classes.values())))
+    chosen = [
+        different.where(F.col("label") == c).orderBy(F.xxhash64("_url"), "_url").limit(n) for c, n in ((few, least), (many, max_train_rows - least))
+    ]
+    sample = stored(chosen[0].unionByName(chosen[1]), "url-sample")
+    base = labelled.agg(F.avg("label")).first()[0]
     known = (
-        sample.select("label", F.explode(F.array_distinct(F.array(*[host_suffix(F.col("host"), n) for n in SUFFIXES]))).alias("suffix"))
+        labelled.select("label", F.explode(F.array_distinct(F.array(*[host_suffix(F.col("host"), n) for n in SUFFIXES]))).alias("suffix"))
         .groupBy("suffix")
         .agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
     )
     table = stored(known.select("suffix", ((F.col("blocked") + 2 * base) / (F.col("n") + 2)).alias("share")), "url-suffixes")
+    table = broadcast_if_small(table)
 
     def with_features(df: DataFrame) -> DataFrame:
         df = df.withColumns(lexical_features(F.col("_url"), F.col("host"), F.col("path")))
         for n in SUFFIXES:
             one = table.select(F.col("suffix").alias(f"_suffix{n}"), F.col("share").alias(f"_share{n}"))
-            df = df.withColumn(f"_suffix{n}", host_suffix(F.col("host"), n)).join(F.broadcast(one), f"_suffix{n}", "left")
+            df = df.withColumn(f"_suffix{n}", host_suffix(F.col("host"), n)).join(one, f"_suffix{n}", "left")
             df = df.withColumn(f"suffix_share{n}", F.coalesce(f"_share{n}", F.lit(base)))
         names = [*lexical_features(F.col("_url"), F.col("host"), F.col("path")), *[f"suffix_share{n}" for n in SUFFIXES]]
         return VectorAssembler(inputCols=names, outputCol="features").transform(df)

@@ -116,6 +116,21 @@ def test_trees_learn_from_the_rules(spark):
     assert (got[400], got[401]) == ("block", "allow")
 
 
+def test_suffixes_count_all_labelled_urls_and_the_sample_holds_both_verdicts(spark):
+    rules = [url_filter.Rule("block", "zz", "/bad/"), url_filter.Rule("allow", "zz", "/dab/")]
+    hosts = [f"h{k}.zz" for k in range(150)]
+    # Paths of the same letters: hosts alone tell the verdicts apart.
+    rows = [f"http://{h}/{'bad/' if k % 2 else 'dab/'}{n}" for k, h in enumerate(hosts) for n in range(4)]
+    rows += [f"http://{h}/page" for h in hosts]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    few = [r for r in url_filter.filter_urls(pages, rules, max_train_rows=60).collect() if r["rule"] is None]
+    right = [(r["verdict"] == "block") == bool(hosts.index(r["host"]) % 2) for r in few]
+    assert len(few) == len(hosts) and sum(right) == len(right)
+    copies = [f"http://h0.zz/dab/{k}" for k in range(3)] * 300 + [f"http://h1.zz/bad/{k}" for k in range(3)] + ["http://h1.zz/page"]
+    pages = spark.createDataFrame(list(enumerate(copies)), "page_id bigint, url string")
+    assert {r["block_score"] is not None for r in url_filter.filter_urls(pages, rules, max_train_rows=4).where("rule is null").collect()} == {True}
+
+
 @pytest.fixture(scope="module")
 def toxic():
     draw = random.Random(3)
