@@ -147,8 +147,8 @@ def _receive(data: bytes) -> np.ndarray:
 
 
 def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by key and node, without repeats; where each key's begin; which keys have many nodes or are marked so."""
-    rows = rows[np.lexsort((rows["node"], rows["key"]))]
+    """Rows sorted by key and node, the smallest need (0: the mark) of each; where each key's begin; which keys have many nodes or are marked."""
+    rows = rows[np.lexsort((rows["need"], rows["node"], rows["key"]))]
     if len(rows):
         rows = rows[np.append(True, (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1]))]
     heads = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1])) if len(rows) else np.zeros(0, np.int64)

@@ -58,6 +58,28 @@ def test_linked_sets_share_a_key():
             assert any(list(most.values()).count(n) >= n for n in most.values())
 
 
+def test_the_mark_of_a_hot_key_stays_in_any_order():
+    rows = np.array([(5, 1, 3), (5, 1, 0), (5, 2, 3), (6, 1, 2), (6, 3, 4)], ngram_join._KEY)
+    for order in ([0, 1, 2, 3, 4], [1, 0, 2, 3, 4], [4, 2, 0, 3, 1]):
+        got, heads, many = ngram_join._groups(rows[order])
+        assert got.tolist() == [(5, 1, 0), (5, 2, 3), (6, 1, 2), (6, 3, 4)]
+        assert heads.tolist() == [0, 2] and many.tolist() == [True, False]
+
+
+def test_copies_of_a_hot_head_in_other_slices(docs, monkeypatch):
+    cut = ngram_join.slices
+    monkeypatch.setattr(ngram_join, "slices", lambda batches, column="text", size=0: cut(batches, column, 30_000))
+    base = [f"w{k}" for k in range(120)]
+    copies = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(10, 34)]
+    for before in (True, False):
+        lone = [(500 + k, t) for k, t in enumerate(copies[:3])]
+        rows = [*enumerate(copies)]
+        rows = [*lone, *rows] if before else [*rows, *lone]
+        found = ngram_join.similar_components(docs(rows).coalesce(1), 3, 90)
+        got = sorted((r["id"], r["n_shingles"], r["component_id"]) for r in found.collect())
+        assert got == classes(rows, 3, 90)
+
+
 def test_no_documents(docs):
     assert ngram_join.similar_components(docs([])).count() == 0
     assert fingerprints.edited_fingerprints(docs([])).count() == 0
