@@ -43,11 +43,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the one with the smallest id stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, one row stays: that with the smallest id, and of texts
+    with that id the one with the smallest hash. Ids may be null or repeat."""
     found = stored(similar_components(docs, size=5, percent=80).where("n_shingles > 0"), "pipeline-components")
-    left = _without(docs, found.where("id <> component_id").select("id", "hash"))
+    first = found.groupBy("root").agg(F.min(F.struct("id", "hash")).alias("first"), F.count("*").alias("members"))
+    first = stored(first.where("members > 1").select("root", "first"), "pipeline-first")
+    row = F.struct("id", "hash")
+    grouped = found.join(broadcast_if_small(first), "root")
+    left = _without(docs, grouped.where(row != F.col("first")).select("id", "hash"))
     # Rows of one id and text are copies too: of those that repeat, one stays.
-    again = found.where("id = component_id").groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "hash")
+    again = grouped.where(row == F.col("first")).groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "hash")
     again = broadcast_if_small(stored(again.toDF(*KEYS), "pipeline-repeated"))
     one = _keyed(left).join(again, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
     return _keyed(left).join(again, KEYS, "left_anti").select(*docs.columns).unionByName(one)

@@ -373,7 +373,8 @@ def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFra
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, family_block: int = FAMILY_BLOCK) -> DataFrame:
-    """id, hash (of the text), n_shingles, component_id of every row: the smallest id that links lead to, its own included."""
+    """id, hash (of the text), n_shingles, component_id of every row: the smallest id that links lead to, its own included; and root, which
+    tells components apart whose smallest ids are equal (ids may repeat)."""
     both = _sets_and_edges(docs, size, percent)
     sets = both.where("kind = 0").select("id", "hash", "n", "a", "b")
     counted = both.where("kind = 3").groupBy("a", "b", "n").agg(F.sum("id").alias("found"))
@@ -397,5 +398,5 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, family
     known = sets.withColumn("node", key("a", "b")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     return known.join(least, "root", "left").select(
-        "id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        "id", "hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "root"
     )

@@ -31,6 +31,19 @@ def test_stages_take_odd_rows(spark, docs, corpus):
     assert sum(not (r["text"] or "").split() for r in kept) == len(wordless)
 
 
+def test_one_row_of_near_copies_with_equal_ids_stays(spark, docs):
+    base = " ".join(f"w{k}" for k in range(120))
+    near = [base.replace(f"w{k} ", "changed ") for k in (30, 60, 90)]
+    other = " ".join(f"v{k}" for k in range(120))
+    rows = docs([(None, base), (None, near[0]), (None, other), (None, None), (7, near[1]), (7, near[2]), (8, other + " x"), (8, "unlike any of them")])
+    kept = corpus_pipeline.near_duplicates(spark, rows, SMALL).collect()
+    texts = [r["text"] for r in kept]
+    assert len(kept) == 4 and sum(t in (base, *near) for t in texts) == 1
+    assert {(r["doc_id"], r["text"]) for r in kept} >= {(None, other), (None, None), (8, "unlike any of them")}
+    same = docs([(7, near[1]), (7, near[2]), (7, near[2])])
+    assert corpus_pipeline.near_duplicates(spark, same, SMALL).count() == 1
+
+
 def test_empty_table_passes_through(spark, docs):
     rows = docs([])
     for _, stage in corpus_pipeline.STAGES:
