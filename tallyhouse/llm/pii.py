@@ -1,10 +1,10 @@
 """Personal data by fixed patterns, and the terms that give it away; built-in column functions only.
 
 Base spans are the matches of four patterns that pass their check. Information-theoretic sanitisation adds terms: for every base span
-the words beside it on its line are counted with the entity it holds, and over all texts. A term discloses an entity by
-log2(P(entity | term) / P(entity)) bits; a term that lies beside one entity in enough different contexts, in most of its own
-occurrences in the corpus and by enough bits is a span too. A term that stands for its entity almost always is removed, else it is
-generalised to the kind of the entity.
+the words of the passage around it (`CONTEXT_WORDS` on either side, whatever lines they stand on) are counted with the entity it holds,
+and over all texts. A term discloses an entity by log2(P(entity | term) / P(entity)) bits; a term that lies beside one entity in enough
+different contexts, in most of its own occurrences in the corpus and by enough bits is a span wherever it occurs, also in texts without
+the entity. A term that stands for its entity almost always is removed, else it is generalised to the kind of the entity.
 
 Positions are code points. They come from the lengths of what lies between the matches, added up by a window over a document's
 matches, so no step takes more than n log n for n matches.
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import NO_ID, WORD_BREAK, stored
+from tallyhouse.llm.common import NO_ID, WORD_BREAK, broadcast_if_small, stored
 
 # Fixed by the contract: kinds in order. The patterns are written so that they match the same without backtracking: a match starts where
 # a run of its first class starts, or where the last match ended.
@@ -33,7 +33,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ \-]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9\-]+[0-9]",
 }
-CONTEXT_CHARS, CONTEXT_WORDS = 80, 5
+CONTEXT_CHARS, CONTEXT_WORDS = 240, 15
 _EDGES = r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$"
 
 
@@ -78,7 +78,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """id, hash, kind, start, end, hit, left, right: valid matches, with the text beside them on their line."""
+    """id, hash, kind, start, end, hit, left, right: valid matches, with the text beside them."""
     nothing = F.array().cast("array<string>")
     pairs = rows
     for kind in KINDS:
@@ -108,8 +108,6 @@ def base_spans(rows: DataFrame) -> DataFrame:
     narrow = narrow.dropDuplicates(["id", "hash", "kind", "pos"])
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("id", "hash", "kind").orderBy("pos"))
     placed = narrow.withColumn("end", end).where(_valid(F.col("kind"), F.col("hit")))
-    # Only what lies on the line.
-    left = F.substring_index("left", "\n", -1)
     return placed.select(
         "id",
         "hash",
@@ -117,10 +115,10 @@ def base_spans(rows: DataFrame) -> DataFrame:
         (F.col("end") - F.col("size")).alias("start"),
         "end",
         "hit",
-        left.alias("left"),
-        F.substring_index("right", "\n", 1).alias("right"),
-        (F.length(left) < F.col("gap")).alias("_cut_left"),
-        (F.col("more") & (F.instr("right", "\n") == 0)).alias("_cut_right"),
+        "left",
+        "right",
+        (F.length("left") < F.col("gap")).alias("_cut_left"),
+        F.col("more").alias("_cut_right"),
     )
 
 
@@ -205,11 +203,34 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, limits: Disclosure = Disc
     return judged.where((F.col("share") >= limits.share) & (F.col("bits") >= limits.bits)).select("term", "kind", "entity", "bits", "share")
 
 
-def term_spans(near: DataFrame, terms: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
-    """id, hash, kind (`term`), start, end, mark: the disclosing words beside the entity that they disclose."""
-    found = near.join(terms, ["term", "kind", "entity"])
+def occurrences_of(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, hash, start, end and the columns of `terms` (one row a term) for every word of all texts that is such a term.
+
+    Places are sums of lengths over the words of the texts that hold a term; only those texts' words travel.
+    """
+    word = rows.select("id", "hash", F.explode(F.array_distinct(F.split("text", WORD_BREAK))).alias("word"))
+    keys = word.select("id", "hash", _term(F.col("word")).alias("term")).join(terms.select("term"), "term", "left_semi")
+    keys = stored(keys.select("id", "hash").distinct(), "pii-disclosed")
+    held = rows.join(broadcast_if_small(keys), ["id", "hash"])
+    each = held.select("id", "hash", F.posexplode(F.split("text", r"[\x20\x09-\x0D]", -1)).alias("pos", "word"))
+    each = each.repartition("id", "hash").dropDuplicates(["id", "hash", "pos"])  # rows may repeat
+    before = Window.partitionBy("id", "hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("at", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
+    lead = F.length("word") - F.length(F.regexp_replace("word", r"^[^\p{L}\p{N}]++", ""))
+    placed = placed.select(
+        "id", "hash", (F.col("at") + lead).alias("start"), F.length(F.regexp_replace("word", _EDGES, "")).alias("_size"), _term(F.col("word")).alias("term")
+    )
+    return placed.join(terms, "term").withColumn("end", F.col("start") + F.col("_size")).drop("_size")
+
+
+def term_spans(rows: DataFrame, near: DataFrame, terms: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
+    """id, hash, kind (`term`), start, end, mark: the disclosing words, all occurrences in all texts."""
     mark = F.when(F.col("share") >= limits.removed_share, F.lit("")).otherwise(F.concat(F.lit("[NEAR "), F.upper("kind"), F.lit("]")))
-    return found.groupBy("id", "hash", "start", "end").agg(F.min(mark).alias("mark")).select(
+    marks = stored(terms.groupBy("term").agg(F.min(mark).alias("mark")), "pii-marks")
+    everywhere = occurrences_of(rows, broadcast_if_small(marks, limits.broadcast_terms)).select("id", "hash", "start", "end", "mark")
+    # Beside an entity a word may be cut by the entity itself; elsewhere words are whole.
+    beside_own = near.join(terms, ["term", "kind", "entity"]).select("id", "hash", "start", "end", mark.alias("mark"))
+    return everywhere.unionByName(beside_own).groupBy("id", "hash", "start", "end").agg(F.min("mark").alias("mark")).select(
         "id", "hash", F.lit(TERM).alias("kind"), F.col("start").cast("bigint"), F.col("end").cast("bigint"), "mark"
     )
 
@@ -219,7 +240,7 @@ def find_spans(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     rows = rows_of(docs)
     base = stored(base_spans(rows), "pii-spans")
     near = stored(beside(base), "pii-beside")
-    terms = disclosing_terms(rows, near, limits)
+    terms = stored(disclosing_terms(rows, near, limits), "pii-disclosing")
     marked = base.select(
         "id",
         "hash",
@@ -228,7 +249,7 @@ def find_spans(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
         F.col("end").cast("bigint").alias("end"),
         F.concat(F.lit("["), F.upper("kind"), F.lit("]")).alias("mark"),
     )
-    return marked.unionByName(term_spans(near, terms, limits))
+    return marked.unionByName(term_spans(rows, near, terms, limits))
 
 
 def _order(kind: Column) -> Column:

@@ -284,6 +284,20 @@ def test_terms_that_disclose_an_entity_are_found(docs):
     assert clean[50] == texts[50].replace("user0@x0.org", "[EMAIL]")
 
 
+def test_disclosing_terms_are_marked_in_all_texts_and_found_across_lines(docs):
+    draw = random.Random(6)
+    rows = [(k, prose(draw, AA, 6) + f"\nName: Wasserlurch\n\nMail: lurch@teich.org {prose(draw, AA, 6)}") for k in range(8)]
+    rows += [(1000 + k, prose(draw, AA, 8) + f"\nName: {prose(draw, AA, 1)}\n\nMail: user{k}@x{k}.org " + prose(draw, AA, 5)) for k in range(400)]
+    alone = [(9000, "\U0001f600 seen:\t(WASSERLURCH), wasserlurch!\n\n Wasserlurch"), (9001, "Wasserlurch"), (None, "no Wasserlurche")]
+    rows += [*alone, alone[0]]
+    clean = sorted(((r["doc_id"] or 0, r["text"]) for r in pii.sanitise(docs(rows)).collect() if r["doc_id"] is None or r["doc_id"] >= 9000))
+    mark = "[NEAR EMAIL]"
+    want = f"\U0001f600 seen:\t({mark}), {mark}!\n\n {mark}"
+    assert clean == [(0, "no Wasserlurche"), (9000, want), (9000, want), (9001, mark)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
+    assert got[0] == dict(rows)[0].replace("Wasserlurch", mark).replace("lurch@teich.org", "[EMAIL]")
+
+
 def test_all_columns_survive_sanitising(docs):
     rows = docs([(1, "call +1 (743) 555-3824 or a@b.cc x"), (2, None)])
     got = pii.sanitise(rows)
