@@ -1,8 +1,9 @@
 """MinHash fingerprints of documents, their likeness, and near copies by banding.
 
 A fingerprint keeps, for each of `permutations` universal hash functions, the least hash of a text's word shingles (16 bits of it, as
-hex digits). Hashes are made in numpy for a slice of texts at once. Near copies: signature bands are joined in Spark, the smallest
-member of a band's group stands for it, and every candidate's Jaccard similarity is verified on the shingles.
+hex digits). Hashes are made in numpy for a slice of texts at once. Near copies: signature bands are joined in Spark, each group first to its
+smallest member; where that leaves a group in several components, its members are compared across these, blockwise. Every candidate's
+Jaccard similarity is verified on the shingles.
 
 Defined cases. A null text is an empty one. A text of fewer words than a shingle has its whole word sequence as one shingle; one without
 words has none, its fingerprint is all `f`, and it is like another such text only. Equal texts have equal fingerprints. The next document
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import Rolling, mix, partitions, raw, slices, stored, texts, word_hashes, word_ranges
+from tallyhouse.llm.graph import components
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
@@ -155,10 +157,14 @@ def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, size:
     return _beside_next(docs).mapInArrow(run, schema)
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 32, permutations: int = PERMUTATIONS) -> DataFrame:
-    """Verified pairs (id of a band's smallest member, id of another member, their Jaccard similarity); equal texts form no pairs.
+def near_copies(
+    docs: DataFrame, threshold: float = 0.8, bands: int = 32, permutations: int = PERMUTATIONS, block: int = 4096
+) -> DataFrame:
+    """Verified pairs (head: the smaller id, id, their Jaccard similarity); equal texts form no pairs.
 
-    One text stands for its exact copies. A band's group is joined to its smallest member, not to itself, so hot bands give no squares.
+    One text stands for its exact copies. The pairs link all that any band brings together and that is similar, directly or by others: a
+    band's group is joined to its smallest member, and where several components are left in it, members of different components are
+    compared too. Members of one component are not, so copies in hot bands give no squares.
     """
     distinct = fingerprints(docs, permutations).groupBy("text", "fingerprint").agg(F.min("id").alias("id"))
     marked = stored(distinct, "fingerprints")
@@ -183,6 +189,77 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 32, permut
 
     own = marked.select("id", "text")
     full = pairs.join(own, "id").join(own.select(F.col("id").alias("head"), F.col("text").alias("head_text")), "head")
-    return full.select("head", "id", "head_text", "text").mapInArrow(jaccard, "head bigint, id bigint, jaccard double").where(
+    to_heads = full.select("head", "id", "head_text", "text").mapInArrow(jaccard, "head bigint, id bigint, jaccard double").where(
         F.col("jaccard") >= threshold
     )
+    to_heads = stored(to_heads, "near-heads")
+    roots = components(to_heads.select(F.col("id").alias("a"), F.col("head").alias("b")), "near-components")
+    member = keys.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # Groups in several components; bands of the same members count once.
+    member = stored(member, "near-members")
+    open_groups = (
+        member.groupBy("band")
+        .agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), *[F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+        .where("a <> b")
+        .groupBy("n", "h1", "h2")
+        .agg(F.min("band").alias("band"))
+        .select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    )
+    # One task for a group of one block, else one for every two blocks.
+    placed = member.join(open_groups, "band").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("task", low * F.col("blocks") + high)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+
+        def close() -> pa.RecordBatch:
+            found = _across(group, threshold)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["head", "id", "jaccard"]
+            )
+
+        for batch in batches:
+            hashes, at = shingle_hashes(batch.column(5))
+            bands, tasks, blocks, roots, ids = (c.to_pylist() for c in batch.columns[:5])
+            for k in range(batch.num_rows):
+                if (bands[k], tasks[k]) != now:
+                    yield close()
+                    now, group = (bands[k], tasks[k]), []
+                group.append((ids[k], roots[k], blocks[k], np.unique(hashes[at[k] : at[k + 1]])))
+        yield close()
+
+    dealt = (
+        tasks.join(own, "id")
+        .select("band", "task", "block", "root", "id", "text")
+        .repartition(partitions(docs.sparkSession), "band", "task")
+        .sortWithinPartitions("band", "task", "id")
+    )
+    return to_heads.unionByName(dealt.mapInArrow(across, "head bigint, id bigint, jaccard double")).distinct()
+
+
+def _across(group: list[tuple[int, int, int, np.ndarray]], threshold: float) -> list[tuple[int, int, float]]:
+    """Links (smaller id, larger id, Jaccard similarity) between members (id, component, block, set) of different components, until none is
+    left that would join two. Members of one block are compared only where there is no other."""
+    group = sorted(group, key=lambda m: len(m[3]))
+    size = np.array([len(m[3]) for m in group])
+    label = np.unique([m[1] for m in group], return_inverse=True)[1]
+    block = np.array([m[2] for m in group])
+    apart = len(np.unique(block)) > 1
+    found = []
+    for q, (own, _, _, left) in enumerate(group):
+        most = int(np.searchsorted(size, size[q] / threshold + 1e-6, "right")) if threshold > 0 else len(group)
+        near = np.arange(q + 1, most)
+        near = near[label[near] != label[q]]
+        if apart:
+            near = near[block[near] != block[q]]
+        for x in near:
+            if label[x] == label[q]:
+                continue
+            other, _, _, right = group[x]
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            value = both / max(1, len(left) + len(right) - both)
+            if value >= threshold:
+                label[label == label[x]] = label[q]
+                found.append((min(own, other), max(own, other), value))
+    return found

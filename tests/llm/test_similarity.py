@@ -124,6 +124,27 @@ def test_likeness_estimates_jaccard(docs, corpus):
             assert abs((signs[a] == signs[b]).mean() - true) < 0.2
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_copies_beside_a_dissimilar_head_are_linked(docs, block):
+    base = [f"w{k}" for k in range(100)]
+    text = lambda *at: " ".join("x" + str(k) if k in at else w for k, w in enumerate(base))
+    # All but the head differ from it in the same places and from each other in one word.
+    rows = [(1, text()), *[(10 + k, text(5, 20, 35, *([50 + k] if k else []))) for k in range(8)], (90, " ".join(f"v{k}" for k in range(100)))]
+    found = fingerprints.near_copies(docs(rows), 0.8, 1, 1, block=block).collect()  # one band, which all but the last share
+    sets = {i: shingles(t, 5) for i, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert (10, 11) in alike and not any(a == 1 for a, _ in alike)
+    pairs = {(r["head"], r["id"]) for r in found}
+
+    def groups(edges):
+        label = {i: i for i in sets}
+        for a, b in edges:
+            label = {i: label[a] if x == label[b] else x for i, x in label.items()}
+        return {frozenset(i for i in sets if label[i] == x) for x in label.values()}
+
+    assert pairs <= alike and len(found) == len(pairs) and groups(pairs) == groups(alike)
+
+
 def test_near_copies_are_verified(docs):
     base = " ".join(f"w{k}" for k in range(200))
     near, other = base.replace("w100 ", "changed "), " ".join(f"v{k}" for k in range(200))
