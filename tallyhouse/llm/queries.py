@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.byte_pairs import decode_documents, encode_documents
 from tallyhouse.llm.common import known_id
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.fingerprints import edited_fingerprints
@@ -91,6 +92,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(known_id(), "n_shingles", known_id("component_id").alias("component_id"))
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return read.select(
+        known_id(),
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_superkmer_dedup": op2_superkmer_dedup,
@@ -102,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_sanitise": op8_pii_sanitise,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 SQL: dict[str, str] = {}
