@@ -12,6 +12,7 @@ from tallyhouse.llm.byte_pairs import decode_documents, encode_documents
 from tallyhouse.llm.common import known_id
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.fingerprints import edited_fingerprints
+from tallyhouse.llm.hard_negatives import hard_negatives
 from tallyhouse.llm.language import predict_language
 from tallyhouse.llm.ngram_join import similar_components
 from tallyhouse.llm.packing import pack_documents
@@ -92,6 +93,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(known_id(), "n_shingles", known_id("component_id").alias("component_id"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, number = _table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    moved = F.when(number % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), number % 50 == 0)
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -114,7 +121,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_sanitise": op8_pii_sanitise,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+        WITH taking_part AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+            FROM taking_part a JOIN taking_part r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+        positives AS (
+            SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+            CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+            n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) <= 3""",
+}
