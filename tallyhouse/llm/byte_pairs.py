@@ -25,12 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import gather, raw, ship, slices, texts
+from tallyhouse.llm.common import gather, raw, release, ship, slices, texts
 
-#: Slices are larger than elsewhere, since more of their pieces are equal.
-SLICE_BYTES = 16 << 20
+#: Text that is encoded at once; equal pieces in it are encoded once. A task holds some fifteen times as much.
+SLICE_BYTES = 6 << 20
+#: Ids that are decoded at once.
+SLICE_IDS = 1 << 20
 #: Cells of all trees that are worked on side by side.
-TREE_CELLS = 1 << 21
+TREE_CELLS = 1 << 20
 NONE = np.int64((1 << 62) - 1)
 
 # How byte-level vocabularies of this family part a text, white space being the Unicode property.
@@ -250,7 +252,7 @@ def decode(ids: np.ndarray, offsets: np.ndarray, known: Vocabulary) -> pa.Array:
         return pa.array([value.decode("utf-8", "replace") for value in out.to_pylist()], pa.large_string())
 
 
-def list_slices(batches: Iterator[pa.RecordBatch], items: int = SLICE_BYTES // 4) -> Iterator[pa.RecordBatch]:
+def list_slices(batches: Iterator[pa.RecordBatch], items: int = SLICE_IDS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that their lists hold about so many ids together; a longer list stands alone."""
     for batch in batches:
         lengths = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0), dtype=np.int64)
@@ -259,6 +261,7 @@ def list_slices(batches: Iterator[pa.RecordBatch], items: int = SLICE_BYTES // 4
             high = max(low + 1, int(np.searchsorted(at, at[low] + items, "right")) - 1)
             yield batch.slice(low, high - low)
             low = high
+    release()
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
