@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.byte_pairs import decode_documents, encode_documents
+from tallyhouse.llm.collocations import collocations
 from tallyhouse.llm.common import known_id
 from tallyhouse.llm.decontaminate import contaminated
 from tallyhouse.llm.fingerprints import edited_fingerprints
@@ -99,6 +100,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", moved), number % 50 == 0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), VOCABULARY), VOCABULARY)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -122,10 +127,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 SQL: dict[str, str] = {
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece
+            FROM documents),
+        split AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY lang),
+        places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+        grams AS (SELECT lang, w[i:i + size - 1] AS p FROM places, range(1, 5) s(size) WHERE i + size - 1 <= len(w)),
+        counts AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+        cuts AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM counts WHERE len(p) > 1),
+        scored AS (
+            SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+            FROM cuts c JOIN counts l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN counts r ON r.lang = c.lang AND r.p = c.p[c.k + 1:len(c.p)]),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        inside AS (
+            SELECT DISTINCT s.lang, o.p[i:i + len(s.p) - 1] AS p
+            FROM counts o, range(1, 4) t(i), counts s
+            WHERE len(o.p) > 2 AND s.lang = o.lang AND len(s.p) > 1 AND len(s.p) < len(o.p) AND i + len(s.p) - 1 <= len(o.p)
+                AND s.p = o.p[i:i + len(s.p) - 1] AND 100 * o.f >= 80 * s.f),
+        kept AS (
+            SELECT w.lang, array_to_string(w.p, ' ') AS phrase, w.a, w.l, w.r, w.score
+            FROM lowest w LEFT JOIN inside i ON i.lang = w.lang AND i.p = w.p WHERE i.p IS NULL)
+        SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase) AS rank,
+            k.phrase, k.a, k.l, k.r, t.n, k.score
+        FROM kept k JOIN totals t ON t.lang = k.lang
+        QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase) <= 2000""",
     "op11_hard_negatives": """
         WITH taking_part AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
