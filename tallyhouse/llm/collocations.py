@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import gather, partitions, raw, release, ship, slices, stored, strings
 
 #: Text of one range of windows; a task holds the windows of one range at a time, some fifteen times as many bytes.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Text that the splitters between ranges are taken from; they decide how even ranges are, never what is counted.
 SPLITTER_BYTES = 32 << 20
 SPLITTER_SAMPLES = 32
@@ -175,6 +175,7 @@ def unite(paths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
             key = (key << bits) | paths[:, column]
         keys.append(key)
     order = np.lexsort(keys[::-1])
+    del keys
     paths, weights = paths[order], weights[order]
     starts = np.flatnonzero(_opens(paths)[:, -1])
     return paths[starts], np.add.reduceat(weights, starts)
@@ -213,7 +214,7 @@ def windows(batch: pa.RecordBatch, longest: int, more: list[list[bytes]] = ()) -
     # An empty symbol stands for none, and sorts first.
     symbols, number = _numbered(pa.concat_arrays([pa.array([b""], pa.large_binary()), words, langs, extra]))
     ids, own, asked = np.split(number[1:], np.cumsum([len(words), len(langs)]))
-    paths = np.zeros((len(ids), longest + 1), np.int64)
+    paths = np.zeros((len(ids), longest + 1), np.int32)
     paths[:, 0] = own[text]
     for k in range(longest):
         here = ids[k:]
@@ -291,8 +292,9 @@ def _phrases(parts: list[tuple[pa.Array, bytes]], least: int) -> pa.RecordBatch:
         all_paths.append(number[at : at + len(own)][paths].astype(np.int32))
         all_weights.append(weights)
         at += len(own)
-    paths, weights = unite(np.concatenate(all_paths), np.concatenate(all_weights))
-    del all_paths, all_weights
+    paths, weights = np.concatenate(all_paths), np.concatenate(all_weights)
+    del all_paths, all_weights, parts[:]
+    paths, weights = unite(paths, weights)
     opens = _opens(paths)
     langs, sizes, phrases, counts = [], [], [], []
     for size in range(paths.shape[1]):
@@ -324,7 +326,6 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> DataFrame:
                 number = batch.column(0)[k].as_py()
                 if parts and number != current:
                     yield _phrases(parts, least)
-                    parts = []
                 current = number
                 parts.append((batch.column(1).slice(k, 1).flatten(), batch.column(2)[k].as_py()))
         if parts:
