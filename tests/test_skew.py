@@ -10,6 +10,12 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def found(df, keys):
+    """Hot keys and their pieces; hashes are turned back into keys."""
+    named = df.select(*keys, F.xxhash64(*keys).alias("_item")).distinct()
+    return {r[0]: r["_pieces"] for r in named.join(hot_keys(df, keys), "_item").select(*keys, "_pieces").collect()}
+
+
 @pytest.fixture
 def sides(spark):
     # A third of the rows on one key, some keys without partner, a NULL key.
@@ -35,14 +41,31 @@ def test_same_as_a_plain_join(sides, hot_keys_from, how, bound):
 def test_pieces_have_about_the_size_of_the_bound(sides, hot_keys_from):
     hot_keys_from(25)
     # 300 rows in 4 partitions: an average of 75, above the bound.
-    assert rows(hot_keys(sides[0], ["k"])) == [(7, 2)]
+    assert found(sides[0], ["k"]) == {7: 2}
 
 
 def test_no_more_hot_keys_than_partitions(spark, hot_keys_from):
     hot_keys_from(1)
     many = spark.range(10_000).select((F.col("id") % 1000).alias("k"), "id")
     assert hot_keys(many, ["k"]).count() == 0
-    assert rows(hot_keys(many.where("id < 4"), ["k"])) == [(k, 1) for k in range(4)]
+    assert found(many.where("id < 4"), ["k"]) == dict.fromkeys(range(4), 1)
+
+
+def test_keys_are_not_shuffled_to_find_the_hot_ones(spark, sides, hot_keys_from):
+    """Only sketches travel: the one exchange is that of a row a task to a single one, and no hash partitioning by key."""
+    hot_keys_from(1)
+    plan = hot_keys(sides[0], ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("Exchange") == 1
+    joined = spread_join(*sides, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "approx_top_k" in joined and joined.count("hashpartitioning(_item") == 0
+
+
+def test_a_hot_key_among_very_many(spark, hot_keys_from):
+    """A third of the rows on one key, the rest all different: more keys than the sketch keeps."""
+    hot_keys_from(1000)
+    many = spark.range(120_000, numPartitions=4).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    hot = found(many, ["k"])
+    assert set(hot) == {-1}
 
 
 def test_building_a_join_runs_no_job(spark, sides, hot_keys_from):
