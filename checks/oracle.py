@@ -475,6 +475,10 @@ def all_sql() -> dict[str, str]:
         "stream_ingest": texts + "SELECT service, id_text, date_text FROM raw",
         "table_preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 200",
     }
+    after_merge = f"{swept()} UNION ALL {inserted('fresh')}"
+    sql["append_and_merge"] = merges + after_merge
+    clinic = [c.replace("FROM raw)", "FROM raw WHERE service = 'clinic')") if c.startswith("typed") else c for c in merge_ctes()]
+    sql["stream_and_merge"] = with_ctes(*clinic) + after_merge
     sql["cross_service_from_store"] = sql["cross_service_monthly"]
     return sql
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,6 +22,7 @@ from tallyhouse.schemas import SERVICES
 from tallyhouse.session import checkpointed, scratch_path
 from tallyhouse.sources import csv_export, sinks, tables
 from tallyhouse.streaming.ingest import BATCH, stream_exports
+from tallyhouse.streaming.ingest import stream_and_merge as merge_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 MONTHS = 12
@@ -240,6 +243,52 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@contextlib.contextmanager
+def _database(spark: SparkSession):
+    """A database of its own as the current one; it stays, since the result is read from it."""
+    before, name = spark.catalog.currentDatabase(), f"merge_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    spark.catalog.setCurrentDatabase(name)
+    try:
+        yield
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+def _part(export: DataFrame, number: int, parts: int = 2) -> DataFrame:
+    return export.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in export.columns]), F.lit(parts)) == number)
+
+
+def append_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of each export is appended from CSV files and merged, then the other half; only new rows are read by the second merge."""
+    exports = fx.merge_exports(spark, sf_dir)
+    with _database(spark):
+        fx.person(spark, sf_dir).write.saveAsTable("person")
+        for number in range(2):
+            for at, (service, export) in enumerate(exports.items()):
+                table, path = ingest.create_export_table(spark, service, export.columns), scratch_path(spark, "append")
+                sinks.write_csv(_part(export, number), path)
+                append = ingest.append_and_merge if at == len(exports) - 1 else csv_export.append_export
+                append(spark, path, table, has_header=True, batch=f"load-{number}")
+        return ingest.current_state(spark)[0]
+
+
+def stream_and_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clinic files arrive in two lots beside a refused one; each lot is appended and merged once, though the stream runs again."""
+    export = fx.merge_exports(spark, sf_dir)["clinic"]
+    base = scratch_path(spark, "stream")
+    with _database(spark):
+        fx.person(spark, sf_dir).write.saveAsTable("person")
+        table = ingest.create_export_table(spark, "clinic", export.columns)
+        spark.range(1).select(F.lit("," * len(export.columns) + "too wide").alias("value")).write.text(f"{base}/in")
+        for number in range(2):
+            lot = _part(export, number).write.mode("append")
+            lot.options(**{**sinks.WRITER_OPTIONS, "header": "false"}).csv(f"{base}/in")
+            for _ in range(2):
+                merge_stream(spark, f"{base}/in", table, f"{base}/rejects", f"{base}/checkpoint").awaitTermination()
+        return ingest.current_state(spark)[0]
+
+
 def table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx.table(spark, sf_dir, "customer").createOrReplaceTempView("preview_customer")
     return tables.preview(spark, "preview_customer", 200, order_by=("c_custkey",))
@@ -291,6 +340,8 @@ def all_queries() -> dict[str, Query]:
         "csv_round_trip": csv_round_trip,
         "csv_width_reject": csv_width_reject,
         "stream_ingest": stream_ingest,
+        "append_and_merge": append_and_merge,
+        "stream_and_merge": stream_and_merge,
         "table_preview": table_preview,
     }
 

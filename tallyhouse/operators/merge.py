@@ -73,9 +73,33 @@ def source_records(exports: Exports) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def latest_by_person(person: DataFrame, records: DataFrame) -> DataFrame:
-    """(person_id, one struct a field): the latest value over all services of a person; of one day, the last service by name."""
-    found = spread_join(person_keys(person), records, ["service", "key"])
+def fold_records(records: DataFrame, delta: DataFrame) -> DataFrame:
+    """Records of two sets of export rows together: of each field the greater (date, value), as if all rows had been read at once."""
+    both = records.unionByName(delta.select(*records.columns))
+    return both.groupBy("service", "key").agg(*[F.max(name).alias(name) for name in PERSON_FIELDS])
+
+
+def touched_people(person: DataFrame, delta: DataFrame) -> DataFrame:
+    """(person_id): whoever holds one of the ids in `delta`."""
+    return spread_join(person_keys(person), delta.select("service", "key"), ["service", "key"], "left_semi").select("person_id").distinct()
+
+
+def affected_records(person: DataFrame, people: DataFrame, records: DataFrame, delta: DataFrame) -> DataFrame:
+    """The records of all ids of `people`, and of the ids in `delta` that nobody has yet. A merge need not look at any other."""
+    owned = spread_join(person_keys(person), people, ["person_id"], "left_semi")
+    keys = owned.select("service", "key").unionByName(delta.select("service", "key")).distinct()
+    return records.join(keys, ["service", "key"], "left_semi")
+
+
+def latest_by_person(person: DataFrame, records: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """(person_id, one struct a field): the latest value over all services of a person; of one day, the last service by name.
+
+    Only of `people`, if given: others may share an id with them without having all their records here.
+    """
+    owned = person_keys(person)
+    if people is not None:
+        owned = spread_join(owned, people, ["person_id"], "left_semi").select("service", "key", "person_id")
+    found = spread_join(owned, records, ["service", "key"])
     latest = [
         F.max(
             F.when(
@@ -151,7 +175,9 @@ def _persons_by_name(fresh: DataFrame) -> DataFrame:
     return together.unionByName(_persons_by_id(apart.unionByName(rest)))
 
 
-def merge_person(person: DataFrame, records: DataFrame, link_by_name: bool = False) -> tuple[DataFrame, DataFrame]:
+def merge_person(
+    person: DataFrame, records: DataFrame, link_by_name: bool = False, people: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """New persons for export ids that `person` does not hold, and blank fields filled; with an audit of both.
 
     With `link_by_name` ids of several services under one name and birth date become one new person (see `_persons_by_name`).
@@ -164,7 +190,7 @@ def merge_person(person: DataFrame, records: DataFrame, link_by_name: bool = Fal
     fresh = records.join(known, ["service", "key"], "left_anti")
     new = _persons_by_name(fresh) if link_by_name else _persons_by_id(fresh)
     inserts = new.select("person_id", *[id_of_key(F.col(s.person_key)).alias(s.person_key) for s in SERVICES], *PERSON_FIELDS)
-    joined = person.join(latest_by_person(person, records), "person_id", "left")
+    joined = person.join(latest_by_person(person, records, people), "person_id", "left")
     filled = {name: _unset(name) & F.col(f"_{name}.value").isNotNull() for name in PERSON_FIELDS}
     existing = joined.select(
         *_ids(),
@@ -234,15 +260,21 @@ def rejected_households(pantry: DataFrame, household_column: str = HOUSEHOLD_COL
     return pantry.select(reason.alias("reason")).filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("count"))
 
 
-def sweep_latest(person: DataFrame, records: DataFrame) -> DataFrame:
-    """Every field set to its latest non-blank export value; what no export names stays."""
-    joined = person.join(latest_by_person(person, records), "person_id", "left")
+def sweep_latest(person: DataFrame, records: DataFrame, people: DataFrame | None = None) -> DataFrame:
+    """Every field set to its latest non-blank export value; what no export names stays. With `people`, theirs alone."""
+    joined = person.join(latest_by_person(person, records, people), "person_id", "left")
     return joined.select(
         *_ids(),
         *[F.coalesce(F.col(f"_{n}.value"), F.col(n)).alias(n) for n in PERSON_FIELDS],
     )
 
 
+def empty_records(spark: SparkSession) -> DataFrame:
+    """The records of no export rows."""
+    fields = [f"{name} struct<seen: date, value: {PERSON[name].dataType.simpleString()}>" for name in PERSON_FIELDS]
+    return spark.createDataFrame([], f"service string, key bigint, {', '.join(fields)}")
+
+
 def empty_state(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """`person`, `household` and audit without rows."""
     return tuple(spark.createDataFrame([], schema) for schema in (PERSON, HOUSEHOLD, PERSON_AUDIT))

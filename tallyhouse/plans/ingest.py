@@ -1,23 +1,57 @@
-"""Append an export, then bring `person` and `household` up to date."""
+"""Append exports, then bring `person` and `household` up to date.
+
+What all exports so far boil down to is kept: one row a (service, key) with the latest value of each field and its date. Two such
+tables combine by the greater (date, value) of a field, so new rows are folded in without reading old ones. An append is a batch, a
+partition of its own of the export table; the state of every version names the batches it holds. A merge takes the batches that are
+not in yet, touches only the people behind their ids, and publishes the result. Append and merge may fail or be run again
+anywhere: a batch that is written again replaces itself, and one that was folded in is not folded in again.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyhouse.operators.events import Exports
 from tallyhouse.operators.merge import (
     HOUSEHOLD_COLUMN,
+    affected_records,
+    empty_records,
     empty_state,
+    fold_records,
     merge_households,
     merge_person,
     source_records,
     sweep_latest,
+    touched_people,
 )
+from tallyhouse.plans import versions
+from tallyhouse.plans.versions import CURRENT, ConcurrentPublishError, Version, current_version, remove_old_versions
 from tallyhouse.schemas import SERVICES
 from tallyhouse.session import checkpointed
-from tallyhouse.sources.csv_export import AppendResult, append_export
+from tallyhouse.sources.csv_export import BATCH, AppendResult, append_export
+
+__all__ = [
+    "ConcurrentPublishError",
+    "Merged",
+    "append_and_merge",
+    "create_export_table",
+    "current_state",
+    "load_exports",
+    "merge_new_batches",
+    "merge_tables",
+    "rebuild_all",
+    "remove_old_versions",
+    "run_merges",
+]
+
+STATE = ("person", "household")
+RECORDS = "export_records"
+BATCHES = "folded_batches"
+_BATCH_ROWS = "service string, batch_id string"
 
 
 @dataclass(frozen=True)
@@ -25,12 +59,37 @@ class Merged:
     person: DataFrame
     household: DataFrame
     audit: DataFrame
+    records: DataFrame | None = None
+
+
+def fold_merges(
+    person: DataFrame,
+    household: DataFrame,
+    records: DataFrame,
+    exports: Exports,
+    household_column: str = HOUSEHOLD_COLUMN,
+    link_by_name: bool = False,
+) -> Merged:
+    """Fold new export rows into `records` and merge what they touch; `exports` holds the new rows alone.
+
+    People, then households, then latest fields. Nothing is dropped. Merging batch after batch gives what merging them at once gives.
+    """
+    delta = checkpointed(source_records(exports))
+    folded = checkpointed(fold_records(records, delta))
+    people = checkpointed(touched_people(person, delta))
+    touched = checkpointed(affected_records(person, people, folded, delta))
+    merged, audit = merge_person(person, touched, link_by_name, people)
+    merged = checkpointed(merged)
+    pantry = exports.get("pantry")
+    if pantry is not None and household_column in pantry.columns:
+        household = merge_households(household, pantry, merged, household_column)
+    return Merged(sweep_latest(merged, touched, people), household, audit, folded)
 
 
 def run_merges(
     person: DataFrame, household: DataFrame, exports: Exports, household_column: str = HOUSEHOLD_COLUMN, link_by_name: bool = False
 ) -> Merged:
-    """People, then households, then latest fields. Nothing is dropped.
+    """People, then households, then latest fields, from all export rows. Nothing is dropped.
 
     The records an export boils down to, and the merged persons, are checkpointed: each feeds several later steps, and raw
     exports are parsed for them only once.
@@ -41,7 +100,7 @@ def run_merges(
     pantry = exports.get("pantry")
     if pantry is not None and household_column in pantry.columns:
         household = merge_households(household, pantry, merged, household_column)
-    return Merged(sweep_latest(merged, records), household, audit)
+    return Merged(sweep_latest(merged, records), household, audit, records)
 
 
 def rebuild_all(spark: SparkSession, exports: Exports, household_column: str = HOUSEHOLD_COLUMN) -> Merged:
@@ -50,9 +109,12 @@ def rebuild_all(spark: SparkSession, exports: Exports, household_column: str = H
     return run_merges(person, household, exports, household_column, link_by_name=True)
 
 
-STATE = ("person", "household")
-CURRENT = "_current"
-VERSION = "tallyhouse.version"
+def create_export_table(spark: SparkSession, service: str, columns: list[str] | None = None) -> str:
+    """An export table whose rows are partitioned by batch, unless it is there; gives its name."""
+    spec = next(s for s in SERVICES if s.service == service)
+    fields = ", ".join(f"`{c}` STRING" for c in columns or [spec.id_column, spec.date_column])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {spec.table} ({fields}, {BATCH} STRING) USING parquet PARTITIONED BY ({BATCH})")
+    return spec.table
 
 
 def load_exports(spark: SparkSession) -> dict[str, DataFrame]:
@@ -60,63 +122,106 @@ def load_exports(spark: SparkSession) -> dict[str, DataFrame]:
     return {s.service: spark.table(s.table) for s in SERVICES if spark.catalog.tableExists(s.table)}
 
 
-def published_version(spark: SparkSession) -> int:
-    """The version that is in force; 0 before the first one."""
-    if not spark.catalog.tableExists(f"person{CURRENT}"):
-        return 0
-    properties = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES person{CURRENT}").collect()}
-    return int(properties[VERSION])
+def new_batches(spark: SparkSession, version: Version) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The export rows that a version does not hold, by service, and the batches a version with them holds.
+
+    Only partitions of new batches are read; their names, like the names of files, are known to the driver. A table that is not
+    partitioned by batch is read whole: folding rows in again changes nothing.
+    """
+    held = versions.table_at(spark, BATCHES, version) if version.attempt else spark.createDataFrame([], _BATCH_ROWS)
+    known: dict[str, set[str]] = {}
+    for row in held.collect():
+        known.setdefault(row["service"], set()).add(row["batch_id"])
+    fresh, added = {}, []
+    for spec in SERVICES:
+        if not spark.catalog.tableExists(spec.table):
+            continue
+        # Another session, such as that of a stream, may have replaced files that this one has listed.
+        spark.catalog.refreshTable(spec.table)
+        rows = spark.table(spec.table)
+        if BATCH not in rows.columns:
+            fresh[spec.service] = rows
+            continue
+        there = {r[0].partition("=")[2] for r in spark.sql(f"SHOW PARTITIONS {spec.table}").collect()}
+        if names := sorted(there - known.get(spec.service, set())):
+            fresh[spec.service] = rows.where(F.col(BATCH).isin(names)).drop(BATCH)
+            added += [(spec.service, name) for name in names]
+    return fresh, held.unionByName(spark.createDataFrame(added, _BATCH_ROWS))
+
+
+def state_at(spark: SparkSession, version: Version) -> dict[str, DataFrame]:
+    """person, household and records of a version; before the first one the catalog's own tables or views `person` and `household`."""
+    if version.attempt:
+        return {name: versions.table_at(spark, name, version) for name in (*STATE, RECORDS)}
+    empty = dict(zip(STATE, empty_state(spark)[:2], strict=True))
+    return {n: spark.table(n) if spark.catalog.tableExists(n) else empty[n] for n in STATE} | {RECORDS: empty_records(spark)}
 
 
 def current_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """`person` and `household` of the version in force; before the first one the catalog's own tables or views of these names."""
-    version = published_version(spark)
-    empty = dict(zip(STATE, empty_state(spark)[:2], strict=True))
-    names = {name: f"{name}__v{version}" if version else name for name in STATE}
-    return tuple(spark.table(t) if spark.catalog.tableExists(t) else empty[name] for name, t in names.items())
+    """`person` and `household` of one and the same version, the one in force."""
+    found = state_at(spark, current_version(spark))
+    return found["person"], found["household"]
 
 
-def publish(merged: Merged) -> int:
-    """Write a merge's result as the next version and put it in force; gives the version.
+def published_version(spark: SparkSession) -> int:
+    """The number of the version that is in force; 0 before the first one."""
+    return current_version(spark).number
 
-    The three tables of a version are written first, the views `person_current`, `household_current` and `person_audit_current` are
-    pointed at them last, `person_current` as the very last: it alone says which version is in force. So a publish that fails anywhere
-    leaves the old state in force, and doing it again writes the same version over what is left of the first try. Audit rows belong to
-    their version, which keeps them from being doubled. Tables that were there before (`person`, `household`) are never touched.
-    """
+
+def _published(merged: Merged, batches: DataFrame, base: Version) -> Merged:
     spark = merged.person.sparkSession
-    version = published_version(spark) + 1
-    for name, df in (("person", merged.person), ("household", merged.household), ("person_audit", merged.audit)):
-        df.write.mode("overwrite").saveAsTable(f"{name}__v{version}")
-    audits = [f"SELECT {v} AS version, * FROM person_audit__v{v}" for v in range(1, version + 1)]
-    spark.sql(f"CREATE OR REPLACE VIEW person_audit{CURRENT} AS {' UNION ALL '.join(audits)}")
-    spark.sql(f"CREATE OR REPLACE VIEW household{CURRENT} AS SELECT * FROM household__v{version}")
-    spark.sql(f"CREATE OR REPLACE VIEW person{CURRENT} TBLPROPERTIES ('{VERSION}' = '{version}') AS SELECT * FROM person__v{version}")
-    return version
-
-
-def remove_old_versions(spark: SparkSession, keep: int = 1) -> int:
-    """Drop `person` and `household` of all but the last `keep` versions; audits stay. Gives the number of tables dropped."""
-    last, dropped = published_version(spark) - max(1, keep), 0
-    for version in range(1, last + 1):
-        for name in STATE:
-            if spark.catalog.tableExists(f"{name}__v{version}"):
-                spark.sql(f"DROP TABLE {name}__v{version}")
-                dropped += 1
-    return dropped
-
-
-def merge_tables(spark: SparkSession, rebuild: bool = False) -> Merged:
-    """Run the merges on the catalog's state, whichever form it has, and publish the result."""
-    person, household = empty_state(spark)[:2] if rebuild else current_state(spark)
-    publish(run_merges(person, household, load_exports(spark), link_by_name=rebuild))
-    return Merged(*(spark.table(f"{name}{CURRENT}") for name in (*STATE, "person_audit")))
+    tables = {"person": merged.person, "household": merged.household, RECORDS: merged.records, BATCHES: batches, versions.AUDIT: merged.audit}
+    done = versions.publish(tables, base)
+    return Merged(*(versions.table_at(spark, n, done) for n in STATE), spark.table(versions.AUDIT + CURRENT), versions.table_at(spark, RECORDS, done))
+
+
+def merge_tables(spark: SparkSession, rebuild: bool = False, link_by_name: bool = False) -> Merged:
+    """Fold what is new in the export tables into the state in force and publish the result; with `rebuild`, everything into an empty state."""
+    base = current_version(spark)
+    if rebuild:
+        exports, batches = new_batches(spark, versions.NOTHING)
+        return _published(rebuild_all(spark, exports), batches, base)
+    exports, batches = new_batches(spark, base)
+    if not exports:
+        exports = {s: df.limit(0) for s, df in load_exports(spark).items()}
+    state = state_at(spark, base)
+    return _published(fold_merges(state["person"], state["household"], state[RECORDS], exports, link_by_name=link_by_name), batches, base)
+
+
+def merge_new_batches(spark: SparkSession, tries: int = 5) -> int:
+    """Publish a version with all batches that are not in yet, if there are any; gives the version in force.
+
+    Where another publisher is faster, the batches that are still missing are merged into its version.
+    """
+    for left in range(tries - 1, -1, -1):
+        base = current_version(spark)
+        exports, batches = new_batches(spark, base)
+        if base.attempt and not exports:
+            return base.number
+        state = state_at(spark, base)
+        try:
+            _published(fold_merges(state["person"], state["household"], state[RECORDS], exports), batches, base)
+        except ConcurrentPublishError:
+            if not left:
+                raise
+        else:
+            return base.number + 1
+    raise AssertionError("unreachable")
 
 
 def append_and_merge(
-    spark: SparkSession, path: str | list[str], table: str, has_header: bool = False, multi_line: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    table: str,
+    has_header: bool = False,
+    multi_line: bool = True,
+    batch: str | None = None,
 ) -> AppendResult:
-    """Append a CSV export to its table and merge. Appended rows stay if a merge fails; merging again makes up for it."""
-    result = append_export(spark, path, table, has_header, multi_line)
-    merge_tables(spark)
+    """Append a CSV export to its table and merge. Appended rows stay if a merge fails; merging again makes up for it.
+
+    In a table that is partitioned by batch the rows become the partition `batch` (by default a new name). Give a load a name of its own,
+    and loading it again after a failure replaces the rows it left instead of adding them a second time.
+    """
+    result = append_export(spark, path, table, has_header, multi_line, batch=batch or uuid.uuid4().hex)
+    merge_new_batches(spark)
     return result

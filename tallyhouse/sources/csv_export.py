@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Column that tells the loads of an export table apart, if it is partitioned by it.
+BATCH = "batch_id"
 BAD = "_bad"
 WIDTH = "_width"
+BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
 # A quoted field with its leading delimiter, and a record of empty fields only. Possessive throughout: the matcher neither
 # goes back nor recurses, however long a field or a record is.
 QUOTED_FIELD = r'(^|,)"[^"]*+(?:""[^"]*+)*+"'
@@ -133,12 +137,19 @@ def append_export(
     has_header: bool = False,
     multi_line: bool = True,
     generated: tuple[str, ...] = (),
+    batch: str | None = None,
 ) -> AppendResult:
     """Append a CSV export to a table by position: all of it, or nothing if one row is too wide.
 
+    In a table that is partitioned by `batch_id` the rows become the partition `batch`, in the place of what it held.
+
     Two passes over the text: one counts and checks, one writes. Without `multi_line` a third one looks for quoted line breaks, which
     that way of reading would cut into two records, and refuses the load if there are any.
     """
+    batched = BATCH in spark.table(table).columns
+    if batched and not batch:
+        raise ValueError(f"table {table} is partitioned by {BATCH}: name the batch")
+    generated = (*generated, BATCH) if batched else generated
     columns = insertable_columns(spark, table, generated)
     if not columns:
         raise ValueError(f"no columns to fill in table {table}")
@@ -148,11 +159,22 @@ def append_export(
     parsed, wide, widest = width_report(rows, len(columns))
     if wide:
         raise WideRowError(f"{wide} of {parsed} rows have up to {widest} columns, but table {table} has {len(columns)}")
-    target = spark.table(table).schema
-    rows.select(
+    target = [f for f in spark.table(table).schema if not (batched and f.name == BATCH)]
+    typed = rows.select(
         *[
             (F.lit(None) if f.name in generated else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
             for f in target
         ]
-    ).write.insertInto(table)
+    )
+    if batched:
+        replace_batch(typed, table, batch)
+    else:
+        typed.write.insertInto(table)
     return AppendResult(parsed, parsed, len(columns))
+
+
+def replace_batch(rows: DataFrame, table: str, batch: str) -> None:
+    """Make `rows` the partition `batch` of a table, in the place of what it held: doing it again adds nothing."""
+    if not BATCH_NAME.fullmatch(batch):
+        raise ValueError(f"a batch is named by letters, digits, '.', '_' and '-', not {batch!r}")
+    rows.sparkSession.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({BATCH} = '{batch}') SELECT * FROM {{rows}}", rows=rows)

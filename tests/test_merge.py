@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 
 from tallyhouse.operators.merge import merge_households, merge_person, new_person_id, source_records, sweep_latest
-from tallyhouse.plans import ingest
+from tallyhouse.plans import ingest, versions
 from tallyhouse.schemas import HOUSEHOLD, PERSON, PERSON_FIELDS
+from tallyhouse.session import checkpointed
+from tallyhouse.sources import csv_export
 from pyspark.sql import functions as F
 
 PANTRY = "`Client ID` string, `Visit Date` string, first_name string, last_name string, dob string, race string, `Household ID` string"
@@ -126,40 +128,154 @@ def test_append_and_merge_through_the_catalog(spark, tmp_path):
         assert set(person().columns) == {"person_id", "pantry_client_id", "pharmacy_pat_key", "clinic_patientid", *PERSON_FIELDS}
         ingest.merge_tables(spark, rebuild=True)
         assert person().count() == 2 and ingest.published_version(spark) == 3
-        assert ingest.remove_old_versions(spark) == 4 and person().count() == 2
+        # person, household and records of two versions
+        assert ingest.remove_old_versions(spark) == 6 and person().count() == 2 and household().count() == 3
     finally:
         spark.catalog.setCurrentDatabase("default")
         spark.sql("DROP DATABASE flow CASCADE")
 
 
-@pytest.mark.parametrize("kind", ["table", "view"])
-def test_publishing_over_what_is_there_survives_failures(spark, exports, person, monkeypatch, kind):
+@pytest.fixture
+def database(spark):
+    """A database of its own, which is the current one during a test."""
     spark.sql("CREATE DATABASE IF NOT EXISTS there")
     spark.catalog.setCurrentDatabase("there")
+    yield
+    spark.catalog.setCurrentDatabase("default")
+    spark.sql("DROP DATABASE there CASCADE")
+
+
+@pytest.mark.parametrize("kind", ["table", "view"])
+def test_publishing_over_what_is_there_survives_failures(spark, database, exports, person, monkeypatch, kind):
+    exports["pantry"].write.saveAsTable("pantry_export")
+    person.write.saveAsTable("person" if kind == "table" else "base_person")
+    if kind == "view":
+        spark.sql("CREATE VIEW person AS SELECT * FROM base_person")
+    before = sorted(map(str, spark.table("person").collect()))
+    real = versions._commit
+
+    def fail(*_):
+        raise RuntimeError("before the manifest")
+
+    for _ in range(2):
+        monkeypatch.setattr(versions, "_commit", fail)
+        with pytest.raises(RuntimeError):
+            ingest.merge_tables(spark)
+        assert ingest.published_version(spark) == 0
+    monkeypatch.setattr(versions, "_commit", real)
+    merged = ingest.merge_tables(spark)
+    first = merged.audit.count()
+    assert first > 0 and ingest.published_version(spark) == 1
+    assert ingest.merge_tables(spark).audit.count() == first
+    assert sorted(map(str, spark.table("person").collect())) == before
+    # Three tables of two failed attempts (records and audit too), and the first version but for its audit.
+    assert ingest.remove_old_versions(spark) > 6
+    assert spark.table("person_audit_current").count() == first
+
+
+def test_of_two_publishers_one_succeeds(spark, database, exports):
+    """Both start from the same version; the second is told so, and merges into the version of the first."""
+    for service in ("pantry", "clinic"):
+        ingest.create_export_table(spark, service, exports[service].columns)
+    csv_export.replace_batch(exports["pantry"], "pantry_export", "a")
+    slow = ingest.current_version(spark)
+    rows, batches = ingest.new_batches(spark, slow)
+    state = ingest.state_at(spark, slow)
+    held_up = ingest.fold_merges(state["person"], state["household"], state[ingest.RECORDS], rows)
+    assert ingest.merge_new_batches(spark) == 1
+    seen = sorted(map(str, ingest.current_state(spark)[0].collect()))
+    with pytest.raises(ingest.ConcurrentPublishError):
+        ingest._published(held_up, batches, slow)
+    assert ingest.published_version(spark) == 1 and sorted(map(str, ingest.current_state(spark)[0].collect())) == seen
+    csv_export.replace_batch(exports["clinic"], "clinic_dob_export", "b")
+    real, lost = versions._commit, []
+
+    def first_time_too_late(spark, number, attempt):
+        if not lost:
+            lost.append(number)
+            real(spark, number, "0" * 32)
+        real(spark, number, attempt)
+
+    versions._commit = first_time_too_late
     try:
-        exports["pantry"].write.saveAsTable("pantry_export")
-        person.write.saveAsTable("person" if kind == "table" else "base_person")
-        if kind == "view":
-            spark.sql("CREATE VIEW person AS SELECT * FROM base_person")
-        before = sorted(map(str, spark.table("person").collect()))
-        real = type(spark).sql
-        for step in ("person_audit_current", "household_current", "person_current"):
-
-            def fail(self, text, *a, step=step, **k):
-                if text.startswith(f"CREATE OR REPLACE VIEW {step}"):
-                    raise RuntimeError(step)
-                return real(self, text, *a, **k)
-
-            monkeypatch.setattr(type(spark), "sql", fail)
-            with pytest.raises(RuntimeError):
-                ingest.merge_tables(spark)
-            monkeypatch.setattr(type(spark), "sql", real)
-            assert ingest.published_version(spark) == 0
-        merged = ingest.merge_tables(spark)
-        first = merged.audit.count()
-        assert first > 0 and ingest.published_version(spark) == 1
-        assert ingest.merge_tables(spark).audit.count() == first
-        assert sorted(map(str, spark.table("person").collect())) == before
+        # The other version, an empty one, is the base of the second try.
+        assert ingest.merge_new_batches(spark) == 3
     finally:
-        spark.catalog.setCurrentDatabase("default")
-        spark.sql("DROP DATABASE there CASCADE")
+        versions._commit = real
+    assert {r["clinic_patientid"] for r in ingest.current_state(spark)[0].collect()} == {None, 9} and lost == [2]
+
+
+def test_readers_see_one_version(spark, database, exports, monkeypatch):
+    """A publisher that dies after its manifest: persons and households of the new version, in the views too."""
+    ingest.create_export_table(spark, "pantry", exports["pantry"].columns)
+    rows = exports["pantry"].collect()
+    for batch, part in (("a", rows[:3]), ("b", rows[3:])):
+        csv_export.replace_batch(spark.createDataFrame(part, PANTRY), "pantry_export", batch)
+        if batch == "b":
+            monkeypatch.setattr(versions, "_views", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                ingest.merge_new_batches(spark)
+        else:
+            ingest.merge_new_batches(spark)
+    person, household = ingest.current_state(spark)
+    assert ingest.published_version(spark) == 2
+    assert person.count() == 2 == spark.table("person_current").count()
+    assert household.count() == 2 == spark.table("household_current").count()
+
+
+def test_batches_give_what_one_merge_gives(spark, exports):
+    """Also where people share an id: the one who gains no row keeps the latest value of all of theirs."""
+    shared = spark.createDataFrame(
+        [(5, 1, None, 9, "", None, None, "F", None, None, "Unset", None, None), (6, 2, None, 9, None, None, None, None, None, None, None, None, None)], PERSON
+    )
+    empty = spark.createDataFrame([], HOUSEHOLD)
+    once = ingest.run_merges(shared, empty, exports)
+    pantry = exports["pantry"].collect()
+    for cuts in ([0, 1, 4, 5], [0, 0, 5]):
+        person, household, records = shared, empty, ingest.empty_records(spark)
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = {"pantry": spark.createDataFrame(pantry[low:high], PANTRY)}
+            step = ingest.fold_merges(person, household, records, part)
+            person, household, records = checkpointed(step.person), checkpointed(step.household), step.records
+        step = ingest.fold_merges(person, household, records, {"clinic": exports["clinic"]})
+        assert state(step) == state(once)
+        key = lambda df: sorted(map(str, df.collect()))
+        assert key(step.records) == key(once.records)
+
+
+def test_old_batches_are_not_read(spark, database, exports):
+    ingest.create_export_table(spark, "pantry", exports["pantry"].columns)
+    csv_export.replace_batch(exports["pantry"], "pantry_export", "old")
+    ingest.merge_new_batches(spark)
+    csv_export.replace_batch(exports["pantry"].limit(1), "pantry_export", "new")
+    rows, _ = ingest.new_batches(spark, ingest.current_version(spark))
+    assert {f.split("batch_id=")[1].split("/")[0] for f in rows["pantry"].inputFiles()} == {"new"}
+    ingest.merge_new_batches(spark)
+    assert ingest.new_batches(spark, ingest.current_version(spark))[0] == {}
+    assert ingest.merge_new_batches(spark) == 2
+
+
+def test_the_audit_view_stays_small(spark, database, exports):
+    """Its plan does not grow with the number of versions."""
+    ingest.create_export_table(spark, "pantry", exports["pantry"].columns)
+    sizes = []
+    for k in range(3):
+        csv_export.replace_batch(exports["pantry"].limit(k + 1), "pantry_export", f"b{k}")
+        ingest.merge_new_batches(spark)
+        view = spark.table("person_audit_current")
+        sizes.append(len(view._jdf.queryExecution().analyzed().treeString().splitlines()))
+        assert view.select("version").distinct().count() <= k + 1
+    assert len(set(sizes)) == 1
+
+
+def test_a_load_that_runs_again_adds_nothing(spark, database, tmp_path):
+    ingest.create_export_table(spark, "pantry", ["Client ID", "Visit Date"])
+    file = tmp_path / "a.csv"
+    file.write_text("1,2024-01-05\n2,2024-01-06\n")
+    for _ in range(2):
+        assert ingest.append_and_merge(spark, str(file), "pantry_export", batch="load-1").rows_inserted == 2
+    assert spark.table("pantry_export").count() == 2 and ingest.published_version(spark) == 1
+    with pytest.raises(ValueError, match="named by"):
+        ingest.append_and_merge(spark, str(file), "pantry_export", batch="a'b")
+    with pytest.raises(ValueError, match="name the batch"):
+        csv_export.append_export(spark, str(file), "pantry_export")
