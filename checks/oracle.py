@@ -122,8 +122,13 @@ def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-def usage_ctes() -> list[str]:
-    return [person_cte(), HOUSEHOLD, exports_cte(), KEYS, EVENTS, SERVED]
+def window_start(months: int) -> str:
+    """First day of a window that ends with the month before END."""
+    return f"CAST({END} - to_months({months}) AS DATE)"
+
+
+def usage_ctes(months: int = 12) -> list[str]:
+    return [person_cte(), HOUSEHOLD, exports_cte(), KEYS, EVENTS.replace(START, window_start(months)), SERVED]
 
 
 def measure_rows(columns: str) -> str:
@@ -147,10 +152,10 @@ def annual(names: list[str]) -> str:
     return f"SELECT {counted(names)} FROM ({measure_rows('person_id')}) u"
 
 
-def usage_report() -> str:
+def usage_report(months: int = 12) -> str:
     names = list(MEASURES)
     zero = ", ".join(f"coalesce({n}, 0) AS {n}" for n in names)
-    spine = "SELECT CAST(DATE '2000-07-01' + to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM range(12) r(i)"
+    spine = f"SELECT CAST({window_start(months)} + to_months(CAST(i AS INTEGER)) AS DATE) AS month FROM range({months}) r(i)"
     rows = (
         f"SELECT strftime(s.month, '%Y-%m') AS period, {zero} FROM ({spine}) s LEFT JOIN ({monthly(names)}) c ON c.month = s.month "
         f"UNION ALL SELECT 'ANNUAL' AS period, {', '.join(names)} FROM ({annual(names)}) y"
@@ -479,6 +484,9 @@ def all_sql() -> dict[str, str]:
     sql["append_and_merge"] = merges + after_merge
     clinic = [c.replace("FROM raw)", "FROM raw WHERE service = 'clinic')") if c.startswith("typed") else c for c in merge_ctes()]
     sql["stream_and_merge"] = with_ctes(*clinic) + after_merge
+    for name, months in (("cross_service_36_months", 36), ("cross_service_70_months_from_bits", 70)):
+        sql[name] = with_ctes(*usage_ctes(months)) + f"SELECT {', '.join(header)} FROM ({usage_report(months)}) r"
+    sql["cross_service_from_bits"] = sql["cross_service_monthly"]
     sql["cross_service_from_store"] = sql["cross_service_monthly"]
     return sql
 

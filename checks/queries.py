@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as fx
 from tallyhouse.functions import numeric_id, parse_mixed_date
-from tallyhouse.operators import events, merge, quality
+from tallyhouse.operators import events, merge, month_store, quality
 from tallyhouse.operators.household import pantry_served
 from tallyhouse.operators.overlap import MEASURES, count_measures, period_flags, service_flags, service_months
 from tallyhouse.operators.windows import month_spine, report_window
@@ -126,6 +126,31 @@ def cross_service_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.monthly_from_events(typed, fx.person(spark, sf_dir), fx.household(spark, sf_dir), fx.AS_OF)
 
 
+def cross_service_from_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from month bits: half of the exports was stored in two loads, a quarter of them twice; the other half comes as new files."""
+    path, exports = scratch_path(spark, "month-bits"), fx.exports(spark, sf_dir)
+    for number in (0, 1, 1):
+        old = {s: _part(df, number, 4) for s, df in exports.items()}
+        month_store.add_month_bits(month_store.month_bits(events.typed_events(old)), path)
+    new = {s: _part(df, 2, 4).unionByName(_part(df, 3, 4)) for s, df in exports.items()}
+    return metrics.monthly_from_bits(spark, path, fx.person(spark, sf_dir), fx.household(spark, sf_dir), fx.AS_OF, more=new)
+
+
+def cross_service_of(months: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return metrics.cross_service_monthly(
+            fx.exports(spark, sf_dir), fx.person(spark, sf_dir), fx.household(spark, sf_dir), fx.AS_OF, months
+        )
+
+    return run
+
+
+def cross_service_70_months_from_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "month-bits")
+    month_store.add_month_bits(month_store.month_bits(events.typed_events(fx.exports(spark, sf_dir))), path)
+    return metrics.monthly_from_bits(spark, path, fx.person(spark, sf_dir), fx.household(spark, sf_dir), fx.AS_OF, 70)
+
+
 def metrics_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "metrics-report")
     sinks.write_metrics_report(cross_service_monthly(spark, sf_dir), path, MONTHS, GENERATED_AT)
@@ -310,6 +335,9 @@ def all_queries() -> dict[str, Query]:
         "annual_overlap": annual_overlap,
         "cross_service_monthly": cross_service_monthly,
         "cross_service_from_store": cross_service_from_store,
+        "cross_service_from_bits": cross_service_from_bits,
+        "cross_service_36_months": cross_service_of(36),
+        "cross_service_70_months_from_bits": cross_service_70_months_from_bits,
         "metrics_report_lines": metrics_report_lines,
         "age_group_counts": category("age_group"),
         "sex_counts": category("sex_at_birth"),

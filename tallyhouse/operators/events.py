@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import id_key, in_range, is_blank, is_numeric_id, month_start, once, parse_mixed_date
 from tallyhouse.operators.skew import spread_join
-from tallyhouse.operators.windows import check_months, explode_months, month_bit, month_index
+from tallyhouse.operators.windows import collect_months, explode_months, month_index, unite_months, words
 from tallyhouse.schemas import SERVICES, ServiceExport
 
 Exports = Mapping[str, DataFrame]
@@ -69,13 +69,13 @@ def load_typed_events(spark: SparkSession, path: str, start: Column, end: Column
     return {s.service: stored.filter(F.col("service") == s.service).select("key", "event_date") for s in SERVICES}
 
 
-def key_months(events: Mapping[str, DataFrame], start: Column, end: Column) -> DataFrame:
-    """(service, key, months): one row an id, with the set of months it was seen in."""
+def key_months(events: Mapping[str, DataFrame], start: Column, end: Column, months: int = 12) -> DataFrame:
+    """(service, key, words of months): one row an id, with the set of months it was seen in."""
     parts = [
         df.filter(in_range(F.col("event_date"), start, end))
         .groupBy("key")
-        .agg(F.bit_or(month_bit(month_index(F.col("event_date"), start))).alias("months"))
-        .select(F.lit(service).alias("service"), "key", "months")
+        .agg(*collect_months(month_index(F.col("event_date"), start), months))
+        .select(F.lit(service).alias("service"), "key", *words("months", months))
         for service, df in events.items()
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -97,23 +97,28 @@ def person_keys(person: DataFrame) -> DataFrame:
     return person.filter(F.col("person_id").isNotNull()).select("person_id", ids).filter(F.col("key").isNotNull())
 
 
-def person_months(events: Mapping[str, DataFrame], person: DataFrame, start: Column, end: Column) -> DataFrame:
-    """(service, person_id, months). An id that several persons share counts for each of them."""
-    return spread_join(person_keys(person), key_months(events, start, end), ["service", "key"]).select(
-        "service", "person_id", "months"
+def months_of_persons(found: DataFrame, person: DataFrame) -> DataFrame:
+    """(service, person_id, words of months) from (service, key, words). An id that several persons share counts for each of them."""
+    return spread_join(person_keys(person), found, ["service", "key"]).drop("key").select(
+        "service", "person_id", *[c for c in found.columns if c not in ("service", "key")]
     )
 
 
+def person_months(events: Mapping[str, DataFrame], person: DataFrame, start: Column, end: Column, months: int = 12) -> DataFrame:
+    """(service, person_id, words of months) from parsed events."""
+    return months_of_persons(key_months(events, start, end, months), person)
+
+
 def person_month_events(
     exports: Exports, person: DataFrame, start: Column, end: Column, months: int = 12
 ) -> DataFrame:
     """Distinct (service, person_id, month) inside the window."""
     found = (
-        person_months(typed_events(exports), person, start, end)
+        person_months(typed_events(exports), person, start, end, months)
         .groupBy("service", "person_id")
-        .agg(F.bit_or("months").alias("months"))
+        .agg(*unite_months(words("months", months)))
     )
-    return explode_months(found, "months", start, check_months(months))
+    return explode_months(found, "months", start, months)
 
 
 def rejected_events(exports: Exports) -> DataFrame:
