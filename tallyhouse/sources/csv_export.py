@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.sources.records import read_records
+
 #: Column that tells the loads of an export table apart, if it is partitioned by it.
 BATCH = "batch_id"
 BAD = "_bad"
@@ -84,13 +86,26 @@ def with_width(parsed: DataFrame, columns: list[str]) -> DataFrame:
 def scan_export(
     spark: SparkSession, path: str | list[str], columns: list[str], has_header: bool = False, multi_line: bool = True
 ) -> DataFrame:
-    """Rows of the export with their `_width`, too wide ones included."""
-    parsed = (
-        spark.read.schema(reader_schema(columns)).options(**reader_options(has_header, multi_line)).csv(path)
-    )
+    """Rows of the export with their `_width`, too wide ones included.
+
+    With `multi_line` a file is read by as many tasks as it has splits (`records.read_records`), and its records go through the same parser.
+    """
+    options = reader_options(has_header, multi_line)
+    if multi_line and (records := read_records(spark, path, has_header)) is not None:
+        return with_width(parse_records(records, columns), columns)
+    parsed = spark.read.schema(reader_schema(columns)).options(**options).csv(path)
     return with_width(parsed, columns)
 
 
+def parse_records(records: DataFrame, columns: list[str]) -> DataFrame:
+    """Records (text) as the columns of `reader_schema`, by Spark's parser."""
+    names = [f"_{k}" for k in range(len(columns))]
+    schema = ", ".join(f"{n} string" for n in [*names, BAD])
+    options = {k: v for k, v in reader_options(False, True).items() if k != "header"}
+    fields = records.select(F.from_csv("text", schema, options).alias("_r"))
+    return fields.select(*[F.col(f"_r.{n}").alias(c) for n, c in zip(names, columns, strict=True)], F.col(f"_r.{BAD}").alias(BAD))
+
+
 def read_export_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -101,9 +116,10 @@ def read_export_csv(
     """Export rows as text, mapped by position; a header is skipped, never matched.
 
     Doubled quotes stand for one, blanks are kept, rows of empty fields are dropped. `multi_line` allows line breaks inside
-    quotes, but then a file is read by one task: ship many files, or turn it off where no field holds a line break.
+    quotes, for which the text is looked through once before it is read; without it a file that has any is refused.
     Rows that are too wide lose their surplus here; `append_export` rejects them.
     """
+    refuse_cut_records(spark, path, multi_line)
     columns = schema.fieldNames() if isinstance(schema, T.StructType) else list(schema)
     return scan_export(spark, path, columns, has_header, multi_line).drop(WIDTH)
 
@@ -125,6 +141,12 @@ def open_lines(spark: SparkSession, path: str | list[str]) -> int:
     return lines.filter(quotes % 2 == 1).count()
 
 
+def refuse_cut_records(spark: SparkSession, path: str | list[str], multi_line: bool) -> None:
+    """Read line by line, a record with a line break inside quotes would come apart unnoticed."""
+    if not multi_line and (cut := open_lines(spark, path)):
+        raise OpenQuoteError(f"{cut} lines end or begin inside a quoted field: load them with multi_line=True")
+
+
 def insertable_columns(spark: SparkSession, table: str, generated: tuple[str, ...] = ()) -> list[str]:
     """Columns of a table in their order, without those that are generated."""
     return [c for c in spark.table(table).columns if c not in generated]
@@ -153,8 +175,7 @@ def append_export(
     columns = insertable_columns(spark, table, generated)
     if not columns:
         raise ValueError(f"no columns to fill in table {table}")
-    if not multi_line and (cut := open_lines(spark, path)):
-        raise OpenQuoteError(f"{cut} lines end or begin inside a quoted field: load them with multi_line=True")
+    refuse_cut_records(spark, path, multi_line)
     rows = scan_export(spark, path, columns, has_header, multi_line)
     parsed, wide, widest = width_report(rows, len(columns))
     if wide:
