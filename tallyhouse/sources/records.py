@@ -168,7 +168,7 @@ def _pieces(lines: DataFrame, has_header: bool) -> DataFrame:
 
 def _bytes(text: DataFrame) -> int:
     """The size of the files of a scan, as the optimizer knows it: nothing is read."""
-    return int(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def split_bytes(spark: SparkSession) -> int:
