@@ -341,6 +341,70 @@ def rebuilt_ctes() -> list[str]:
     ]
 
 
+def linked_ctes() -> list[str]:
+    """Components of names and people, by walking from name to name; then who gets which new id, and who is new."""
+    name = "struct_pack(f := lower(trim({f})), l := lower(trim({l})), d := {d})"
+    whole = "lower(trim({f})) <> '' AND lower(trim({l})) <> '' AND {d} IS NOT NULL"
+    own = {"f": "first_name", "l": "last_name", "d": "dob"}
+    given = {"f": "r.first_name.v", "l": "r.last_name.v", "d": "r.dob.v"}
+    counts = " AND ".join(f"count(*) FILTER (WHERE service = '{s.service}') <= 1" for s in SERVICES)
+    added = ", ".join(f"max(key) FILTER (WHERE service = '{s.service}') AS new_{s.person_key}" for s in SERVICES)
+    ids = ", ".join(
+        f"coalesce(CAST(p.{s.person_key} AS DECIMAL(20, 0)), CAST(a.new_{s.person_key} AS DECIMAL(20, 0))) AS {s.person_key}" for s in SERVICES
+    )
+    facts = ", ".join(f"p.{f}" for f in PERSON_FIELDS)
+    keys = " UNION ALL ".join(
+        f"SELECT '{s.service}' AS service, {s.person_key} AS key, person_id FROM joined WHERE {s.person_key} IS NOT NULL" for s in SERVICES
+    )
+    over = ", ".join(
+        f"max({{'s': r.{f}.s, 'w': service, 'v': r.{f}.v}}) FILTER (WHERE r.{f} IS NOT NULL) AS {f}" for f in PERSON_FIELDS
+    )
+    return [
+        person_cte(),
+        HOUSEHOLD,
+        KEYS,
+        *records_ctes()[:3],
+        f"known AS (SELECT person_id, {name.format(**own)} AS name FROM person WHERE {whole.format(**own)} UNION "
+        f"SELECT person_id, {name.format(**given)} FROM person_keys JOIN records r USING (service, key) WHERE {whole.format(**given)})",
+        f"fresh0 AS (SELECT service, key, {name.format(**given)} AS name FROM ({FRESH}) r WHERE {whole.format(**given)})",
+        "walk(name, root) AS (SELECT name, name FROM (SELECT name FROM known UNION SELECT name FROM fresh0) n "
+        "UNION SELECT other.name, w.root FROM walk w JOIN known mine ON mine.name = w.name JOIN known other ON other.person_id = mine.person_id)",
+        "roots AS (SELECT name, min(root) AS root FROM walk GROUP BY name)",
+        "wanted AS (SELECT service, key, root FROM fresh0 JOIN roots USING (name))",
+        "near AS (SELECT DISTINCT root, person_id FROM known JOIN roots USING (name) WHERE root IN (SELECT root FROM wanted))",
+        "held AS (SELECT root, service, key FROM wanted UNION ALL SELECT root, service, key FROM near JOIN person_keys USING (person_id))",
+        f"clear AS (SELECT root FROM held GROUP BY root HAVING {counts})",
+        "judged AS (SELECT root, count(*) AS people, max(person_id) AS person_id FROM near GROUP BY root)",
+        "links AS (SELECT service, key, person_id FROM wanted JOIN judged USING (root) WHERE people = 1 AND root IN (SELECT root FROM clear))",
+        "apart AS (SELECT service, key FROM wanted JOIN judged USING (root) EXCEPT SELECT service, key FROM links)",
+        f"added AS (SELECT person_id, {added} FROM links GROUP BY person_id)",
+        f"joined AS (SELECT p.person_id, {ids}, {facts} FROM person p LEFT JOIN added a USING (person_id))",
+        f"joined_keys AS ({keys})",
+        f"best AS (SELECT person_id, {over} FROM joined_keys JOIN records r USING (service, key) GROUP BY person_id)",
+        "rest AS (SELECT r.* FROM records r WHERE NOT EXISTS (SELECT 1 FROM joined_keys k WHERE k.service = r.service AND k.key = r.key))",
+        "alone AS (SELECT r.* FROM rest r JOIN apart USING (service, key))",
+        "others AS (SELECT r.* FROM rest r WHERE NOT EXISTS (SELECT 1 FROM apart a WHERE a.service = r.service AND a.key = r.key))",
+    ]
+
+
+def linked_person() -> str:
+    ids = ", ".join(f"CAST(p.{i} AS DECIMAL(20, 0)) AS {i}" for i in ("person_id", *IDS))
+    facts = ", ".join(f"CASE WHEN {unset(f)} AND b.{f} IS NOT NULL THEN b.{f}.v ELSE p.{f} END AS {f}" for f in PERSON_FIELDS)
+    by_name = [c.replace("FROM records)", "FROM others)").replace("person AS (", "new_people AS (") for c in rebuilt_ctes()]
+    return with_ctes(*linked_ctes(), *by_name).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f"SELECT {ids}, {facts} FROM joined p LEFT JOIN best b USING (person_id) UNION ALL {inserted('alone')} "
+        f"UNION ALL SELECT person_id, {', '.join(IDS)}, {', '.join(PERSON_FIELDS)} FROM new_people"
+    )
+
+
+def linked_audit() -> str:
+    column = "CASE service " + " ".join(f"WHEN '{s.service}' THEN '{s.person_key}'" for s in SERVICES) + " END"
+    return with_ctes(*linked_ctes()).replace("WITH ", "WITH RECURSIVE ", 1) + (
+        f"SELECT CAST(person_id AS DECIMAL(20, 0)) AS person_id, service AS source, 'update' AS action, {column} AS field, "
+        "NULL::VARCHAR AS old_value, CAST(key AS VARCHAR) AS new_value FROM links"
+    )
+
+
 def unset(f: str) -> str:
     return f"p.{f} IS NULL" if f == "dob" else blank(f"p.{f}")
 
@@ -480,6 +544,8 @@ def all_sql() -> dict[str, str]:
         "stream_ingest": texts + "SELECT service, id_text, date_text FROM raw",
         "table_preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 200",
     }
+    sql["person_merge_linked"] = linked_person()
+    sql["person_merge_linked_audit"] = linked_audit()
     after_merge = f"{swept()} UNION ALL {inserted('fresh')}"
     sql["append_and_merge"] = merges + after_merge
     clinic = [c.replace("FROM raw)", "FROM raw WHERE service = 'clinic')") if c.startswith("typed") else c for c in merge_ctes()]

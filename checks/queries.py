@@ -199,6 +199,12 @@ def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return merge.merge_person(fx.person(spark, sf_dir), records)
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """New ids go to the people there who have their name and birth date."""
+    records = checkpointed(merge.source_records(fx.merge_exports(spark, sf_dir)))
+    return merge.merge_person(fx.person(spark, sf_dir), records, link_by_name=True)
+
+
 def household_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     pantry = fx.merge_exports(spark, sf_dir)["pantry"]
     return merge.merge_households(fx.household(spark, sf_dir), pantry, fx.person(spark, sf_dir))
@@ -360,6 +366,8 @@ def all_queries() -> dict[str, Query]:
         "similar_names_top": on_person(lambda p: quality.similar_full_names(p, 0.75, 0.75, True, False)),
         "person_merge": lambda spark, sf_dir: _merged(spark, sf_dir)[0],
         "person_merge_audit": lambda spark, sf_dir: _merged(spark, sf_dir)[1],
+        "person_merge_linked": lambda spark, sf_dir: _linked(spark, sf_dir)[0],
+        "person_merge_linked_audit": lambda spark, sf_dir: _linked(spark, sf_dir)[1].where("field LIKE '%\\_id' OR field LIKE '%\\_key' OR field LIKE '%patientid'"),
         "household_merge": household_merge,
         "latest_fields": latest_fields,
         "rebuild_all": lambda spark, sf_dir: ingest.rebuild_all(spark, fx.merge_exports(spark, sf_dir)).person,

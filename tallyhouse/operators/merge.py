@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import id_key, id_of_key, is_blank, is_numeric_id, numeric_id, once, parse_mixed_date
 from tallyhouse.operators.events import Exports, known_exports, person_keys
+from tallyhouse.operators.linking import link_known
 from tallyhouse.operators.skew import spread_join
 from tallyhouse.schemas import HOUSEHOLD, ID, PERSON, PERSON_AUDIT, PERSON_FIELDS, SERVICES
+from tallyhouse.session import checkpointed
 
 HOUSEHOLD_COLUMN = "Household ID"
 
@@ -180,15 +182,25 @@ def merge_person(
 ) -> tuple[DataFrame, DataFrame]:
     """New persons for export ids that `person` does not hold, and blank fields filled; with an audit of both.
 
-    With `link_by_name` ids of several services under one name and birth date become one new person (see `_persons_by_name`).
+    With `link_by_name` new ids first go to the people there whose name and birth date they have (see `linking.link_known`; the audit
+    has an `update` of the id's column for each), and those of several services under one name and birth date become one new person
+    (see `_persons_by_name`).
 
     The audit has one row a new person (`insert`, the new value is its export id) and one a filled field (`update`).
     `records` is read on several branches, which the optimizer pushes different filters into: pass it checkpointed, so that the
     raw exports behind it are read once (`plans.ingest.run_merges` does).
     """
+    links, apart = None, None
+    if link_by_name and not person.isEmpty():
+        person, links, apart = link_known(person, records)
+        person = checkpointed(person)
     known = person_keys(person).select("service", "key").distinct()
     fresh = records.join(known, ["service", "key"], "left_anti")
-    new = _persons_by_name(fresh) if link_by_name else _persons_by_id(fresh)
+    if apart is not None:
+        alone = fresh.join(apart, ["service", "key"], "left_semi")
+        new = _persons_by_name(fresh.join(apart, ["service", "key"], "left_anti")).unionByName(_persons_by_id(alone))
+    else:
+        new = _persons_by_name(fresh) if link_by_name else _persons_by_id(fresh)
     inserts = new.select("person_id", *[id_of_key(F.col(s.person_key)).alias(s.person_key) for s in SERVICES], *PERSON_FIELDS)
     joined = person.join(latest_by_person(person, records, people), "person_id", "left")
     filled = {name: _unset(name) & F.col(f"_{name}.value").isNotNull() for name in PERSON_FIELDS}
@@ -221,7 +233,21 @@ def merge_person(
         F.lit(None).cast("string").alias("old_value"),
         id_of_key(F.col("key")).cast("string").alias("new_value"),
     )
-    return existing.unionByName(inserts), added.unionByName(updates)
+    audit = added.unionByName(updates)
+    if links is not None:
+        column = F.lit(None).cast("string")
+        for s in SERVICES:
+            column = F.when(F.col("service") == s.service, s.person_key).otherwise(column)
+        joined_ids = links.select(
+            "person_id",
+            F.col("service").alias("source"),
+            F.lit("update").alias("action"),
+            column.alias("field"),
+            F.lit(None).cast("string").alias("old_value"),
+            id_of_key(F.col("key")).cast("string").alias("new_value"),
+        )
+        audit = audit.unionByName(joined_ids)
+    return existing.unionByName(inserts), audit
 
 
 def merge_households(

@@ -72,12 +72,17 @@ def fold_merges(
 ) -> Merged:
     """Fold new export rows into `records` and merge what they touch; `exports` holds the new rows alone.
 
-    People, then households, then latest fields. Nothing is dropped. Merging batch after batch gives what merging them at once gives.
+    People, then households, then latest fields. Nothing is dropped. Merging batch after batch gives what merging them at once gives; with
+    `link_by_name` it depends on who is there when a new id comes.
     """
     delta = checkpointed(source_records(exports))
     folded = checkpointed(fold_records(records, delta))
-    people = checkpointed(touched_people(person, delta))
-    touched = checkpointed(affected_records(person, people, folded, delta))
+    if link_by_name:
+        # Whoever may own a new id is only known from all names.
+        people, touched = None, folded
+    else:
+        people = checkpointed(touched_people(person, delta))
+        touched = checkpointed(affected_records(person, people, folded, delta))
     merged, audit = merge_person(person, touched, link_by_name, people)
     merged = checkpointed(merged)
     pantry = exports.get("pantry")
