@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import clamp_limit, is_blank
 from tallyhouse.operators.skew import spread_join
+from tallyhouse.session import checkpointed
 
 # Letters whose sound code is that of the letter below them.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 UNACCENTED = "AAAAAACEEEEIIIINOOOOOOUUUUY"
 
 
+#: The ratios at which the most similar names are sought before the one that was asked for.
+STEPS = (0.95, 0.85, 0.7, 0.5)
+
+
 def name_key(c: Column) -> Column:
     """A name as it is compared: trimmed, lower case."""
     return F.lower(F.trim(c))
@@ -112,6 +117,46 @@ def similar_name_pairs(
     that several persons share makes one row with itself. So a name with many bearers adds no more work than a rare one. Names
     then meet only over a common piece of the first and of the last name (see `_piece_keys`), never all within a block.
     """
+    names, met = name_candidates(person, min_first, min_last, same_dob, use_soundex)
+    exact = ["dob"] if same_dob else []
+    pairs = (
+        met.withColumn("ratio_first", _ratio("first_a", "first_b"))
+        .withColumn("ratio_last", _ratio("last_a", "last_b"))
+        .filter((F.col("ratio_first") >= min_first) & (F.col("ratio_last") >= min_last))
+    )
+    across = pairs.select(
+        *exact,
+        F.col("first_a").alias("first_name_a"),
+        F.col("last_a").alias("last_name_a"),
+        F.col("first_b").alias("first_name_b"),
+        F.col("last_b").alias("last_name_b"),
+        F.col("low_id_a").alias("person_id_a"),
+        F.col("low_id_b").alias("person_id_b"),
+        (F.col("n_a") * F.col("n_b")).alias("person_pairs"),
+        "ratio_first",
+        "ratio_last",
+    )
+    same = names.filter(F.col("n") > 1).select(
+        *exact,
+        F.col("first").alias("first_name_a"),
+        F.col("last").alias("last_name_a"),
+        F.col("first").alias("first_name_b"),
+        F.col("last").alias("last_name_b"),
+        F.col("low_id").alias("person_id_a"),
+        F.col("high_id").alias("person_id_b"),
+        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("person_pairs"),
+        F.lit(1.0).alias("ratio_first"),
+        F.lit(1.0).alias("ratio_last"),
+    )
+    if min_first > 1 or min_last > 1:
+        return across.limit(0)
+    return across.unionByName(same)
+
+
+def name_candidates(
+    person: DataFrame, min_first: float, min_last: float, same_dob: bool, use_soundex: bool
+) -> tuple[DataFrame, DataFrame]:
+    """The different names, and the pairs of them that must be compared: each once, its names in order."""
     if not (math.isfinite(min_first) and math.isfinite(min_last)):
         raise ValueError("minimum ratios must be finite numbers")
     if max(min_first, min_last) <= 0 and not (same_dob or use_soundex):
@@ -151,43 +196,11 @@ def similar_name_pairs(
     def ordered(a: str, b: str, name: str) -> Column:
         return F.when(in_order, F.col(a)).otherwise(F.col(b)).alias(name)
 
-    pairs = (
-        met.select(
-            *exact,
-            *[ordered(f"{c}_{x}", f"{c}_{y}", f"{c}_{x}") for c in ("first", "last", "n", "low_id") for x, y in ("ab", "ba")],
-        )
-        .dropDuplicates([*exact, "first_a", "last_a", "first_b", "last_b"])
-        .withColumn("ratio_first", _ratio("first_a", "first_b"))
-        .withColumn("ratio_last", _ratio("last_a", "last_b"))
-        .filter((F.col("ratio_first") >= min_first) & (F.col("ratio_last") >= min_last))
-    )
-    across = pairs.select(
-        *exact,
-        F.col("first_a").alias("first_name_a"),
-        F.col("last_a").alias("last_name_a"),
-        F.col("first_b").alias("first_name_b"),
-        F.col("last_b").alias("last_name_b"),
-        F.col("low_id_a").alias("person_id_a"),
-        F.col("low_id_b").alias("person_id_b"),
-        (F.col("n_a") * F.col("n_b")).alias("person_pairs"),
-        "ratio_first",
-        "ratio_last",
-    )
-    same = names.filter(F.col("n") > 1).select(
+    pairs = met.select(
         *exact,
-        F.col("first").alias("first_name_a"),
-        F.col("last").alias("last_name_a"),
-        F.col("first").alias("first_name_b"),
-        F.col("last").alias("last_name_b"),
-        F.col("low_id").alias("person_id_a"),
-        F.col("high_id").alias("person_id_b"),
-        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("person_pairs"),
-        F.lit(1.0).alias("ratio_first"),
-        F.lit(1.0).alias("ratio_last"),
+        *[ordered(f"{c}_{x}", f"{c}_{y}", f"{c}_{x}") for c in ("first", "last", "n", "low_id") for x, y in ("ab", "ba")],
     )
-    if min_first > 1 or min_last > 1:
-        return across.limit(0)
-    return across.unionByName(same)
+    return names, pairs.dropDuplicates([*exact, "first_a", "last_a", "first_b", "last_b"])
 
 
 def similar_full_names(
@@ -198,8 +211,24 @@ def similar_full_names(
     use_soundex: bool = True,
     limit: object = 500,
 ) -> DataFrame:
-    """The `limit` (at most 2000) most similar pairs of `similar_name_pairs`, by the sum of both ratios."""
+    """The `limit` (at most 2000) most similar pairs of `similar_name_pairs`, by the sum of both ratios.
+
+    Names that are nearly equal are cheap to find, so the ratio is lowered step by step. No ratio is above 1, so a pair whose ratios sum
+    up to at least 1 + r has both at r or above: where a step with minimum r finds `limit` pairs of such a sum, no other pair can be
+    among the first. Only where it does not are names compared at the next lower ratio. Each step runs when this is called; what
+    it keeps is `limit` rows.
+    """
+    least, number = min(float(min_first), float(min_last)), clamp_limit(limit, 500)
     score = F.col("ratio_first") + F.col("ratio_last")
     order = [F.desc(score), "last_name_a", "first_name_a", "last_name_b", "first_name_b", *(["dob"] if same_dob else [])]
+    for ratio in STEPS:
+        if not least < ratio:
+            break
+        # A little below the bound, which floating point may miss.
+        firsts = [max(float(m), ratio - 1e-9) for m in (min_first, min_last)]
+        pairs = similar_name_pairs(person, *firsts, same_dob, use_soundex).filter(score >= 1 + ratio)
+        best = checkpointed(pairs.orderBy(*order).limit(number))
+        if best.count() == number:
+            return best.orderBy(*order)
     pairs = similar_name_pairs(person, float(min_first), float(min_last), same_dob, use_soundex)
-    return pairs.orderBy(*order).limit(clamp_limit(limit, 500))
+    return pairs.orderBy(*order).limit(number)

@@ -134,3 +134,30 @@ def test_names_with_several_dates(spark, hot_keys_from):
     hot_keys_from(2)
     assert sorted((r["person_id"], r["dob_count"]) for r in multi_dob_people(person).collect()) == expected
     assert [r["person_id"] for r in multi_dob_names(person, 2).collect()] == [3, 1]
+
+
+def test_the_top_list_compares_fewer_names(spark, monkeypatch):
+    """Many similar names, of which the best are nearly equal: the list is found at a high ratio, where fewer pairs meet, and is the same."""
+    from tallyhouse.operators import quality
+
+    draw = random.Random(3)
+    last = ["".join(draw.choice("abcdef") for _ in range(20)) for _ in range(60)]
+    rows = [(k, None, None, None, "Lee", last[k % 60] + "xyz"[k // 60 % 3] * (k >= 60), None, *[None] * 6) for k in range(200)]
+    people = spark.createDataFrame(rows, PERSON)
+    key = lambda df: [tuple(r) for r in df.collect()]
+    compared = []
+    real = quality.name_candidates
+
+    def counting(*args):
+        names, met = real(*args)
+        compared.append((args[1], met.count()))
+        return names, met
+
+    monkeypatch.setattr(quality, "name_candidates", counting)
+    stepwise = key(similar_full_names(people, 0.5, 0.5, False, False, limit=40))
+    steps = list(compared)
+    monkeypatch.setattr(quality, "STEPS", ())
+    compared.clear()
+    assert key(similar_full_names(people, 0.5, 0.5, False, False, limit=40)) == stepwise and len(stepwise) == 40
+    # One step, at a high ratio.
+    assert len(steps) == 1 and steps[0][0] > 0.9 and steps[0][1] < compared[0][1] / 3
