@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from checks import fixtures as fx
 from checks import lists
-from checks.expected import BASES, CATEGORIES, CLASSES, COMPLETENESS, MEASURES
+from checks.expected import BASES, CATEGORIES, CLASSES, COMPLETENESS, MEASURES, UNKNOWN
 from tallyhouse.schemas import PERSON, PERSON_FIELDS, SERVICES
 
 AS_OF = f"DATE '{fx.AS_OF}'"
@@ -197,7 +197,8 @@ def category(name: str) -> str:
     if kind == "age":
         value = age(c)
     elif kind == "classes":
-        value = CLASSES[c].format(c=c)
+        told = ", ".join(f"{text(v)}: {text(k)}" for v, k in CLASSES[c].items())
+        value = f"CASE WHEN {c} IS NULL THEN '{UNKNOWN}' ELSE MAP {{{told}}}[{c}] END"
     else:
         value = f"coalesce(nullif(trim({c}), ''), 'Unknown/Blank')"
     return f'SELECT \'{name}\' AS category, {value} AS value, count(*) AS "count" FROM person GROUP BY ALL'
