@@ -25,15 +25,22 @@ KEYS = ["_id", "_hash"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns(
-        {"_id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce(docs["text"], F.lit("")))}
+    """Every row whole in one column, so that no name of the user's is taken, with its id and the hash of its text."""
+    return docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
+        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"),
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_hash"),
     )
 
 
+def _rows(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    return keyed.select(*[F.col("_row")[c].alias(c) for c in columns])
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose (id, hash) is not among those of `gone`."""
     rows = stored(gone.toDF(*KEYS).distinct(), "pipeline-gone")
-    return _keyed(docs).join(broadcast_if_small(rows), KEYS, "left_anti").select(*docs.columns)
+    return _rows(_keyed(docs).join(broadcast_if_small(rows), KEYS, "left_anti"), docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +61,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Rows of one id and text are copies too: of those that repeat, one stays.
     again = grouped.where(row == F.col("first")).groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "hash")
     again = broadcast_if_small(stored(again.toDF(*KEYS), "pipeline-repeated"))
-    one = _keyed(left).join(again, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
-    return _keyed(left).join(again, KEYS, "left_anti").select(*docs.columns).unionByName(one)
+    one = _rows(_keyed(left).join(again, KEYS, "left_semi").dropDuplicates(KEYS), docs.columns)
+    return _rows(_keyed(left).join(again, KEYS, "left_anti"), docs.columns).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
