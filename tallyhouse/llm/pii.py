@@ -291,9 +291,13 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("mark", F.struct("start", "end")).alias("mark")
     )
     lists = merged.groupBy("id", "hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "mark"))).alias("_spans"))
+    # The whole row travels in one column, so that no name of the user's is taken.
     columns = docs.columns
-    keyed = docs.withColumns(
-        {"_id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce(docs["text"], F.lit("")))}
+    keyed = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"),
+        docs["text"].alias("text"),
+        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"),
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_hash"),
     )
     both = keyed.join(lists.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_spans"), ["_id", "_hash"], "left")
     parts = F.transform(
@@ -310,4 +314,4 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     )
     rest = F.substr(F.col("text"), F.element_at("_spans", -1)["end"].cast("int") + 1)
     changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.concat_ws("", parts), rest))
-    return both.withColumn("text", changed).select(*columns)
+    return both.select(*[changed.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])

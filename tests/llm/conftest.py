@@ -5,7 +5,7 @@ import random
 import pytest
 
 #: Columns that clash with names the operators use inside.
-EXTRA = ["id", "hash", "end", "kind", "bucket", "first", "last", "family", "score", "label", "_id", "piece"]
+EXTRA = ["id", "hash", "end", "kind", "bucket", "first", "last", "family", "score", "label", "_id", "piece", "_hash", "_spans", "_row"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in EXTRA)
 
 
@@ -20,6 +20,15 @@ def docs(spark):
     return make
 
 
+@pytest.fixture(scope="session")
+def twins():
+    """Two texts that differ in every place, but whose sums by powers of any odd base are equal modulo 2^64."""
+    one, other = "a", "b"
+    for _ in range(11):
+        one, other = one + other, other + one
+    return one, other
+
+
 @pytest.fixture(scope="session")
 def corpus():
     """(doc_id, text): prose, exact and near copies, a shared passage, a periodic text, odd white space, nulls, repeated rows."""

@@ -3,6 +3,8 @@ from __future__ import annotations
 import corpus_pipeline
 import __spark_entry__ as entry
 
+from tests.llm.conftest import EXTRA
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -24,6 +26,8 @@ def test_stages_take_odd_rows(spark, docs, corpus):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         left = stage(spark, rows, SMALL)
         assert left.columns == rows.columns, name
+        # Also columns whose names the stages use inside.
+        assert {r[c] for r in left.collect() for c in EXTRA} == {"x"}, name
     kept = corpus_pipeline.near_duplicates(spark, rows, SMALL).collect()
     texts = [r["text"] for r in kept if r["text"] and r["text"].split()]
     assert len(texts) == len(set(texts))
