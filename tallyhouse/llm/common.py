@@ -170,7 +170,10 @@ def _random_words(label: str, count: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes modulo 2^64 of any range of a sequence, from one pass: sums of codes times powers of an odd base."""
+    """Hashes modulo 2^64 of any range of a sequence, from one pass: sums of codes times powers of an odd base.
+
+    Sound for ranges of fewer than 1,024 items (see `word_hashes`); longer ones are hashed by `long_ranges`.
+    """
 
     def __init__(self, label: str):
         self.label = label
@@ -178,6 +181,7 @@ class Rolling:
         self.base = (int(_random_words(label + "/base", 1)[0]) & ~7) | 3
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
+        self.places = np.ones(0, np.uint64)
 
     def __reduce__(self):
         return Rolling, (self.label,)
@@ -189,6 +193,13 @@ class Rolling:
                 full[0] = 1
                 setattr(self, name, np.cumprod(full, dtype=np.uint64))
 
+    def factors(self, count: int) -> np.ndarray:
+        """Random odd factors, one a place."""
+        if len(self.places) < count:
+            size = 1 << (count - 1).bit_length()
+            self.places = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(self.base)) | np.uint64(1)
+        return self.places
+
     def prefix(self, items: np.ndarray) -> np.ndarray:
         """Running sums over `items` (bytes, or hashes of 64 bits)."""
         self._powers(len(items) + 1)
@@ -208,6 +219,24 @@ class Rolling:
         return mix((sums[size : size + count] - sums[:count]) * self.down[:count])
 
 
+#: Ranges of up to so many items go by one sum.
+BLOCK = 512
+
+
+def long_ranges(roll: Rolling, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of any length: a longer one by the hashes of its blocks, each with a random factor of its place."""
+    lengths = ends - starts
+    if not len(starts) or int(lengths.max()) <= BLOCK:
+        return roll.ranges(sums, starts, ends)
+    number = np.maximum(1, -(-lengths // BLOCK))
+    first = np.cumsum(number) - number
+    place = np.arange(int(number.sum())) - np.repeat(first, number)
+    low = np.repeat(starts, number) + place * BLOCK
+    parts = roll.ranges(sums, low, np.minimum(low + BLOCK, np.repeat(ends, number)))
+    joined = np.add.reduceat(parts * roll.factors(int(number.max()))[place], first)
+    return np.where(number == 1, parts[first], mix(joined + lengths.astype(np.uint64)))
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread 64 bits so that any of them can be used for dealing."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -216,14 +245,25 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, roll: Rolling, piece: int = 1 << 19) -> np.ndarray:
-    """A hash of each word, worked out for some bytes at a time: sums over bytes take sixteen times their room."""
+    """A hash of each word, worked out for some bytes at a time.
+
+    Every place in a word has a random factor of its own. Powers of one base will not do here: modulo 2^64 there are words of some 1,024
+    letters (a text and its complement, doubled again and again) whose sums are equal whatever the base is.
+    """
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + piece, "right")))
-        base = starts[low]
-        sums = roll.prefix(data[base : ends[high - 1]])
-        out[low:high] = roll.ranges(sums, starts[low:high] - base, ends[low:high] - base)
+        base, own = starts[low], starts[low:high] - starts[low]
+        lengths = ends[low:high] - starts[low:high]
+        bytes_ = data[base : ends[high - 1]]
+        place = np.arange(len(bytes_)) - np.repeat(own, np.diff(np.append(own, len(bytes_))))
+        values = roll.codes[bytes_] * roll.factors(int(place.max(initial=0)) + 1)[place]
+        # Every second sum is that of what lies between two words.
+        cuts = np.empty(2 * len(own), np.int64)
+        cuts[::2], cuts[1::2] = own, own + lengths
+        sums = np.add.reduceat(np.append(values, np.uint64(0)), cuts)[::2]
+        out[low:high] = mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         low = high
     return out
 

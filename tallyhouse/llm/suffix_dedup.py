@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import Rolling, gather, inside_values, mix, partitions, raw, slices, texts
+from tallyhouse.llm.common import Rolling, gather, inside_values, long_ranges, mix, partitions, raw, slices, texts
 from tallyhouse.llm.induced import sort_suffixes
 from tallyhouse.llm.superkmers import (
     CELLS,
@@ -188,7 +188,7 @@ def repeated_strings(docs: DataFrame, length: int = 100, gram: int = GRAM) -> Da
             if not len(low):
                 continue
             stop = high + length
-            one, two = _ONE.ranges(sums, low, stop), _TWO.ranges(_TWO.prefix(data), low, stop)
+            one, two = long_ranges(_ONE, sums, low, stop), long_ranges(_TWO, _TWO.prefix(data), low, stop)
             ids, marks = np.asarray(batch.column(0))[doc], np.asarray(batch.column(2))[doc]
             first, last = low - bounds[doc], high - bounds[doc]
             known = _earlier(one, two, ids, marks, first)
@@ -251,7 +251,7 @@ def _sort_shard(held: list[bytes], length: int) -> pa.RecordBatch:
     ids, marks, first, sizes, keys, several = np.concatenate(columns, axis=1)
     data = np.concatenate(datas)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    one, two = _ONE.ranges(_ONE.prefix(data), offsets[:-1], offsets[1:]), _TWO.ranges(_TWO.prefix(data), offsets[:-1], offsets[1:])
+    one, two = (long_ranges(roll, roll.prefix(data), offsets[:-1], offsets[1:]) for roll in (_ONE, _TWO))
     whole = _earlier(one, two, ids, marks, first)
     rows = [(ids[whole], marks[whole], first[whole], first[whole] + sizes[whole] - length)]
 
@@ -268,7 +268,7 @@ def _sort_shard(held: list[bytes], length: int) -> pa.RecordBatch:
     first = first[left[owner]] + begin - starts[owner]
     ids, marks = ids[left[owner]], marks[left[owner]]
     # Copies that differ elsewhere have equal stretches: one of those is enough, as for whole strings.
-    one, two = (roll.ranges(roll.prefix(data), begin, end) for roll in (_ONE, _TWO))
+    one, two = (long_ranges(roll, roll.prefix(data), begin, end) for roll in (_ONE, _TWO))
     whole = _earlier(one, two, ids, marks, first)
     rows.append((ids[whole], marks[whole], first[whole], first[whole] + (end - begin)[whole] - length))
     begin, end, first, ids, marks = begin[~whole], end[~whole], first[~whole], ids[~whole], marks[~whole]

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import Rolling, gather, inside_values, mix, partitions, raw, slices, texts, word_hashes, word_ranges
+from tallyhouse.llm.common import Rolling, gather, inside_values, long_ranges, mix, partitions, raw, slices, texts, word_hashes, word_ranges
 
 GRAM = 4
 CELLS = 1 << 20
@@ -131,8 +131,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Dat
             if not len(low):
                 continue
             stop = high + window
-            one = _ONE.ranges(_ONE.prefix(hashes), low, stop)
-            two = _TWO.ranges(_TWO.prefix(hashes), low, stop)
+            one = long_ranges(_ONE, _ONE.prefix(hashes), low, stop)
+            two = long_ranges(_TWO, _TWO.prefix(hashes), low, stop)
             doc = np.searchsorted(bounds, low, "right") - 1
             ids, marks = np.asarray(batch.column(0))[doc], np.asarray(batch.column(2))[doc]
             first, last = low - bounds[doc], high - bounds[doc]

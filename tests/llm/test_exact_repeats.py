@@ -15,6 +15,28 @@ from tallyhouse.llm.common import NO_ID
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_words_made_to_collide_are_told_apart(docs, twins):
+    """Windows that differ in one such word, before and behind common ones."""
+    common = " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"{common} {twins[0]}"), (2, f"{common} {twins[1]}"), (3, f"{twins[1]} {common}"), (4, f"x {common} {twins[0]}")]
+    got = Counter((r["id"], r["text"], r["n_words"], r["n_removed"]) for r in superkmers.remove_repeats(docs(rows), 50).collect())
+    assert got == Counter(kept_words(rows, 50))
+
+
+def test_strings_made_to_collide_are_told_apart(docs, twins):
+    """Two long texts without a common string of 1,000 bytes."""
+    rows = [(1, twins[0]), (2, twins[1]), (3, "z" + twins[0])]
+    got = {r["id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_strings(docs(rows), 1000).collect()}
+    assert got[3] == (2049, 2048)
+    first = twins[0]
+    covered = [False] * 2048
+    for k in range(2048 - 1000 + 1):
+        here = twins[1][k : k + 1000]
+        if here in first or twins[1].find(here) < k:
+            covered[k : k + 1000] = [True] * 1000
+    assert got[2] == (2048, sum(covered))
+
+
 def kept_words(rows, size):
     first = {}
     key = lambda i: NO_ID if i is None else i

@@ -36,7 +36,7 @@ def classes(rows, size, percent):
     return sorted((i, len(sets[k]), least[label[k]]) for k, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 4096), (5, 80, 4096), (2, 80, 3)])
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 16384), (5, 80, 16384), (2, 80, 3)])
 def test_components_of_similar_documents(docs, corpus, size, percent, block):
     found = ngram_join.similar_components(docs(corpus), size, percent, block)
     got = sorted((r["id"], r["n_shingles"], r["component_id"]) for r in found.collect())
@@ -150,3 +150,12 @@ def test_near_copies_are_verified(docs):
     near, other = base.replace("w100 ", "changed "), " ".join(f"v{k}" for k in range(200))
     found = fingerprints.near_copies(docs([(1, base), (2, near), (3, other), (4, base), (5, None)])).collect()
     assert [(r["head"], r["id"]) for r in found] == [(1, 2)] and 0.9 < found[0]["jaccard"] < 1
+
+
+def test_words_made_to_collide_link_nothing(docs, twins):
+    common = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, twins[0]), (2, twins[1]), (3, f"{common} {twins[0]}"), (4, f"{common} {twins[1]}"), (5, f"{common} {twins[1]}")]
+    found = {r["id"]: r["component_id"] for r in ngram_join.similar_components(docs(rows), size=3, percent=90).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+    prints = {r["id"]: r["fingerprint"] for r in fingerprints.edited_fingerprints(docs(rows[:2])).collect()}
+    assert prints[1] != prints[2]
