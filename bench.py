@@ -36,6 +36,9 @@ HEADLINE = [
     "similar_names_top",
     "cross_service_from_store",
     "stream_ingest",
+    "cross_service_from_bits",
+    "cross_service_36_months",
+    "person_merge_linked",
 ]
 
 
