@@ -295,16 +295,16 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
     columns = docs.columns
     keyed = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in columns]).alias("_row"),
-        docs["text"].alias("text"),
         F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_hash"),
     )
+    text = F.col("_row")["text"]
     both = keyed.join(lists.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_spans"), ["_id", "_hash"], "left")
     parts = F.transform(
         F.sequence(F.lit(1), F.size("_spans")),
         lambda i: F.concat(
             F.substring(
-                F.col("text"),
+                text,
                 F.when(i == 1, F.lit(1)).otherwise(F.try_element_at("_spans", F.greatest(i - 1, F.lit(1)))["end"].cast("int") + 1),
                 F.element_at("_spans", i)["start"].cast("int")
                 - F.when(i == 1, F.lit(0)).otherwise(F.try_element_at("_spans", F.greatest(i - 1, F.lit(1)))["end"].cast("int")),
@@ -312,6 +312,6 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure()) -> DataFrame:
             F.element_at("_spans", i)["mark"],
         ),
     )
-    rest = F.substr(F.col("text"), F.element_at("_spans", -1)["end"].cast("int") + 1)
-    changed = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.concat_ws("", parts), rest))
+    rest = F.substr(text, F.element_at("_spans", -1)["end"].cast("int") + 1)
+    changed = F.when(F.col("_spans").isNull(), text).otherwise(F.concat(F.concat_ws("", parts), rest))
     return both.select(*[changed.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns])
