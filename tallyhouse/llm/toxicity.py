@@ -17,12 +17,12 @@ labels of both classes every score is the share of toxic labels (0.5 without lab
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +49,16 @@ _MAY_HIDE = re.compile(r"[^\W\d_].*[\d@$!|+(€£¡]|[\d@$!|+(€£¡].*[^\W\d_]
 _SYMBOLS_AT_EDGES = re.compile(r"(?:^|(?<=\s))[@$!|+(€£¡]+|[@$!|+(€£¡]+(?=\s|$)")
 
 
+#: What can be taken off an edge without a closer look: ASCII punctuation that stands for no letter.
+_PLAIN_EDGES = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in LEET and c != "_")
+
+
 def core(token: str) -> str:
     """The token in lower case; of what stands before and after its letters and digits only symbols that may be letters stay."""
-    return _EDGES.sub(lambda m: "".join(c for c in m.group() if c in LEET), token.lower())
+    word = token.lower()
+    if (plain := word.lstrip(_PLAIN_EDGES).rstrip(_PLAIN_EDGES + "_")).isalnum():
+        return plain
+    return _EDGES.sub(lambda m: "".join(c for c in m.group() if c in LEET), word)
 
 
 def alphabet_of(counts: dict[int, int]) -> str:
@@ -198,10 +205,15 @@ class Channel:
 
     def words(self, token: str) -> list[str]:
         """The restored words of one written token: lower case, no punctuation around it."""
-        word = core(token)
+        return self.words_of(core(token))
+
+    def words_of(self, word: str, may: bool = True) -> list[str]:
+        """The same from the core of the token. If nothing that is asked for `may` be read into it, it is not decoded and gives none."""
         if _MAY_HIDE.search(word):
+            if not may:
+                return []
             word = self.restore(word)
-        return [w for x in word.split() if (w := _EDGES.sub("", x))]
+        return [w for x in word.split() if (w := x if x.isalnum() else _EDGES.sub("", x))]
 
     def joined(self, pieces: tuple[str, ...], wanted) -> list[str]:
         """The words that the common lattice of neighbouring pieces makes of two pieces or more; none if no wanted feature can come of it."""
@@ -223,12 +235,40 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in (4, 5) if len(word) > n)]
 
 
-BUCKETS = 1 << 20
+#: Lexicons of more different beginnings are not turned into a pattern; their tokens are all decoded.
+MOST_PATTERNS = 400
+#: Letters of a feature that a pattern looks at.
+PATTERN_LETTERS = 5
 
 
-def bucket(feature: str) -> int:
-    data = feature.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(data) ^ (zlib.adler32(data) << 7)) % BUCKETS
+def reading(features: list[str]) -> str | None:
+    """A pattern that every token matches which one of the features can be read into: its first letters in order, each as itself or as a
+    symbol for it, repeated or not, with symbols and separators between them. Others may match too. None where the patterns are too many.
+
+    For an engine without backtracking: what may stand between letters may stand for letters as well.
+    """
+
+    def among(characters: str) -> str:
+        return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(characters)))
+
+    patterns, between = set(), " " + SEPARATORS + "".join(LEET)
+    for feature in features:
+        word = feature.removesuffix("~")
+        parts = []
+        for k, c in enumerate(word):
+            if (not k or word[k - 1] != c) and len(parts) < PATTERN_LETTERS:
+                own = c + "".join(s for s, given in LEET.items() if c in given)
+                parts.append(f"[{among(own)}][{among(own + between)}]*")
+        patterns.add("".join(parts))
+    if len(patterns) > MOST_PATTERNS:
+        return None
+    return "|".join(sorted(patterns)) or "[^\\x{0}-\\x{10FFFF}]"
+
+
+def _readable(tokens: list[str], pattern: str | None) -> list[bool]:
+    if pattern is None or not tokens:
+        return [True] * len(tokens)
+    return pc.match_substring_regex(pa.array(tokens, pa.string()), pattern).to_pylist()
 
 
 def _tokens(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -257,22 +297,23 @@ def _neighbours(short: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> tup
     return np.searchsorted(bounds, heads, "right") - 1, heads, stops
 
 
-def _hits(channel: Channel, column: pa.Array, wanted, memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(channel: Channel, column: pa.Array, wanted, memo: dict, pattern: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature) of each wanted feature, repeated as often as it occurs, and the number of words of each text.
 
-    `wanted(feature)` gives a number or None; `memo` keeps what a token gives, up to a bound.
+    `wanted(feature)` gives a number or None; `memo` keeps what a token gives, up to a bound; `pattern` is a `reading` of the wanted features.
     """
     tokens, index, bounds = _tokens(column)
-    given: list[tuple[int, ...]] = []
     if len(memo) > 400_000:
         memo.clear()
-    for token in tokens:
-        own = memo.get(token)
-        if own is None:
-            own = memo[token] = tuple(
-                dict.fromkeys(f for w in channel.words(token) for x in features_of(w) if (f := wanted(x)) is not None)
-            )
-        given.append(own)
+    # The cores of short tokens, which may be pieces of a word.
+    brief = memo.setdefault(None, {})
+    new = [t for t in tokens if t not in memo]
+    plain = [core(t) for t in new]
+    for token, word, may in zip(new, plain, _readable(plain, pattern), strict=True):
+        memo[token] = tuple(dict.fromkeys(f for w in channel.words_of(word, may) for x in features_of(w) if (f := wanted(x)) is not None))
+        if len(word) <= SHORT:
+            brief[token] = word
+    given = [memo[t] for t in tokens]
     number = np.fromiter(map(len, given), np.int64, len(given))
     flat = np.fromiter((f for g in given for f in g), np.int64, int(number.sum()))
     at = np.concatenate([[0], np.cumsum(number)]).astype(np.int64)
@@ -280,16 +321,17 @@ def _hits(channel: Channel, column: pa.Array, wanted, memo: dict) -> tuple[np.nd
     rows = np.repeat(np.repeat(np.arange(len(column)), np.diff(bounds)), per_word)
     begin = np.repeat(at[index] - np.concatenate([[0], np.cumsum(per_word)[:-1]]) if len(index) else at[:0], per_word)
     found = flat[begin + np.arange(len(begin))]
-    cores = [core(t) for t in tokens]
-    short = np.fromiter((len(c) <= SHORT for c in cores), bool, len(cores))
-    more = []
+    cores = [brief.get(t) for t in tokens]
+    short = np.fromiter((c is not None for c in cores), bool, len(cores))
+    runs = []
     for text, low, high in zip(*(x.tolist() for x in _neighbours(short, index, bounds)), strict=True):
         run = tuple(cores[k] for k in index[low:high].tolist() if cores[k])
-        if len(run) < 2:
-            continue
-        if (own := memo.get(run)) is None:
-            own = memo[run] = tuple(f for w in channel.joined(run, wanted) for x in features_of(w) if (f := wanted(x)) is not None)
-        more.extend((text, f) for f in own)
+        if len(run) >= 2:
+            runs.append((text, run))
+    fresh = [r for r in dict.fromkeys(r for _, r in runs) if r not in memo]
+    for run, may in zip(fresh, _readable([" ".join(r) for r in fresh], pattern), strict=True):
+        memo[run] = tuple(f for w in channel.joined(run, wanted) for x in features_of(w) if (f := wanted(x)) is not None) if may else ()
+    more = [(text, f) for text, run in runs for f in memo[run]]
     if more:
         rows = np.concatenate([rows, [m[0] for m in more]])
         found = np.concatenate([found, [m[1] for m in more]])
@@ -298,28 +340,27 @@ def _hits(channel: Channel, column: pa.Array, wanted, memo: dict) -> tuple[np.nd
 
 @dataclass
 class Model:
-    """A lexicon (feature bucket to log odds) and the logistic model over a document's hits."""
+    """A lexicon (feature to log odds) and the logistic model over a document's hits."""
 
     channel: Channel
-    weights: dict[int, float]
+    weights: dict[str, float]
     middle: np.ndarray
     scale: np.ndarray
     theta: np.ndarray
 
     def measures(self, column: pa.Array, memo: dict) -> np.ndarray:
         """Per text: sum and maximum of the log odds of its distinct lexicon features, their number, all hits, words."""
-        look = self.weights
-
-        def wanted(x: str) -> int | None:
-            b = bucket(x)
-            return b if b in look else None
-
-        rows, found, words = _hits(self.channel, column, wanted, memo)
+        if "" not in memo:
+            memo[""] = ({f: k for k, f in enumerate(self.weights)}, reading(list(self.weights)))
+        kept = memo[""]
+        number, size, look = kept[0], max(1, len(kept[0])), np.array(list(self.weights.values()))
+        rows, found, words = _hits(self.channel, column, number.get, memo, kept[1])
+        memo[""] = kept
         out = np.zeros((len(column), 5))
         out[:, 3] = np.log1p(np.bincount(rows, minlength=len(column)))
         if len(rows):
-            pairs = np.unique(rows * BUCKETS + found)
-            rows, odds = pairs // BUCKETS, np.array([look[b] for b in (pairs % BUCKETS).tolist()])
+            pairs = np.unique(rows * size + found)
+            rows, odds = pairs // size, look[pairs % size]
             out[:, 0] = np.log1p(np.bincount(rows, odds, minlength=len(column)))
             np.maximum.at(out[:, 1], rows, odds)
             out[:, 2] = np.log1p(np.bincount(rows, minlength=len(column)))
@@ -367,21 +408,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = 20_000, signif
         return toxic / total if total else 0.5
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, memo = np.zeros(2 * BUCKETS, np.int64), {}
+        memo: dict = {}
         for batch in slices(batches):
-            rows, found, _ = _hits(channel, batch.column(0), bucket, memo)
-            label = np.asarray(batch.column(1)).astype(np.int64)
-            pairs = np.unique(rows * BUCKETS + found)
-            cells += np.bincount(2 * (pairs % BUCKETS) + label[pairs // BUCKETS], minlength=len(cells))
-        pair = cells.reshape(-1, 2)
-        at = np.flatnonzero(pair.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pair[at, 0]), pa.array(pair[at, 1])], ["cell", "clean", "toxic"])
-
-    counts = sample.mapInArrow(count, "cell bigint, clean bigint, toxic bigint").groupBy("cell").agg(
+            numbers: dict[str, int] = {}
+            memo.clear()
+            rows, found, _ = _hits(channel, batch.column(0), lambda x, known=numbers: known.setdefault(x, len(known)), memo)
+            label, size = np.asarray(batch.column(1)).astype(np.int64), max(1, len(numbers))
+            pairs = np.unique(rows * size + found)
+            cells = np.bincount(2 * (pairs % size) + label[pairs // size], minlength=2 * len(numbers)).reshape(-1, 2)
+            columns = [pa.array(list(numbers), pa.string()), pa.array(cells[:, 0]), pa.array(cells[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "clean", "toxic"])
+
+    # By the features themselves: no two share a count.
+    counts = sample.mapInArrow(count, "cell string, clean bigint, toxic bigint").groupBy("cell").agg(
         F.sum("clean").alias("c"), F.sum("toxic").alias("t")
     )
     base = toxic / total
-    # More frequent among toxic documents than overall, beyond what chance gives; at most BUCKETS rows.
+    # More frequent among toxic documents than overall, beyond what chance gives; no more than the sample has features.
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (total - toxic + 1.0))
     share = F.col("t") / (F.col("t") + F.col("c"))
     ratio = 2 * (

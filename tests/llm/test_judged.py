@@ -302,3 +302,32 @@ def test_all_columns_survive_sanitising(docs):
     rows = docs([(1, "call +1 (743) 555-3824 or a@b.cc x"), (2, None)])
     got = pii.sanitise(rows)
     assert got.columns == rows.columns and got.where("doc_id = 1").first()["text"] == "call [PHONE] or [EMAIL] x"
+    rest = lambda df: sorted(map(repr, (r.asDict() for r in df.drop("text").collect())))
+    assert rest(got) == rest(rows)
+
+
+def test_tokens_that_are_not_decoded_hide_nothing(docs):
+    """A token is passed over only where no lexicon feature can be read into it: the same hits as when all are decoded."""
+    import pyarrow as pa
+
+    draw = random.Random(11)
+    words = ["stupid", "idiot", "trash", "moron", "hello", "garden", "window", "silly", "loss", "book", "letter", "summer"]
+    channel = toxicity.Channel(*toxicity.character_model(docs([(k, " ".join(draw.choices(words, k=40))) for k in range(60)])))
+    signs = {c: [s for s, given in toxicity.LEET.items() if c in given] for c in "abcdefghijklmnopqrstuvwxyz"}
+
+    def written(word):
+        out = ""
+        for c in word:
+            c = draw.choice(signs[c]) if signs[c] and draw.random() < 0.3 else c
+            out += c * draw.choice([1, 1, 1, 2, 3, 4]) + draw.choice(["", "", "", " ", ".", "-"])
+        return draw.choice(["", "$", "!", "("]) + out + draw.choice(["", "!", "?!", "$"])
+
+    column = pa.array([" ".join(written(draw.choice(words)) for _ in range(30)) for _ in range(60)], pa.string())
+    features = {f: k for k, f in enumerate([x for w in words[:4] + words[7:10] for x in toxicity.features_of(w)])}
+    plain = toxicity._hits(channel, column, features.get, {})
+    quick = toxicity._hits(channel, column, features.get, {}, toxicity.reading(list(features)))
+    assert len(plain[0]) > 100
+    assert sorted(zip(*(x.tolist() for x in plain[:2]))) == sorted(zip(*(x.tolist() for x in quick[:2])))
+    assert toxicity.reading([f"{a}{b}x" for a in "abcdefghijklmnopqrstu" for b in "abcdefghijklmnopqrstu"]) is None and toxicity._readable(["x"], toxicity.reading([])) == [False]
+    # Linear in the token, whatever it holds.
+    assert toxicity._readable(["1" * 200_000 + "|$" * 50_000], toxicity.reading(list(features))) is not None
