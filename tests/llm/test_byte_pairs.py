@@ -39,7 +39,7 @@ def test_ids_are_those_of_the_library(texts):
 
 def test_every_code_point():
     """A character alone, after a blank, before a letter: white space, letters and digits are told apart as the library does."""
-    for low in range(0, 0x110000, 4096):
+    for low in [*range(0, 0x20000, 4096), 0x20000, 0x2F000, 0x30000, 0xE0000, 0x10F000]:
         signs = [chr(c) for c in range(low, low + 4096) if not 0xD800 <= c < 0xE000]
         texts = [f"a {c}1 {c} {c}b" for c in signs]
         assert encoded(texts) == [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
