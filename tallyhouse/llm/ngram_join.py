@@ -34,7 +34,7 @@ from tallyhouse.llm.graph import components
 GROUPS = 32
 LEAF = 32
 FEW = 16
-FAMILY_BLOCK = 4096
+FAMILY_BLOCK = 16384
 CLASS_RATIO = 1.4
 
 _LOWER = np.arange(256, dtype=np.uint8)
