@@ -52,6 +52,13 @@ def test_records_hold_the_latest_values(exports):
     assert got["pantry", 2]["race"] is None
 
 
+def test_a_task_holds_one_partition_of_all_exports(exports):
+    """United after their aggregations, the exports' partitions would lie in one task, and their records in as many shuffles."""
+    plan = source_records(exports)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.index("Union") > plan.rindex("Exchange hashpartitioning")
+
+
 def test_people_are_added_and_blanks_filled(spark, exports, person):
     merged, audit = merge_person(person, source_records(exports))
     rows = by_id(merged)
