@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions import once
 from tallyhouse.sources.records import read_records
 
 #: Column that tells the loads of an export table apart, if it is partitioned by it.
@@ -98,11 +99,11 @@ def scan_export(
 
 
 def parse_records(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Records (text) as the columns of `reader_schema`, by Spark's parser."""
+    """Records (text) as the columns of `reader_schema`, by Spark's parser; each is parsed once, whatever columns and filters refer to it."""
     names = [f"_{k}" for k in range(len(columns))]
     schema = ", ".join(f"{n} string" for n in [*names, BAD])
     options = {k: v for k, v in reader_options(False, True).items() if k != "header"}
-    fields = records.select(F.from_csv("text", schema, options).alias("_r"))
+    fields = once(records, F.from_csv("text", schema, options).alias("_r"))
     return fields.select(*[F.col(f"_r.{n}").alias(c) for n, c in zip(names, columns, strict=True)], F.col(f"_r.{BAD}").alias(BAD))
 
 

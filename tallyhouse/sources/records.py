@@ -38,7 +38,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("text"),
         ends_inside(F.col("value")).alias("from_outside"),
-        ends_inside(F.concat(F.lit('"'), F.col("value"))).alias("from_inside"),
+        F.when(F.contains("value", F.lit('"')), ends_inside(F.concat(F.lit('"'), F.col("value")))).otherwise(F.lit(True)).alias("from_inside"),
     )
 
 
@@ -193,10 +193,10 @@ def read_records(spark: SparkSession, path: str | list[str], has_header: bool =
         "file", "block", "text", "from_outside", "from_inside", F.coalesce("_inside", F.lit(False)).alias("inside")
     )
     pieces = _pieces(marked, has_header)
-    whole = pieces.where("place = 0 AND NOT first").select("text")
     if not found:
-        # Records lie in their splits; a file that ends inside quotes leaves a beginning without an end.
-        return whole.unionByName(pieces.where("place > 0 AND NOT first").select("text"))
+        # Records lie in their splits; a file that ends inside quotes leaves a beginning without an end, which is its last record.
+        return pieces.where("NOT first").select("text")
+    whole = pieces.where("place = 0 AND NOT first").select("text")
     # Beginning, splits in between, end: a beginning opens a record of its own.
     order = Window.partitionBy("file").orderBy("block", F.when(F.col("place") == 1, 0).otherwise(1))
     parts = pieces.where("place > 0").withColumn("_record", F.sum((F.col("place") == 2).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))

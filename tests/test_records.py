@@ -68,6 +68,14 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path, tiny_splits):
     assert found.where("c IS NULL").count() == 0
 
 
+def test_a_record_is_read_and_parsed_once(spark, tmp_path, tiny_splits):
+    (tmp_path / "a.csv").write_text("".join(f'{k},"b, {k}",c\n' for k in range(200)))
+    tiny_splits(500)
+    plan = csv_export.scan_export(spark, str(tmp_path), COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+    assert plan.count("from_csv") == 1
+
+
 def test_a_field_over_many_splits(spark, tmp_path, tiny_splits):
     long = "\n".join(f"line {k}, and so on" for k in range(300))
     (tmp_path / "a.csv").write_text(f'1,"{long}",x\n2,b,c\n')
