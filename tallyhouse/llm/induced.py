@@ -7,7 +7,8 @@ came, so the queue is a row of first-in-first-out bins by ranges of characters.
 to a temporary file of the task, whose parts it reads when their bin's turn comes.
 
 Tuples are taken out in bulk: all of a bin up to the smallest character that one of them induces into the same bin. The leftmost S
-suffixes are named by the order of their substrings (sorted by the same two passes) and sorted by recursion on the names.
+suffixes are named by the order of their substrings (sorted by the same two passes) and sorted by recursion on the names. A row of names
+has a large alphabet, so few tuples leave together; where it is short, the recursion ends and its suffixes are sorted by doubling.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tallyhouse.llm.common import mix
 BINS = 256
 MEMORY = 64 << 20
 SMALL = 2000
+#: Names in a row that is sorted by doubling (some 50 bytes a name).
+SMALL_NAMES = 1 << 18
 
 
 class DiskQueue:
@@ -163,14 +166,14 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         span *= 2
 
 
-def sort_suffixes(text: np.ndarray, size: int) -> np.ndarray:
-    """Positions in the order of their suffixes. `text`: whole numbers below `size`.
+def sort_suffixes(text: np.ndarray, size: int, small: int | None = None) -> np.ndarray:
+    """Positions in the order of their suffixes. `text`: whole numbers below `size`. Texts of up to `small` numbers are not induced.
 
     Every 0 ends a string: zeros differ from each other, a later one is smaller, and the last number is a 0.
     """
     text = text.astype(np.int64)
     zeros = np.flatnonzero(text == 0)[::-1]
-    if len(text) <= SMALL:
+    if len(text) <= (SMALL if small is None else small):
         plain = text + len(zeros) - 1
         plain[zeros] = np.arange(len(zeros))
         return _doubled(plain)
@@ -203,7 +206,7 @@ def sort_suffixes(text: np.ndarray, size: int) -> np.ndarray:
         sorted_leftmost = leftmost[np.argsort(reduced, kind="stable")]
     else:
         # In the reduced text only its last number is a 0.
-        sorted_leftmost = leftmost[sort_suffixes(reduced, int(name[-1]) + 1)]
+        sorted_leftmost = leftmost[sort_suffixes(reduced, int(name[-1]) + 1, SMALL_NAMES)]
     return np.concatenate([zeros, _both_passes(text, size, sorted_leftmost, is_s)])
 
 

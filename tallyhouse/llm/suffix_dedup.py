@@ -315,9 +315,13 @@ def _with_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 def remove_strings(docs: DataFrame, length: int = 100, gram: int = GRAM) -> DataFrame:
     """id, kept (the bytes that are left), n_bytes, n_removed and n_spans (maximal removed runs) of every row."""
     found = repeated_strings(docs, length, gram)
-    lists = found.groupBy("id", "hash").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    # Both joins of the texts go by the id alone, so the texts are shuffled once; of rows with one id, those of another text are told apart
+    # by a condition that is not a key.
+    lists = found.withColumnsRenamed({"id": "_id", "hash": "_hash"}).repartition("_id").groupBy("_id", "_hash")
+    lists = lists.agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     rows = texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
-    both = rows.join(lists, ["id", "hash"], "left").select("id", "text", "first", "last")
+    same = (F.col("id") == F.col("_id")) & (F.col("hash").bitwiseXOR(F.col("_hash")) == 0)
+    both = rows.join(lists, same, "left").select("id", "text", "first", "last")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -97,6 +97,23 @@ def test_strings(docs, corpus, size, gram):
     assert have == Counter(kept_bytes(corpus, size))
 
 
+def test_texts_are_shuffled_once(docs, corpus, spark):
+    """Rows of one id and different texts are told apart, though both joins go by the id."""
+    rows = [*corpus, *[(i, f"{t} and more of it") for i, t in corpus[:20] if t]]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        left = suffix_dedup.remove_strings(docs(rows), 30, 5)
+        assert "ReusedExchange" in left._jdf.queryExecution().executedPlan().toString()
+        have = Counter((r["id"], bytes(r["kept"]), r["n_bytes"], r["n_removed"], r["n_spans"]) for r in left.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert have == Counter(kept_bytes(rows, 30))
+
+
 def test_empty_tables(docs):
     assert superkmers.remove_repeats(docs([])).count() == 0
     assert suffix_dedup.remove_strings(docs([])).count() == 0
@@ -121,6 +138,18 @@ def test_suffixes_by_induction(monkeypatch):
         assert induced.sort_suffixes(text, int(text.max()) + 1).tolist() == brute_order(text)
 
 
+def test_the_text_is_induced_and_short_rows_of_names_are_doubled(monkeypatch):
+    """Two rounds of two passes sort the text; names, however many letters they need, take no more of them."""
+    text = np.append(np.tile(np.random.default_rng(5).integers(1, 9, 900), 4), 0)
+    real, passes = induced._induce, []
+    monkeypatch.setattr(induced, "_induce", lambda text, *more: passes.append(len(text)) or real(text, *more))
+    plain = induced.sort_suffixes(text, 9)
+    assert passes == [len(text)] * 4
+    assert plain.tolist() == brute_order(text)
+    monkeypatch.setattr(induced, "SMALL_NAMES", 3)
+    assert (induced.sort_suffixes(text, 9) == plain).all() and len(passes) > 8
+
+
 def test_queues_spill_to_disk(monkeypatch):
     text = np.append(np.random.default_rng(4).integers(1, 9, 4000), 0)
     plain = induced.sort_suffixes(text, 9)
