@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyhouse.plans.ingest import merge_new_batches
+from tallyhouse.session import stored
 from tallyhouse.sources.csv_export import BATCH, OpenQuoteError, WIDTH, insertable_columns, open_lines, reader_options, reader_schema, replace_batch, with_width
 
 FILE = "_file"
@@ -38,7 +39,8 @@ def _accepted(batch: DataFrame, batch_id: int, columns: list[str], rejects: str,
         files = [r[0] for r in batch.select(FILE).distinct().collect()]
         if files and (cut := open_lines(spark, files)):
             raise OpenQuoteError(f"{cut} lines end or begin inside a quoted field: read them with multi_line=True")
-    rows = with_width(batch, columns)
+    # Parsed once: the rows are read for the check and for the append.
+    rows = stored(with_width(batch, columns), "arrived")
     wide = rows.filter(F.col(WIDTH) > len(columns)).groupBy(FILE).agg(F.count(F.lit(1)).alias("wide_rows"))
     out = rejects_path(rejects, batch_id)
     wide.write.mode("overwrite").parquet(out)

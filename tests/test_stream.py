@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 
 from tallyhouse.plans import ingest
+from tallyhouse.streaming import ingest as ingest_stream
 from tallyhouse.streaming.ingest import stream_and_merge, stream_exports
 
 COLUMNS = ["patientid", "apptcheckindate"]
@@ -48,6 +49,16 @@ def table(spark):
     spark.sql("DROP DATABASE streamed CASCADE")
 
 
+def test_arrived_files_are_parsed_once(spark, table, tmp_path, monkeypatch):
+    plans, real = [], ingest_stream.replace_batch
+    monkeypatch.setattr(ingest_stream, "replace_batch", lambda rows, *more: plans.append(rows._jdf.queryExecution().toString()) or real(rows, *more))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1,2024-01-01,Ann\n2,2024-01-02,Bob\n")
+    stream_and_merge(spark, str(tmp_path / "in"), table, str(tmp_path / "rejects"), str(tmp_path / "state")).awaitTermination()
+    assert len(plans) == 1 and "FileScan csv" not in plans[0]
+    assert ingest.current_state(spark)[0].count() == 2
+
+
 @pytest.mark.parametrize("point", ["before the merge", "after the merge"])
 def test_a_failure_adds_nothing_twice(spark, table, tmp_path, point):
     """The batch dies between append and merge, or after the merge; the restart ends with the same table and one version a batch."""
