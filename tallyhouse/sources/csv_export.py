@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions import once
+from tallyhouse.session import stored
 from tallyhouse.sources.records import read_records
 
 #: Column that tells the loads of an export table apart, if it is partitioned by it.
@@ -166,8 +167,8 @@ def append_export(
 
     In a table that is partitioned by `batch_id` the rows become the partition `batch`, in the place of what it held.
 
-    Two passes over the text: one counts and checks, one writes. Without `multi_line` a third one looks for quoted line breaks, which
-    that way of reading would cut into two records, and refuses the load if there are any.
+    The text is parsed once, into a scratch table that is counted, checked and then written. A pass before that looks for quoted line breaks:
+    with `multi_line`, in loads larger than a split, to find where records begin; without, to refuse what would be cut into two records.
     """
     batched = BATCH in spark.table(table).columns
     if batched and not batch:
@@ -177,7 +178,7 @@ def append_export(
     if not columns:
         raise ValueError(f"no columns to fill in table {table}")
     refuse_cut_records(spark, path, multi_line)
-    rows = scan_export(spark, path, columns, has_header, multi_line)
+    rows = stored(scan_export(spark, path, columns, has_header, multi_line), "parsed")
     parsed, wide, widest = width_report(rows, len(columns))
     if wide:
         raise WideRowError(f"{wide} of {parsed} rows have up to {widest} columns, but table {table} has {len(columns)}")

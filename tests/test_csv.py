@@ -76,6 +76,20 @@ def test_append(spark, tmp_path, target):
     assert sorted(rows(spark.table(target)), key=str) == [(None, "1", "2024-01-01", "x")] * 2 + [(None, "2", None, None)] * 2
 
 
+def test_a_load_is_parsed_once(spark, tmp_path, monkeypatch):
+    """What is counted and what is written come from the same parsed rows."""
+    plans, real = [], csv_export.width_report
+    monkeypatch.setattr(csv_export, "width_report", lambda rows, n: plans.append(rows) or real(rows, n))
+    monkeypatch.setattr(csv_export, "replace_batch", lambda rows, *_: plans.append(rows))
+    spark.sql("CREATE TABLE IF NOT EXISTS once_export (a STRING, b STRING, batch_id STRING) USING parquet PARTITIONED BY (batch_id)")
+    try:
+        append_export(spark, put(tmp_path / "a.csv", "1,x\n2\n"), "once_export", batch="one")
+    finally:
+        spark.sql("DROP TABLE once_export")
+    assert len(plans) == 2 and not any("FileScan csv" in p._jdf.queryExecution().toString() for p in plans)
+    assert sorted(rows(plans[1]), key=str) == [("1", "x"), ("2", None)]
+
+
 def test_one_wide_row_rejects_everything(spark, tmp_path, target):
     path = put(tmp_path / "a.csv", "1,2024-01-01,x\n1,2,3,4,5\n")
     with pytest.raises(WideRowError, match="1 of 2 rows have up to 5 columns"):

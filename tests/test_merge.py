@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from tallyhouse.operators import merge
 from tallyhouse.operators.merge import merge_households, merge_person, new_person_id, source_records, sweep_latest
 from tallyhouse.plans import ingest, versions
 from tallyhouse.schemas import HOUSEHOLD, PERSON, PERSON_FIELDS
@@ -102,6 +103,20 @@ def test_running_again_changes_nothing(spark, exports, person):
     assert first.audit.count() > 0 and second.audit.count() == 0
 
 
+def test_latest_values_are_worked_out_once(spark, exports, person, monkeypatch):
+    """For the merged persons, the audit and the sweep; a sweep of everybody gives the same."""
+    ordered = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    records = checkpointed(source_records(exports))
+    household, nobody = spark.createDataFrame([], HOUSEHOLD), spark.createDataFrame([], PERSON)
+    merged, rebuilt = checkpointed(merge_person(person, records)[0]), checkpointed(merge_person(nobody, records, link_by_name=True)[0])
+    plain = [ordered(sweep_latest(merged, records)), ordered(sweep_latest(rebuilt, records))]
+    real, calls = merge.latest_by_person, []
+    for module in (merge, ingest):
+        monkeypatch.setattr(module, "latest_by_person", lambda *given: calls.append(1) or real(*given), raising=False)
+    assert ordered(ingest.run_merges(person, household, exports).person) == plain[0] and len(calls) == 1
+    assert ordered(ingest.rebuild_all(spark, exports).person) == plain[1] and len(calls) == 2
+
+
 def test_rebuild(spark, exports, hot_keys_from):
     plain = state(ingest.rebuild_all(spark, exports))
     hot_keys_from(1)
