@@ -91,18 +91,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     Workers live on after a task, so what the allocators keep is handed back at its end.
     """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-        at = np.concatenate([[0], np.cumsum(lengths + 16)])
-        low = 0
-        while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
-            yield batch.slice(low, high - low)
-            low = high
+        yield from cut_batch(batch, column, size)
     release()
 
 
+def cut_batch(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The slices of one batch."""
+    if not batch.num_rows:
+        return
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    at = np.concatenate([[0], np.cumsum(lengths + 16)])
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def release() -> None:
     """Give freed memory back to the system."""
     gc.collect()

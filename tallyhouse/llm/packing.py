@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import slices, stored, texts
+from tallyhouse.llm.common import cut_batch, gather, slices, stored, texts
 
 #: Two white-space or control characters in a row: such texts are not split at blanks before they are tokenised.
 _NOT_SPLIT = r"[\s\x0B\x1C-\x1F\x85\p{Z}\p{C}]{2}|^ | $"
@@ -32,6 +32,8 @@ _NOT_SPLIT = r"[\s\x0B\x1C-\x1F\x85\p{Z}\p{C}]{2}|^ | $"
 
 #: Larger slices than elsewhere: more of their chunks are equal.
 SLICE_BYTES = 12 << 20
+#: Of a slice so much is split and laid out at a time, since its chunks and tokens take many times the room of its text.
+PART_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -121,41 +123,47 @@ def _encode_chunks(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]
     return ids, at
 
 
-def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and where each text starts among them.
-
-    In a byte-level vocabulary that never joins across a single blank, a text is its blank-led chunks one after another, and a chunk's
-    ids do not depend on what surrounds it. Equal chunks of a slice are tokenised once. Texts with other white space go in whole.
-    """
-    tokenizer = _tokenizer(path)
+def _split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Which texts go in whole; of the others the blank-led chunks, and where each text's begin."""
     whole = np.asarray(pc.match_substring_regex(column, _NOT_SPLIT), dtype=bool)
-    if whole.any():
-        odd = [e.ids for e in tokenizer.encode_batch_fast(column.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
-    else:
-        odd = []
     parts = pc.split_pattern(column.filter(pa.array(~whole)), " ")
-    bounds = np.asarray(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py()
+    bounds = np.asarray(parts.offsets, dtype=np.int32) - np.int32(parts.offsets[0].as_py())
     values = parts.flatten()
     lead = np.ones(len(values), bool)
     lead[bounds[:-1][np.diff(bounds) > 0]] = False
-    marked = pc.binary_join_element_wise(pc.if_else(pa.array(lead), " ", ""), values, "")
-    chunks = marked.dictionary_encode()
-    ids, at = _encode_chunks(chunks.dictionary, path)
-    which = np.asarray(chunks.indices, dtype=np.int64)
-    sizes = np.diff(at)[which]
-    split_at = np.concatenate([[0], np.cumsum(sizes)])[bounds]
-    # Lay out all texts in order: the split ones from their chunks, the others as they came.
-    total = np.zeros(len(column), np.int64)
-    total[~whole] = np.diff(split_at)
-    total[whole] = [len(x) for x in odd]
-    offsets = np.concatenate([[0], np.cumsum(total)])
-    out = np.empty(offsets[-1], np.uint32)
-    from_chunks = np.repeat(~whole, total)
-    starts = np.repeat(at[which] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(which) else np.zeros(0, np.int64), sizes)
-    out[from_chunks] = ids[starts + np.arange(len(starts))]
-    if odd:
-        out[~from_chunks] = np.concatenate([np.asarray(x, np.uint32) for x in odd])
-    return out, offsets
+    return whole, bounds, pc.binary_join_element_wise(pc.if_else(pa.array(lead), " ", ""), values, "").dictionary_encode()
+
+
+def encode_parts(columns: list[pa.Array], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each column: ids of all its texts one after another, and where each text starts among them.
+
+    In a byte-level vocabulary that never joins across a single blank, a text is its blank-led chunks one after another, and a chunk's
+    ids do not depend on what surrounds it. Equal chunks of all the columns are tokenised once. Texts with other white space go in whole.
+    """
+    split = [_split(column) for column in columns]
+    chunks = pa.chunked_array([s[2] for s in split]).unify_dictionaries()
+    ids, at = _encode_chunks(chunks.chunk(0).dictionary, path)
+    for column, (whole, bounds, _), own in zip(columns, split, chunks.chunks, strict=True):
+        which = np.asarray(own.indices)
+        split_at = np.concatenate([[0], np.cumsum(np.diff(at)[which])])[bounds]
+        # Lay out all texts in order: the split ones from their chunks, the others as they came.
+        total = np.zeros(len(column), np.int64)
+        total[~whole] = np.diff(split_at)
+        laid = gather(ids, at[which], at[which + 1])[0]
+        if whole.any():
+            texts_ = column.filter(pa.array(whole)).to_pylist()
+            odd = [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch_fast(texts_, add_special_tokens=False)]
+            total[whole] = [len(x) for x in odd]
+            from_chunks = np.repeat(~whole, total)
+            out = np.empty(len(from_chunks), np.uint32)
+            out[from_chunks], out[~from_chunks] = laid, np.concatenate(odd)
+            laid = out
+        yield laid, np.concatenate([[0], np.cumsum(total)])
+
+
+def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """`encode_parts` of one column."""
+    return next(encode_parts([column], path))
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = True) -> DataFrame:
@@ -163,30 +171,34 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 10
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE_BYTES):
-            ids, at = encode(batch.column(1), path)
-            row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for k in range(batch.num_rows):
-                own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
-                first = len(own) % capacity or capacity
-                cuts = [0, *range(first, len(own) + 1, capacity)]
-                for n, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    row.append(k)
-                    piece.append(n)
-                    start.append(low)
-                    length.append(high - low)
-                    crc.append(zlib.crc32(own[low:high].tobytes()))
-                    if with_ids:
-                        kept.append(own[low:high].astype(np.int32))
-            columns = {
-                "id": batch.column(0).take(pa.array(row, pa.int64())),
-                "piece": pa.array(piece, pa.int32()),
-                "start": pa.array(start, pa.int64()),
-                "length": pa.array(length, pa.int64()),
-                "ids_crc32": pa.array(crc, pa.int64()),
-            }
-            if with_ids:
-                columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
+            parts = list(cut_batch(batch, size=PART_BYTES))
+            for part, (ids, at) in zip(parts, encode_parts([p.column("text") for p in parts], path), strict=True):
+                yield cut_part(part, ids, at)
+
+    def cut_part(batch: pa.RecordBatch, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        row, piece, start, length, crc, kept = [], [], [], [], [], []
+        for k in range(batch.num_rows):
+            own = np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
+            first = len(own) % capacity or capacity
+            cuts = [0, *range(first, len(own) + 1, capacity)]
+            for n, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                row.append(k)
+                piece.append(n)
+                start.append(low)
+                length.append(high - low)
+                crc.append(zlib.crc32(own[low:high].tobytes()))
+                if with_ids:
+                    kept.append(own[low:high].astype(np.int32))
+        columns = {
+            "id": batch.column(0).take(pa.array(row, pa.int64())),
+            "piece": pa.array(piece, pa.int32()),
+            "start": pa.array(start, pa.int64()),
+            "length": pa.array(length, pa.int64()),
+            "ids_crc32": pa.array(crc, pa.int64()),
+        }
+        if with_ids:
+            columns["ids"] = pa.array(kept, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_pydict(columns)
 
     schema = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     return texts(docs).mapInArrow(cut, schema)

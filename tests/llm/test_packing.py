@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -25,6 +27,43 @@ def test_ids_are_those_of_the_tokenizer(corpus):
         assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.fixture
+def cut(monkeypatch):
+    """What a task does with its batches, run here."""
+
+    class Rows:
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(packing, "texts", lambda docs: Rows())
+
+    def run(texts):
+        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+        return packing.token_pieces(None, PATH, capacity=50)(iter([batch]))
+
+    return run
+
+
+def test_parts_of_a_slice_give_the_same_pieces(cut, corpus, monkeypatch):
+    rows = [*ODD, *[t or "" for _, t in corpus]]
+    whole = [r for b in cut(rows) for r in b.to_pylist()]
+    monkeypatch.setattr(packing, "PART_BYTES", 64)
+    assert [r for b in cut(rows) for r in b.to_pylist()] == whole
+
+
+def test_a_slice_takes_little_memory_beside_its_text(cut):
+    draw = random.Random(3)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    rows = [" ".join(draw.choices(words, k=200)) for _ in range(8000)]
+    list(cut(rows[:10]))
+    tracemalloc.start()
+    for _ in cut(rows):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(map(len, rows))
+
+
 @pytest.mark.parametrize("capacity", [1024, 50])
 def test_every_piece_has_a_place(docs, corpus, capacity):
     rows = docs(corpus)
