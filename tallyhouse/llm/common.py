@@ -63,6 +63,26 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Bits that tell which keys may be wanted (16 MB, sent to all executors).
+MAP_BITS = 1 << 27
+
+
+def join_few(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of wide rows with some keys (pass something stored). Where the keys are too many to be sent, only rows that a map of
+    their hashes lets through are shuffled: all that are wanted, and one in fifty others for two million keys."""
+    if wanted.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(wanted), keys)
+    place = (F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS)) + 1).alias("_place")
+    bucket = F.bitmap_bucket_number("_place").alias("_bucket")
+    maps = wanted.select(place).groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    maps = stored(maps, "wanted-maps")
+    bit = "cast(bitmap_bit_position(_place) as int)"
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, {bit} div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = df.select("*", place).select("*", bucket).join(F.broadcast(maps), "_bucket")
+    marked = marked.where(byte.bitwiseAND(F.expr(f"shiftleft(1, {bit} % 8)")) != 0)
+    return marked.drop("_place", "_bucket", "_bits").join(wanted, keys)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

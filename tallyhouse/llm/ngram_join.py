@@ -6,13 +6,16 @@ that bound leaf by leaf and point by point; what survives is verified on the shi
 
 To keep the tree's work local, sets that may be linked are brought together first, exactly: sets of similar sizes differ in at most T
 shingles, so of the blocks of shingles (dealt by a hash) all but T are equal in both. Two sets with as many equal blocks as that argument
-asks of them (blocks without shingles aside) give an edge; where more than `FEW` sets share a block, each gives one to the smallest of
-them. The components of these edges are families, and each family is joined by its own tree.
-Families of more than `FAMILY_BLOCK` sets are cut into blocks, and every two blocks whose bounds allow a link are joined by a task.
+asks of them (blocks without shingles aside) give an edge. Blocks that more than `FEW` sets share are hot and give no pairs: a set lists
+its hot blocks, and two sets that share others need as many fewer of these as both have hot ones. Only sets with as many hot blocks as are
+asked for can be linked by hot blocks alone; each of these leaves out its hottest ones, all but one of those asked for, since two linked
+sets share a block that neither leaves out, and is joined to the smallest set of each block left. So a common block alone links nothing.
+The components of these edges are families, and each family is joined by its own tree.
+Families of more than `FAMILY_BLOCK` sets are cut into blocks by size, and every two blocks whose sizes allow a link are joined by a task.
 Links found between sets that are in one component already are not looked for, so copies are never expanded into pairs.
 
-Hot groups: equal sets are one node; where more than `FEW` sets of a slice of texts share a block, they are joined to their smallest and
-only that one travels, so a block that a third of all documents share does not grow its bucket, and no group gives a square of edges.
+Hot groups: equal sets are one node; where more than `FEW` sets of a slice of texts share a block, only the smallest travels to the bucket,
+so a block that a third of all documents share does not grow it, and no group gives a square of edges.
 
 Defined cases. A null text and one without words have an empty set: n_shingles 0, linked with nothing, component its own id. With fewer
 words than a shingle has, the whole sequence is the one shingle. Rows may repeat: equal texts are one set. A null id is the smallest.
@@ -25,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import Rolling, broadcast_if_small, mix, partitions, raw, slices, stored, texts, word_hashes, word_ranges
+from tallyhouse.llm.common import Rolling, broadcast_if_small, join_few, mix, partitions, raw, slices, stored, texts, word_hashes, word_ranges
 from tallyhouse.llm.graph import components
 
 GROUPS = 32
 LEAF = 32
-FEW = 16
+#: More sets than that make a block hot; up to there every two of them are counted as a pair.
+FEW = 4
 FAMILY_BLOCK = 16384
 CLASS_RATIO = 1.4
 
@@ -125,7 +129,7 @@ def _block_sums(block: np.ndarray, values: np.ndarray, blocks: int) -> tuple[np.
     return sums[at[1:]] - sums[at[:-1]], at[1:] > at[:-1]
 
 
-#: A key on its way: how many such keys a linked set shares (0: joined to its node already, and to be joined to one node).
+#: A key on its way: how many such keys a linked set shares (0: the key is hot, and the node has it on its list already).
 _KEY = np.dtype([("key", "<u8"), ("node", "<i8"), ("need", "u1")])
 #: The same while it travels: 48 bits tell the keys of one bucket apart (two that meet by accident only widen a family).
 _SENT = np.dtype([("low", "<u4"), ("mid", "<u2"), ("node", "<i8"), ("need", "u1")])
@@ -157,12 +161,14 @@ def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, heads, many
 
 
-def _stars(rows: np.ndarray, heads: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Edges (node, smallest node) of the keys with many nodes."""
-    size = np.diff(np.append(heads, len(rows)))
-    least, inside = np.repeat(rows["node"][heads], size), np.repeat(many, size)
-    edges = np.stack([rows["node"], least], 1)[inside & (rows["node"] != least)]
-    return np.unique(edges, axis=0)
+def _inside(heads: np.ndarray, keys: np.ndarray, count: int) -> np.ndarray:
+    """Which of `count` rows belong to one of the marked keys."""
+    return np.repeat(keys, np.diff(np.append(heads, count)))
+
+
+def _listed(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Hot keys (48 bits of them) of nodes, with the need."""
+    return _rows(1, bucket, n=rows["need"].astype(np.int64), a=rows["node"], b=_signed(rows["key"] & _U((1 << 48) - 1)))
 
 
 def _pairs(rows: np.ndarray, heads: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -178,7 +184,7 @@ def _pairs(rows: np.ndarray, heads: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
-# Rows of the first pass: a set (kind 0), an edge (kind 1), keys on their way to a bucket (kind 2), counted pairs (kind 3).
+# Rows of the first pass: a set (kind 0), a hot key of a set (kind 1), keys on their way to a bucket (kind 2), counted pairs (kind 3).
 _FIRST = "bucket int, kind tinyint, id bigint, hash bigint, n bigint, a bigint, b bigint, keys binary"
 _NAMES = ["bucket", "kind", "id", "hash", "n", "a", "b", "keys"]
 
@@ -201,8 +207,8 @@ def _rows(kind: int, bucket: np.ndarray, **columns) -> pa.RecordBatch:
 
 
 def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Sets (kind 0: id, hash, n, a and b their marks), edges between sets that may be linked (kind 1: first marks a and b), and pairs of
-    sets (kind 3) with the number of equal blocks found in one bucket (id) and needed overall (n)."""
+    """Sets (kind 0: id, hash, n, a and b their marks), hot keys (kind 1: b) of sets (a: first mark) with the number of equal blocks needed
+    (n), and pairs of sets (kind 3: first marks a and b) with the number of equal blocks found in one bucket (id) and needed overall (n)."""
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets = 4 * parts
@@ -227,12 +233,12 @@ def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
             packed["node"] = np.repeat(_signed(marks[distinct, 0]), [len(k) for k, _ in own])
             packed["need"] = np.minimum(np.concatenate([n for _, n in own]), 250)
             packed, heads, many = _groups(packed)
-            edges = _stars(packed, heads, many)
-            if len(edges):
-                yield _rows(1, (mix(edges[:, 0].astype(_U)) % _U(buckets)).astype(np.int32), a=edges[:, 0], b=edges[:, 1])
-            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(packed))))
-            packed["need"][many[group]] = 0
-            stays = many[group]
+            hot = _inside(heads, many, len(packed))
+            if hot.any():
+                listed = packed[hot]
+                yield _listed((mix(listed["node"].astype(_U)) % _U(buckets)).astype(np.int32), listed)
+            packed["need"][hot] = 0
+            stays = hot.copy()
             stays[heads] = False
             packed = packed[~stays]
             bucket = (packed["key"] % _U(buckets)).astype(np.int64)
@@ -247,9 +253,9 @@ def _sets_and_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             if held:
                 packed, heads, many = _groups(_receive(b"".join(held)))
-                edges = _stars(packed, heads, many)
-                if len(edges):
-                    yield _rows(1, np.full(len(edges), now), a=edges[:, 0], b=edges[:, 1]).drop_columns(["keys"])
+                listed = packed[_inside(heads, many, len(packed)) & (packed["need"] > 0)]
+                if len(listed):
+                    yield _listed(np.full(len(listed), now), listed).drop_columns(["keys"])
                 pairs = _pairs(packed, heads, many)
                 if len(pairs):
                     some, number = np.unique(pairs, axis=0, return_counts=True)
@@ -326,24 +332,73 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[
     return found
 
 
+def _edges(both: DataFrame) -> DataFrame:
+    """Edges a, b (first marks) whose components hold every two sets that may be linked, from what `_sets_and_edges` finds."""
+    parts = partitions(both.sparkSession)
+    own = Window.partitionBy("node", "need")
+    hot = both.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"), F.col("n").alias("need"))
+    hot = stored(hot.repartition(parts, "node").distinct().withColumn("h", F.count("*").over(own)), "join-hot")
+    reach = stored(hot.groupBy("node").agg(F.max("h").alias("h")), "join-reach")
+    counted = both.where("kind = 3").groupBy("a", "b", "n").agg(F.sum("id").alias("found"))
+    for side in ("a", "b"):
+        most = reach.select(F.col("node").alias(side), F.col("h").alias(f"h{side}"))
+        counted = counted.join(broadcast_if_small(most), side, "left")
+    pairs = counted.where(F.col("found") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("n"))
+    # Sets that may be linked by hot keys alone. Any order of the keys will do, as long as it is one for all sets.
+    alone = hot.where("h >= need").select("node", "key", "need")
+    shared = stored(alone.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "join-often")
+    left = alone.join(broadcast_if_small(shared), "key").withColumns({"h": F.count("*").over(own), "place": F.row_number().over(own.orderBy("often", "key"))})
+    left = stored(left.where("place <= h - need + 1").select("node", "key").distinct(), "join-left")
+    least = stored(left.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("often")).where("often > 1").drop("often"), "join-least")
+    stars = left.join(broadcast_if_small(least), "key").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return pairs.select("a", "b").unionByName(stars)
+
+
+def _dealt(named: DataFrame, percent: int, family_block: int) -> DataFrame:
+    """One row a set: id, hash, a, b, family, block and tasks. A family of one block has one task. A larger one is sorted by size and cut
+    into blocks; a set goes to its block's own task, and to one for every other block in which a linked set may be."""
+    order = F.shiftleft(F.col("n"), 20) + F.col("b").bitwiseAND((1 << 20) - 1)  # sets of one size may fill several blocks
+    large = named.groupBy("family").agg(F.ceil(F.count("*") / family_block).cast("int").alias("blocks")).where("blocks > 1")
+    large = stored(large, "join-large")
+    grid = 4 * (large.agg(F.max("blocks")).first()[0] or 1)
+    points = F.percentile_approx(order, [k / grid for k in range(1, grid)], max(10_000, 20 * grid))
+    cuts = F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda k: F.get("points", (k * F.lit(grid) / F.col("blocks")).cast("int") - 1))
+    large = named.join(broadcast_if_small(large), "family").groupBy("family", "blocks").agg(points.alias("points"))
+    large = stored(large.select("family", "blocks", cuts.alias("cuts")), "join-cuts")
+    rows = named.join(broadcast_if_small(large), "family", "left").withColumn("order", order)
+    rows = rows.withColumn("block", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda cut: cut <= F.col("order")))))
+    size = lambda k: F.shiftright(F.get("cuts", k), 20)  # noqa: E731  the least of block k + 1, the most of block k
+
+    def meets(other):
+        above = (other > F.col("block")) & (size(other - 1) * percent <= F.col("n") * 100)
+        below = (other < F.col("block")) & (F.col("n") * percent <= size(other) * 100)
+        return (other == F.col("block")) | above | below
+
+    met = F.filter(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), meets)
+    task = lambda other: F.shiftleft(F.least(other, "block").cast("bigint"), 32) + F.greatest(other, "block")
+    return rows.select("id", "hash", "a", "b", "family", "block", F.transform(met, task).alias("tasks"))
+
+
 def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a1, a2, b1, b2: marks of two sets) within families, from one row a set: id, hash, a, b, family, blocks, block."""
+    """Links (a1, a2, b1, b2: marks of two sets) within families, from one row a set (see `_dealt`)."""
     spark = docs.sparkSession
     rows = texts(docs, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
-    own = rows.join(broadcast_if_small(reps), ["id", "hash"]).select("family", "task", "block", "a", "b", "text")
+    own = join_few(rows, reps, ["id", "hash"]).select("family", "tasks", "block", "a", "b", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column(5), size)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], ["family", "task", "block", "a", "b", "set"]
+                [*batch.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], ["family", "tasks", "block", "a", "b", "set"]
             )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, marks, sides, sets = None, [], [], []
 
         def close() -> list[tuple[int, int, int, int]]:
-            return [(*marks[p], *marks[q]) for p, q in tree_links(sets, np.array(sides), percent)] if len(sets) > 1 else []
+            if len(sets) < 2 or (now[1] >> 32 != now[1] & 0xFFFFFFFF and len(set(sides)) < 2):
+                return []  # a task for two blocks compares none with its own
+            return [(*marks[p], *marks[q]) for p, q in tree_links(sets, np.array(sides), percent)]
 
         for batch in batches:
             out = []
@@ -365,7 +420,8 @@ def _links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a1", "a2", "b1", "b2"])
 
     dealt = (
-        own.mapInArrow(hashed, "family bigint, task int, block int, a bigint, b bigint, set binary")
+        own.mapInArrow(hashed, "family bigint, tasks array<bigint>, block int, a bigint, b bigint, set binary")
+        .select("family", F.explode("tasks").alias("task"), "block", "a", "b", "set")
         .repartition(partitions(spark), "family", "task")
         .sortWithinPartitions("family", "task", "a", "b")
     )
@@ -377,21 +433,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, family
     tells components apart whose smallest ids are equal (ids may repeat)."""
     both = _sets_and_edges(docs, size, percent)
     sets = both.where("kind = 0").select("id", "hash", "n", "a", "b")
-    counted = both.where("kind = 3").groupBy("a", "b", "n").agg(F.sum("id").alias("found"))
-    edges = both.where("kind = 1").select("a", "b").unionByName(counted.where("found >= n").select("a", "b"))
-    families = components(edges, "join-families")
+    families = components(_edges(both), "join-families")
     member = families.select(F.col("node").alias("a"), F.col("root").alias("family"))
     member = member.unionByName(families.select(F.col("root").alias("a"), F.col("root").alias("family")).distinct())
-    first = sets.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("id", "hash")).alias("row"))
-    named = first.join(member, "a")
-    width = named.groupBy("family").agg(F.ceil(F.count("*") / family_block).cast("int").alias("blocks"))
-    reps = named.join(width, "family").withColumn("block", F.pmod(F.col("b"), F.col("blocks")).cast("int"))
-    # One task for a family of one block, else one for every two blocks.
-    low, high = F.least(F.col("block"), F.col("other")), F.greatest(F.col("block"), F.col("other"))
-    tasks = reps.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("task", low * F.col("blocks") + high)
-    spread = stored(
-        tasks.select("family", "task", "block", "a", "b", F.col("row.id").alias("id"), F.col("row.hash").alias("hash")), "join-reps"
-    )
+    first = sets.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("id", "hash")).alias("row"), F.max("n").alias("n"))
+    named = stored(first.join(member, "a").select("family", "a", "b", "n", F.col("row.id").alias("id"), F.col("row.hash").alias("hash")), "join-named")
+    spread = stored(_dealt(named, percent, family_block), "join-reps")
     links = stored(_links(spread, docs, size, percent), "join-links")
     key = lambda x, y: F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0"))
     roots = components(links.select(key("a1", "a2").alias("a"), key("b1", "b2").alias("b")), "join-components")

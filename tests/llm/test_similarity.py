@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyhouse.llm import fingerprints, graph, ngram_join
+from tallyhouse.llm import common, fingerprints, graph, ngram_join
 from tallyhouse.llm.common import NO_ID
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,6 +80,43 @@ def test_copies_of_a_hot_head_in_other_slices(docs, monkeypatch):
         assert got == classes(rows, 3, 90)
 
 
+def test_a_common_passage_makes_no_family(docs, monkeypatch):
+    """Unlike texts share blocks that are hot; before, each such block put all its sets into one family, whose sets all travel."""
+    passage = [f"c{k}" for k in range(100)]
+    own = lambda n: [*passage, *[f"u{n}x{k}" for k in range(200)]]
+    near = lambda n, k: [*own(n)[:k], f"edit{k}", *own(n)[k + 1 :]]
+    rows = [(n, " ".join(own(n))) for n in range(200)]
+    rows += [(300 + k, " ".join(near(7, 110 + k))) for k in range(30)] + [(400, " ".join(near(9, 250)))]
+    travelled, links = [], ngram_join._links
+
+    def recorded(reps, *args):
+        travelled.append({r["id"] for r in reps.select("id").collect()})
+        return links(reps, *args)
+
+    monkeypatch.setattr(ngram_join, "_links", recorded)
+    expected = classes(rows, 5, 80)
+    for block in (16384, 7):  # then also with more sets than may be sent
+        found = ngram_join.similar_components(docs(rows), 5, 80, block)
+        assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in found.collect()) == expected
+        assert travelled[-1] >= {7, 9, 400, *range(300, 330)} and len(travelled[-1]) < 100
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+
+
+def test_sets_of_a_large_family_go_to_tasks_by_size(spark):
+    sizes = [int(10 * 1.06**k) for k in range(120)] + [50] * 40
+    named = spark.createDataFrame([(1, k, 7 * k, n, k, k) for k, n in enumerate(sizes)] + [(2, 500, 1, 9, 500, 500)], "family bigint, a bigint, b bigint, n bigint, id bigint, hash bigint")
+    dealt = {r["id"]: r for r in ngram_join._dealt(named, 80, 10).collect()}
+    assert dealt[500]["tasks"] == [0] and len(dealt) == 161
+    blocks = {k: dealt[k]["block"] for k in range(160)}
+    assert max(list(blocks.values()).count(b) for b in set(blocks.values())) <= 20 and len(set(blocks.values())) > 10
+    for x in range(160):
+        for y in range(x):
+            if 100 * min(sizes[x], sizes[y]) >= 80 * max(sizes[x], sizes[y]):
+                low, high = sorted((blocks[x], blocks[y]))
+                assert low << 32 | high in dealt[x]["tasks"] and low << 32 | high in dealt[y]["tasks"]
+    assert sum(len(r["tasks"]) for r in dealt.values()) < 161 * 8  # all 16 before
+
+
 def test_no_documents(docs):
     assert ngram_join.similar_components(docs([])).count() == 0
     assert fingerprints.edited_fingerprints(docs([])).count() == 0
